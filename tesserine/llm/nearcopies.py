@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserine.functions.sizes import join_checked
@@ -30,8 +31,8 @@ SKETCH = 32
 COMMON = 64
 #: A class is overlapped by its other values if at least this share of its sketch is not common.
 ENOUGH = 0.6
-#: Of values usable for both, the share that an overlap must hold: far below the mean at the least similarity.
-OVERLAP = 0.2
+#: Of values usable for both, the share that an overlap must hold: some four deviations below the mean at 0.6.
+OVERLAP = 0.28
 #: Lowest values of a sketch that are combined where values are common.
 COMBINED = 12
 
@@ -54,59 +55,67 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def sketches(records: DataFrame, key: str, text: str, words: int = 5, keep: int = SKETCH) -> DataFrame:
-    """(_key, size, content, sketch) of each distinct key and content; texts without a shingle give no row."""
+def sketches(records: DataFrame, words: int = 5, keep: int = SKETCH) -> DataFrame:
+    """(_key, rep, size, sketch) of each row (_key, _text); texts without a shingle give no row.
+
+    rep is a 64-bit hash of the whole set of shingles, alike for texts with the same set.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, contents, flat, ends = [], [], [], [], [0]
+            keys, reps, sizes, flat, ends = [], [], [], [], [0]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingle_hashes(t, words)
                 if len(hashes) and k is not None:
                     keys.append(k)
+                    reps.append(set_hash(hashes))
                     sizes.append(len(hashes))
-                    contents.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     flat.append(hashes[:keep].view(np.int64))
                     ends.append(ends[-1] + len(flat[-1]))
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.string()),
-                    pa.array(sizes, pa.int32()),
-                    pa.array(contents, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
-                ],
-                ["_key", "size", "content", "sketch"],
+                [pa.array(keys, pa.string()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), found], ["_key", "rep", "size", "sketch"]
             )
 
-    rows = records.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(sketch, "_key string, size int, content binary, sketch array<bigint>").dropDuplicates(["_key", "content"])
+    return records.mapInArrow(sketch, "_key string, rep bigint, size int, sketch array<bigint>")
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set of hashes."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of classes whose sketches overlap enough to verify; classes: (rep, size, sketch), written."""
-    allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    """(a, b): pairs of classes whose sketches overlap enough to verify; classes: (rep, size, sketch).
+
+    The values are moved once; lists of one class end there.
+    """
     values = classes.select("rep", "size", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    counts = values.groupBy("value").agg(F.count("*").alias("_n"))
-    several = counts.filter(f"_n > 1 AND _n <= {COMMON}").select("value")
-    common = counts.filter(f"_n > {COMMON}").select("value")
-    usable = values.join(common, "value", "left_anti")
-    enough = usable.groupBy("rep", "size", "kept").agg(F.count("*").alias("_usable"))
-    plain = enough.filter(F.col("_usable") >= ENOUGH * F.col("kept")).select("rep", F.col("_usable").cast("int").alias("usable"))
-    listed = usable.join(several, "value", "left_semi").join(plain, "rep")
-    left = listed.select("value", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("usable").alias("usable_a"))
-    right = listed.select("value", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("usable").alias("usable_b"))
-    shared = (
+    counted = values.withColumn("_n", F.count("*").over(W.partitionBy("value"))).filter("_n > 1")
+    listed = write_table(counted, "lists")
+    shared_by_many = listed.filter(F.col("_n") > COMMON).groupBy("rep", "kept").agg(F.count("*").cast("int").alias("common"))
+    common = write_table(shared_by_many, "common-values")
+    poor = common.filter(F.col("common") > (1 - ENOUGH) * F.col("kept"))
+    several = listed.filter(F.col("_n") <= COMMON)
+    left, right = (several.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept")]) for side in "ab")
+    least = F.least("kept_a", "kept_b")
+    allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    counts = (
         left.join(right, "value")
-        .filter((F.col("a") < F.col("b")) & allowed)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("_shared"), F.min(F.least("usable_a", "usable_b")).alias("_least"))
-        .filter(F.col("_shared") >= OVERLAP * F.col("_least"))
-        .select("a", "b")
+        .filter((F.col("rep_a") < F.col("rep_b")) & allowed)
+        .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        .agg(F.count("*").alias("_shared"), F.first(least).alias("_kept"))
+        .filter(F.col("_shared") >= F.lit(OVERLAP * ENOUGH) * F.col("_kept"))
     )
-    rest = write_table(classes.join(plain, "rep", "left_anti"), "common-classes")
-    if rest.isEmpty():
+    lost_a, lost_b = (common.select(F.col("rep").alias(side), F.col("common").alias(f"_lost_{side}")) for side in "ab")
+    lost = F.greatest(F.coalesce("_lost_a", F.lit(0)), F.coalesce("_lost_b", F.lit(0)))
+    shared = (
+        counts.join(lost_a, "a", "left").join(lost_b, "b", "left").filter(F.col("_shared") >= OVERLAP * (F.col("_kept") - lost)).select("a", "b")
+    )
+    if poor.isEmpty():
         return shared
+    rest = classes.join(poor.select("rep"), "rep", "left_semi")
     return shared.unionByName(_common_overlaps(classes, rest, similarity)).distinct()
 
 
@@ -127,12 +136,12 @@ def _common_overlaps(classes: DataFrame, rest: DataFrame, similarity: float) ->
                     reps.append(rep)
                     sizes.append(size)
                     values.append(hash(group))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.int64())], ["rep", "size", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.int64())], ["rep", "size", "value"])
 
     def combined(df: DataFrame) -> DataFrame:
         # a band holds sizes within the allowed ratio; each class also joins the next band
         band = F.floor(F.log("size") / F.log(F.lit(1 / similarity)))
-        return df.select("rep", "size", lowest.alias("low")).mapInArrow(combine, "rep binary, size int, value bigint").withColumn("band", band)
+        return df.select("rep", "size", lowest.alias("low")).mapInArrow(combine, "rep bigint, size int, value bigint").withColumn("band", band)
 
     ours = combined(rest).select("value", "band", F.col("rep").alias("a"), F.col("size").alias("size_a"))
     all_of = combined(classes).select("value", "band", F.col("rep").alias("b"), F.col("size").alias("size_b"))
@@ -155,15 +164,15 @@ def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: in
             for text in batch.column(0).to_pylist():
                 hashes = shingle_hashes(text, words)
                 if len(hashes):
-                    contents.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    contents.append(set_hash(hashes))
                     sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(sets, pa.binary())], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["rep", "hashes"])
 
     keys = wanted.select(F.col("key").alias("_key")).distinct()
     texts = join_checked(records, keys, "_key", "left_semi", 50_000)
     sets = (
         texts.select("_text")
-        .mapInArrow(hashed, "rep binary, hashes binary")
+        .mapInArrow(hashed, "rep bigint, hashes binary")
         .join(wanted.select("rep"), "rep", "left_semi")
         .dropDuplicates(["rep"])
     )
@@ -179,8 +188,8 @@ def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: in
             keep = [i for i, j in enumerate(found) if j >= similarity]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([a[i] for i in keep], pa.binary()),
-                    pa.array([b[i] for i in keep], pa.binary()),
+                    pa.array([a[i] for i in keep], pa.int64()),
+                    pa.array([b[i] for i in keep], pa.int64()),
                     pa.array([found[i] for i in keep], pa.float64()),
                 ],
                 ["a", "b", "jaccard"],
@@ -190,7 +199,7 @@ def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: in
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("_u")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("_v")), "b")
         .select("a", "b", "_u", "_v")
-        .mapInArrow(compare, "a binary, b binary, jaccard double")
+        .mapInArrow(compare, "a bigint, b bigint, jaccard double")
     )
 
 
@@ -205,17 +214,12 @@ def similar_classes(
     left out. Whole texts are read; other columns are not, so their names may clash.
     """
     rows = records.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("_text"))
-    sketched = write_table(sketches(rows, "_key", "_text", words), "sketches")
-    first = F.min(F.struct("_key", "size", "sketch")).alias("_r")
-    classes = write_table(
-        sketched.groupBy("content").agg(first).select(
-            F.col("content").alias("rep"), F.col("_r._key").alias("key"), F.col("_r.size").alias("size"), F.col("_r.sketch").alias("sketch")
-        ),
-        "classes",
-    )
-    members = sketched.select("_key", F.col("content").alias("rep"))
-    pairs = write_table(overlaps(classes.select("rep", "size", "sketch"), similarity), "overlaps")
-    return members, verified(pairs, rows, classes.select("rep", "key"), words, similarity)
+    sketched = write_table(sketches(rows, words), "sketches")
+    classes = sketched.groupBy("rep").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    members = sketched.select("_key", "rep").distinct()
+    pairs = write_table(overlaps(classes, similarity), "overlaps")
+    keys = sketched.groupBy("rep").agg(F.min("_key").alias("key"))
+    return members, verified(pairs, rows, keys, words, similarity)
 
 
 def similar_pairs(records: DataFrame, key: str = "node_id", text: str = "chunk_text", words: int = 3, similarity: float = 0.6) -> DataFrame:

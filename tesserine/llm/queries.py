@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import distinctive, nearcopies, packing, tokenizer, truncation
+from tesserine.llm import boundaries, credentials, distinctive, nearcopies, packing, provenance, tokenizer, truncation
 from tesserine.session import write_table
 from tesserine.sources.tables import table
 
@@ -22,6 +22,36 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive.scores(table(spark, folder, "chunks"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are generated, minified, vendored or data."""
+    return provenance.not_by_hand(table(spark, folder, "chunks")).select(F.col("_path").alias("file_path"))
+
+
+def p3_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files with the reasons."""
+    return provenance.not_by_hand(table(spark, folder, "chunks")).withColumnRenamed("_path", "file_path")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Natural lines to cut at, of chunks above 8,000 characters."""
+    return boundaries.natural_lines(table(spark, folder, "chunks")).select(F.col("_key").alias("node_id"), "line_no")
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Those chunks in pieces of at most 8,000 characters with 10 lines of overlap."""
+    return boundaries.pieces(table(spark, folder, "chunks"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines at which a credential's value begins."""
+    return credentials.credential_lines(table(spark, folder, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with their credentials replaced."""
+    return credentials.redacted(table(spark, folder, "chunks"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks that share at least 0.6 of their runs of three words."""
     return nearcopies.similar_pairs(table(spark, folder, "chunks"), words=3, similarity=0.6)
@@ -58,5 +88,9 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_scores, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_shares)
-}
+    f.__name__: f
+    for f in (
+        p2_found, p2_scores, p3_found, p3_kinds, p4_found, p4_pieces, p5_found, p5_redacted,
+        p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_shares,
+    )
+}
