@@ -7,11 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import boundaries, credentials, distinctive, nearcopies, packing, provenance, tokenizer, truncation
+from tesserine.llm import boundaries, credentials, distinctive, nearcopies, neighbours, packing, provenance, tokenizer, truncation
 from tesserine.session import write_table
 from tesserine.sources.tables import table
 
 
+#: Dimensions, neighbours and radius of problem 1.
+DIMENSIONS, NEIGHBOURS, RADIUS = 128, 10, 1.8
+
+
+def _nearest(spark: SparkSession, folder: str) -> neighbours.Neighbours:
+    nodes = table(spark, folder, "graph_nodes").select("id", "embedding")
+    requests = table(spark, folder, "search_requests").select("request_id", "query")
+    return neighbours.nearest(nodes, requests, NEIGHBOURS, RADIUS, DIMENSIONS)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 10 nearest nodes of the other."""
+    return neighbours.neighbour_pairs(_nearest(spark, folder), NEIGHBOURS)
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest nodes of every node and request, with rank and distance."""
+    return neighbours.neighbour_rows(_nearest(spark, folder), NEIGHBOURS)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms that occur at least 5 times in a chunk and in at most 3 chunks."""
     return distinctive.rare_terms(table(spark, folder, "chunks")).select("node_id", "term")
@@ -90,7 +110,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_found, p2_scores, p3_found, p3_kinds, p4_found, p4_pieces, p5_found, p5_redacted,
+        p1_found, p1_neighbours, p2_found, p2_scores, p3_found, p3_kinds, p4_found, p4_pieces, p5_found, p5_redacted,
         p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_shares,
     )
 }
