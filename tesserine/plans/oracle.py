@@ -1,3 +1,30 @@
 """SQL that gives the same rows as the core queries."""
 
+from __future__ import annotations
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["p6_found"] = r"""
+WITH versions AS (
+  SELECT version, row_number() OVER (ORDER BY min(created_at::TIMESTAMPTZ), version) AS n FROM index_versions WHERE version IS NOT NULL GROUP BY version),
+spelled AS (
+  SELECT version, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(file_path), '\', '/'), '/+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', ''), '^/|/$', '', 'g') AS file_path,
+    nullif(regexp_replace(lower(trim(digest)), '^sha-?1[:=]', ''), '') AS digest, loaded_at
+  FROM manifest),
+current AS (
+  SELECT n, file_path, digest FROM spelled JOIN versions USING (version) WHERE file_path <> ''
+  QUALIFY row_number() OVER (PARTITION BY n, file_path ORDER BY loaded_at DESC, digest DESC NULLS LAST) = 1),
+islands AS (SELECT *, n - row_number() OVER (PARTITION BY file_path ORDER BY n) AS island FROM current),
+known AS (
+  SELECT n, file_path, island,
+    last_value(digest IGNORE NULLS) OVER (PARTITION BY file_path, island ORDER BY n ROWS UNBOUNDED PRECEDING) AS digest
+  FROM islands),
+before AS (SELECT *, lag(n) OVER w AS last_n, lag(digest) OVER w AS last_digest, lead(n) OVER w AS next_n FROM known WINDOW w AS (PARTITION BY file_path ORDER BY n)),
+changes AS (
+  SELECT n, file_path, 'added' AS change_kind FROM before WHERE n > 1 AND coalesce(last_n, 0) <> n - 1
+  UNION ALL
+  SELECT n + 1, file_path, 'removed' FROM before WHERE n < (SELECT max(n) FROM versions) AND coalesce(next_n, 0) <> n + 1
+  UNION ALL
+  SELECT n, file_path, 'changed' FROM before WHERE last_n = n - 1 AND digest <> last_digest)
+SELECT version, file_path, change_kind FROM changes JOIN versions USING (n)
+"""

@@ -6,6 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserine.operators import snapshots
+from tesserine.sources.tables import table
+
 FLAGSHIP = "p6_found"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files added, removed or changed between consecutive versions."""
+    return snapshots.manifest_changes(table(spark, folder, "manifest"), table(spark, folder, "index_versions"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found,)}
