@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import SLOTS, expand, searchable, tokens
+from tesserine.session import write_table
 
 # Fixed values of the scores.
 K1, B = 1.2, 0.75
@@ -230,30 +231,37 @@ def undirected(nodes: DataFrame) -> DataFrame:
     return forth.unionByName(forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+#: Hits of a route that the graph route starts from.
+SEEDS = 3
+
+
+def seeds(by_name: DataFrame, by_words: DataFrame) -> DataFrame:
     """(query_id, node_id): the symbol route's best three, or where it has none the dense route's."""
-    by_name = symbol(nodes, queries, 3)
-    others = queries.join(by_name.select("query_id").distinct(), "query_id", "left_anti")
-    return by_name.select("query_id", "node_id").unionByName(dense(nodes, others, 3).select("query_id", "node_id"))
+    named = by_name.filter(F.col("rank") <= SEEDS).select("query_id", "node_id")
+    others = by_words.filter(F.col("rank") <= SEEDS).join(named.select("query_id").distinct(), "query_id", "left_anti")
+    return named.unionByName(others.select("query_id", "node_id"))
 
 
 def within_hops(edges: DataFrame, starts: DataFrame, hops: Column, most: int) -> DataFrame:
     """(query_id, node_id, depth): nodes within each query's hops of its starts, at their least depth.
 
-    starts: (query_id, node_id) and what the column `hops` reads; most: the largest number of hops.
+    starts: (query_id, node_id) and what the column `hops` reads; most: the largest number of hops. Each level
+    is one join and is written, so that the next one reads it and lineage stays short.
     """
-    level = starts.select("query_id", "node_id", hops.alias("_hops")).distinct().withColumn("depth", F.lit(0))
+    edges = write_table(edges, "edges")
+    level = write_table(starts.select("query_id", "node_id", hops.alias("_hops")).distinct().withColumn("depth", F.lit(0)), "hops")
     reached = level
     for depth in range(1, most + 1):
         step = level.filter(F.col("_hops") >= depth).join(edges.withColumnRenamed("src", "node_id"), "node_id").select("query_id", F.col("dst").alias("node_id"), "_hops")
-        level = step.distinct().join(reached.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth))
+        new = step.distinct().join(reached.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+        level = write_table(new.withColumn("depth", F.lit(depth)), "hops")
         reached = reached.unionByName(level)
     return reached.select("query_id", "node_id", "depth")
 
 
 def graph(nodes: DataFrame, queries: DataFrame, top_k: int = 8, starts: DataFrame | None = None) -> DataFrame:
     """Hits by hops from the seeds, 1 / (depth + 1); paths may pass nodes that the scope leaves out, and unknown ids."""
-    starts = seeds(nodes, queries) if starts is None else starts
+    starts = seeds(symbol(nodes, queries, SEEDS), dense(nodes, queries, SEEDS)) if starts is None else starts
     most = queries.agg(F.coalesce(F.max("graph_hops"), F.lit(0)).alias("m")).first()["m"]
     asked = queries.select("query_id", F.coalesce("graph_hops", F.lit(2)).alias("graph_hops"), "module_scope", F.col("language").alias("_wanted"))
     reached = within_hops(undirected(nodes), starts.join(asked, "query_id"), F.col("graph_hops"), max(most, 2))
@@ -271,10 +279,13 @@ def plan(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", routes.alias("routes"))
 
 
-def route_hits(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> DataFrame:
-    """The hits of all planned routes in one table."""
+def route_hits(nodes: DataFrame, queries: DataFrame, top_k: int = 8, inverted: DataFrame | None = None) -> DataFrame:
+    """The hits of all planned routes in one table; the graph route starts from the others' hits."""
     planned = plan(queries).select("query_id", F.explode("routes").alias("route"))
-    every = _union([dense(nodes, queries, top_k), sparse(nodes, queries, top_k), symbol(nodes, queries, top_k), graph(nodes, queries, top_k)])
+    most = max(top_k, SEEDS)
+    by_words, by_name = write_table(dense(nodes, queries, most), "dense-hits"), write_table(symbol(nodes, queries, most), "symbol-hits")
+    linked = graph(nodes, queries, top_k, seeds(by_name, by_words))
+    every = _union([by_words, sparse(nodes, queries, top_k, inverted), by_name, linked]).filter(F.col("rank") <= top_k)
     return every.join(planned, ["query_id", "route"], "left_semi")
 
 
@@ -310,9 +321,10 @@ def rerank(nodes: DataFrame, queries: DataFrame, fused: DataFrame, top_k: int =
 
 def retrieve(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> dict[str, DataFrame]:
     """route_hits, fused_hits (twice top_k, of which a caller is shown top_k) and final_hits of a batch of queries."""
-    hits = route_hits(nodes, queries, top_k)
-    fused = fuse(hits, 2 * top_k)
-    return {"route_hits": hits, "fused_hits": fused, "final_hits": rerank(nodes, queries, fused, top_k)}
+    inverted = write_table(postings(nodes), "postings")
+    hits = write_table(route_hits(nodes, queries, top_k, inverted), "route-hits")
+    fused = write_table(fuse(hits, 2 * top_k), "fused-hits")
+    return {"route_hits": hits, "fused_hits": fused, "final_hits": rerank(nodes, queries, fused, top_k, inverted)}
 
 
 def evaluate(cases: DataFrame, final_hits: DataFrame) -> DataFrame:

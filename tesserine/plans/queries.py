@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as text_columns
-from tesserine.functions.vector import decoded, encoded, transformed
+from tesserine.functions.vector import decoded, encoded
 from tesserine.operators import chunking, evaluation, graph, retrieval, snapshots, symbols, vectors
 from tesserine.session import write_table
 from tesserine.sources import store
@@ -123,7 +123,7 @@ def symbol_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Q4, G1: the graph route."""
-    return _hits(retrieval.graph(_nodes(spark, folder), _queries(spark, folder), TOP_K))
+    return _hits(retrieval.graph(_written_nodes(spark, folder), _queries(spark, folder), TOP_K))
 
 
 def plan_routes(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,8 +293,7 @@ def project_rotation(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors times a matrix that swaps each pair of dimensions and turns one's sign."""
     size = 64
     matrix = [[(1.0 if i % 2 else -1.0) if j == (i ^ 1) else 0.0 for j in range(size)] for i in range(size)]
-    literal = F.array(*[F.array(*[F.lit(x).cast("float") for x in row]) for row in matrix])
-    turned = _vectors(spark, folder).select("id", transformed(literal, F.col("vector")).alias("vector"))
+    turned = vectors.projected(_vectors(spark, folder), matrix)
     return turned.select("id", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
