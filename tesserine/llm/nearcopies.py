@@ -29,11 +29,11 @@ from tesserine.session import write_table
 SKETCH = 32
 #: A value in more classes than this is common.
 COMMON = 64
-#: A class is overlapped by its other values if at least this share of its sketch is not common.
-ENOUGH = 0.6
-#: Of values usable for both, the share that an overlap must hold: some four deviations below the mean at 0.6.
-OVERLAP = 0.28
-#: Lowest values of a sketch that are combined where values are common.
+#: A class is overlapped by its other values if it has so many, or this share of a small sketch.
+ENOUGH, ENOUGH_SHARE = 8, 0.6
+#: Of n values usable for both, an overlap must hold OVERLAP * n - SLACK: over four deviations below the mean at 0.6.
+OVERLAP, SLACK = 0.28, 1.5
+#: Lowest common values of a sketch that are combined.
 COMBINED = 12
 
 _word = re.compile(r"[A-Za-z0-9_]+")
@@ -94,9 +94,10 @@ def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
     values = classes.select("rep", "size", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     counted = values.withColumn("_n", F.count("*").over(W.partitionBy("value"))).filter("_n > 1")
     listed = write_table(counted, "lists")
-    shared_by_many = listed.filter(F.col("_n") > COMMON).groupBy("rep", "kept").agg(F.count("*").cast("int").alias("common"))
-    common = write_table(shared_by_many, "common-values")
-    poor = common.filter(F.col("common") > (1 - ENOUGH) * F.col("kept"))
+    many = listed.filter(F.col("_n") > COMMON).groupBy("rep", "size", "kept").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    common = write_table(many.withColumn("common", F.size("values")), "common-values")  # at most a sketch each
+    usable = F.col("kept") - F.col("common")
+    poor = common.filter(usable < F.least(F.lit(ENOUGH), F.lit(ENOUGH_SHARE) * F.col("kept")))
     several = listed.filter(F.col("_n") <= COMMON)
     left, right = (several.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept")]) for side in "ab")
     least = F.least("kept_a", "kept_b")
@@ -106,48 +107,50 @@ def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
         .filter((F.col("rep_a") < F.col("rep_b")) & allowed)
         .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         .agg(F.count("*").alias("_shared"), F.first(least).alias("_kept"))
-        .filter(F.col("_shared") >= F.lit(OVERLAP * ENOUGH) * F.col("_kept"))
     )
     lost_a, lost_b = (common.select(F.col("rep").alias(side), F.col("common").alias(f"_lost_{side}")) for side in "ab")
     lost = F.greatest(F.coalesce("_lost_a", F.lit(0)), F.coalesce("_lost_b", F.lit(0)))
     shared = (
-        counts.join(lost_a, "a", "left").join(lost_b, "b", "left").filter(F.col("_shared") >= OVERLAP * (F.col("_kept") - lost)).select("a", "b")
+        counts.join(lost_a, "a", "left")
+        .join(lost_b, "b", "left")
+        .filter(F.col("_shared") >= OVERLAP * (F.col("_kept") - lost) - SLACK)
+        .select("a", "b")
     )
     if poor.isEmpty():
         return shared
-    rest = classes.join(poor.select("rep"), "rep", "left_semi")
-    return shared.unionByName(_common_overlaps(classes, rest, similarity)).distinct()
+    return shared.unionByName(_common_overlaps(common, poor, similarity)).distinct()
 
 
-def _common_overlaps(classes: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with at least one class of `rest`, the classes of common values, by combined values.
+def _common_overlaps(common: DataFrame, poor: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a class of common values nearly alone with another, by triples of common values.
 
-    Of two sketches at the least similarity, the lowest values hold three in common but for a few in a
-    hundred thousand; a triple of common values is far rarer than each. Lists are salted by size band.
+    A class similar to such a one has many common values itself, so only classes with common values are asked.
+    Of two sketches at the least similarity, the lowest values hold three in common but for a few in a hundred
+    thousand. Sets too small for triples are listed by single values, among sets of about their size.
     """
-    lowest = F.slice("sketch", 1, COMBINED)
+    single, triple = COMBINED / similarity, COMBINED
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, sizes, values = [], [], []
-            for rep, size, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                some = combinations(low, 3) if len(low) >= COMBINED else ((v,) for v in low)
-                for group in some:
+            for rep, size, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = found[:COMBINED]
+                groups = list(combinations(low, 3)) if size >= triple else []
+                groups += [(v,) for v in found] if size < single else []
+                for group in groups:
                     reps.append(rep)
                     sizes.append(size)
                     values.append(hash(group))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.int64())], ["rep", "size", "value"])
 
     def combined(df: DataFrame) -> DataFrame:
-        # a band holds sizes within the allowed ratio; each class also joins the next band
-        band = F.floor(F.log("size") / F.log(F.lit(1 / similarity)))
-        return df.select("rep", "size", lowest.alias("low")).mapInArrow(combine, "rep bigint, size int, value bigint").withColumn("band", band)
+        return df.select("rep", "size", "values").mapInArrow(combine, "rep bigint, size int, value bigint")
 
-    ours = combined(rest).select("value", "band", F.col("rep").alias("a"), F.col("size").alias("size_a"))
-    all_of = combined(classes).select("value", "band", F.col("rep").alias("b"), F.col("size").alias("size_b"))
-    near = all_of.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    asked = common.filter(F.col("common") >= F.least(F.lit(3), F.lit(0.3) * F.col("kept")))
+    ours = combined(poor).select("value", F.col("rep").alias("a"), F.col("size").alias("size_a"))
+    others = combined(asked).select("value", F.col("rep").alias("b"), F.col("size").alias("size_b"))
     allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    pairs = ours.join(near, ["value", "band"]).filter((F.col("a") != F.col("b")) & allowed)
+    pairs = ours.join(others, "value").filter((F.col("a") != F.col("b")) & allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
