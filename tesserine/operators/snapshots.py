@@ -121,10 +121,15 @@ def with_old_values(changes: DataFrame, before: DataFrame, key: str) -> DataFram
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file_path, status) between two manifests (file_path, digest): changed (new or different) or deleted."""
-    both = new.select("file_path", F.col("digest").alias("_new")).join(old.select("file_path", F.col("digest").alias("_old")), "file_path", "full_outer")
-    status = F.when(F.col("_new").isNull(), "deleted").when(~F.col("_new").eqNullSafe(F.col("_old")), "changed")
-    return both.select("file_path", status.alias("status")).filter("status IS NOT NULL")
+    """(file_path, status) between two manifests (file_path, digest): changed (new or different) or deleted.
+
+    A null digest in the new manifest means that the file is there as it was.
+    """
+    here = new.select("file_path", F.col("digest").alias("_new"), F.lit(True).alias("_here"))
+    there = old.select("file_path", F.col("digest").alias("_old"), F.lit(True).alias("_there"))
+    differs = F.col("_there").isNull() | F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))
+    status = F.when(F.col("_here").isNull(), "deleted").when(differs, "changed")
+    return here.join(there, "file_path", "full_outer").select("file_path", status.alias("status")).filter("status IS NOT NULL")
 
 
 def merged(retained: DataFrame, diff: DataFrame, ingested: DataFrame) -> DataFrame:

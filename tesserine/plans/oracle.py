@@ -369,9 +369,10 @@ last_two AS (SELECT version, row_number() OVER (ORDER BY n DESC) AS back, n FROM
 new_rows AS (SELECT file_path, digest FROM current WHERE n = (SELECT n FROM last_two WHERE back = 1)),
 old_rows AS (SELECT file_path, digest FROM current WHERE n = (SELECT n FROM last_two WHERE back = 2)),
 diff AS (
-  SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'deleted' ELSE 'changed' END AS status
-  FROM new_rows n FULL JOIN old_rows o ON n.file_path = o.file_path
-  WHERE n.file_path IS NULL OR o.file_path IS NULL OR n.digest IS DISTINCT FROM o.digest)
+  SELECT file_path, 'deleted' AS status FROM old_rows WHERE file_path NOT IN (SELECT file_path FROM new_rows)
+  UNION ALL
+  SELECT w.file_path, 'changed' FROM new_rows w LEFT JOIN old_rows o ON o.file_path = w.file_path
+  WHERE o.file_path IS NULL OR w.digest IS NOT NULL AND w.digest IS DISTINCT FROM o.digest)
 """
 ORACLE["manifest_diff"] = f"WITH {_DIFF} SELECT file_path, status FROM diff"
 ORACLE["incremental_merge"] = f"""
