@@ -151,7 +151,12 @@ def _normal(token: str, language: str) -> str:
 
 def boundaries(lines: list[str], language: str, lexed: Lexed) -> list[int]:
     """Indexes of the lines at which a cut is natural: definitions with what is attached above, or headings."""
-    found = []
+    return sorted({start for start, _ in boundary_pairs(lines, language, lexed)})
+
+
+def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[int, int]]:
+    """(first line of what is attached, line of the definition or heading itself) of each boundary."""
+    found: list[tuple[int, int]] = []
     definition = _definitions.get(language)
     for i, line in enumerate(lines):
         if not line or i in lexed.string or i in lexed.comment:
@@ -160,7 +165,7 @@ def boundaries(lines: list[str], language: str, lexed: Lexed) -> list[int]:
             top = i - 1
             while top > 0 and _paragraph.match(lines[top - 1]) and top - 1 not in lexed.string:
                 top -= 1
-            found.append(top)
+            found.append((top, i))
             continue
         if language == "c":
             if line[0].isspace() or line[0] in "#}{/*":
@@ -184,8 +189,8 @@ def boundaries(lines: list[str], language: str, lexed: Lexed) -> list[int]:
                 start -= 1
             else:
                 break
-        found.append(start)
-    return sorted(set(found))
+        found.append((start, i))
+    return found
 
 
 def _code_before(line: str) -> bool:
@@ -206,16 +211,16 @@ def _c_function(lines: list[str], i: int) -> bool:
     return brace >= 0 and (end < 0 or brace < end) and "(" in rest[:brace] and "=" not in rest[: rest.find("(")]
 
 
-def _owned(text: str, low: bool, own: int, last: bool) -> tuple[int, int]:
+def _owned(text: str, low: bool, last: bool, own: int, halo: int) -> tuple[int, int]:
     """The part of a range's text whose lines it owns: from its first line start to the one after its end."""
     start = 0
     if low:
-        start = text.find("\n", HALO - 1) + 1
+        start = text.find("\n", halo - 1) + 1
         if start == 0:
             start = len(text)
     if last:
         return start, len(text)
-    stop = text.find("\n", (HALO if low else 0) + own - 1) + 1
+    stop = text.find("\n", (halo if low else 0) + own - 1) + 1
     return start, stop or len(text)
 
 
@@ -226,32 +231,32 @@ def _ranges(rows: DataFrame) -> DataFrame:
     low = F.col("part") > 0
     start = F.col("part") * RANGE - F.when(low, HALO).otherwise(0)
     return cut.select(
-        "_key", "_path", "_language", "_first", "_wanted", "part", low.alias("low"), (F.col("part") == F.col("parts") - 1).alias("last"),
+        "_key", "_path", "_language", "_first", "part", low.alias("low"), (F.col("part") == F.col("parts") - 1).alias("last"),
         F.col("_text").substr(start + 1, F.lit(RANGE + HALO) + F.when(low, HALO).otherwise(0)).alias("slice"),
-        F.col("_limit"),
     )
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each range: its lines, and for each state at its start the state at its end."""
-    for batch in batches:
-        counts, tables = [], []
-        for path, language, low, last, text, limit in zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "low", "last", "slice", "_limit")), strict=True):
-            family = language_of(path, language)
-            start, stop = _owned(text, low, RANGE, last)
-            own = text[start:stop]
-            counts.append(own.count("\n"))
-            if limit is not None:  # what the next row of the file holds again
-                own = "".join(own.splitlines(True)[: max(limit, 0)]) if limit >= 0 else ""
-            known = states(family)
-            if last and limit is None and not low:
-                tables.append([0] * len(known))  # nothing follows
-            else:
-                tables.append([known.index(lex(own, family, s).end) for s in known])
-        columns = [batch.column(c) for c in ("_key", "_path", "_first", "part")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(counts, pa.int64()), pa.array(tables, pa.list_(pa.int32()))], ["_key", "_path", "_first", "part", "lines", "table"]
-        )
+def _tables(own_size: int, halo: int, followed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range: its lines, and for each state at its start the state at its end."""
+        for batch in batches:
+            counts, tables = [], []
+            for path, language, low, last, text in zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "low", "last", "slice")), strict=True):
+                family = language_of(path, language)
+                start, stop = _owned(text, low, last, own_size, halo)
+                own = text[start:stop]
+                counts.append(own.count("\n"))
+                known = states(family)
+                if last and not low and not followed:
+                    tables.append([0] * len(known))  # nothing asks for it
+                else:
+                    tables.append([known.index(lex(own, family, s).end) for s in known])
+            columns = [batch.column(c) for c in ("_key", "_path", "_first", "part")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(counts, pa.int64()), pa.array(tables, pa.list_(pa.int32()))], ["_key", "_path", "_first", "part", "lines", "table"]
+            )
+
+    return run
 
 
 def _compose(tables: list[list[int]]) -> list[int]:
@@ -296,28 +301,28 @@ def _first_states(tables: DataFrame) -> DataFrame:
     )
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Boundaries of each range, as line numbers of the file, given its first state and first line."""
-    names = ("_key", "_path", "_language", "_first", "low", "last", "slice", "state", "before")
-    for batch in batches:
-        keys, found = [], []
-        for key, path, language, first, low, last, text, state, before in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            family = language_of(path, language)
-            start, stop = _owned(text, low, RANGE, last)
-            lexed = lex(text[start:], family, states(family)[state])
-            head = text[:start].split("\n")[-40:-1] if start else []
-            lines = text[start:].split("\n")
-            shifted = Lexed({i + len(head) for i in lexed.comment}, {i + len(head) for i in lexed.string}, "")
-            own = text.count("\n", start, stop) + (1 if last else 0)
-            for i in boundaries([*head, *lines], family, shifted):
-                line = i - len(head)
-                if line < own and (line >= 0 or not low) and before + line > 0:
-                    keys.append(key)
-                    found.append(first + before + line)
-                elif line < 0 and low:
-                    keys.append(key)
-                    found.append(first + before + line)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.int32())], ["_key", "line_no"])
+def _emit(own_size: int, halo: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Boundaries of each range, as line numbers of the file, given its first state and first line."""
+        names = ("_key", "_path", "_language", "_first", "low", "last", "slice", "state", "before")
+        for batch in batches:
+            keys, found = [], []
+            for key, path, language, first, low, last, text, state, before in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                family = language_of(path, language)
+                start, stop = _owned(text, low, last, own_size, halo)
+                lexed = lex(text[start:], family, states(family)[state])
+                head = text[:start].split("\n")[-40:-1] if start else []
+                lines = text[start:].split("\n")
+                shifted = Lexed({i + len(head) for i in lexed.comment}, {i + len(head) for i in lexed.string}, "")
+                own = text.count("\n", start, stop) + (1 if last else 0)
+                for top, at in boundary_pairs([*head, *lines], family, shifted):
+                    line = top - len(head)
+                    if 0 <= at - len(head) < own and before + line > 0:
+                        keys.append(key)
+                        found.append(first + before + line)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.int32())], ["_key", "line_no"])
+
+    return run
 
 
 def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
@@ -335,7 +340,7 @@ def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
         F.col("chunk_text").cast("string").alias("_text"),
     )
     size = F.length("_text")
-    big = write_table(rows.filter(size > limit).dropDuplicates(["_key", "_path", "_first", "_text"]).withColumn("_wanted", F.lit(True)), "oversized")
+    big = write_table(rows.filter(size > limit).dropDuplicates(["_key", "_path", "_first", "_text"]), "oversized")
     inner = big.filter("_first > 1").groupBy("_path").agg(F.max("_first").alias("_upto"))
     narrow = rows.select("_key", "_path", "_first", F.length("_text").alias("_size"))
     before = join_checked(narrow, inner, "_path").filter("_first < _upto")
@@ -345,19 +350,21 @@ def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
     upto = starts.select("_path", "_first").union(inner.select("_path", F.col("_upto").alias("_first"))).distinct()
     following = upto.withColumn("_next", F.lead("_first").over(W.partitionBy("_path").orderBy("_first")))
     led = starts.join(following, ["_path", "_first"]).withColumn("_limit", (F.col("_next") - F.col("_first")).cast("int"))
-    leading = join_checked(rows, led.select("_key", "_path", "_first", "_limit"), ["_key", "_path", "_first"]).dropDuplicates(["_key", "_path", "_first"])
+    held = join_checked(rows, led.select("_key", "_path", "_first", "_limit"), ["_key", "_path", "_first"])
+    # without what the next row of the file holds again
+    ahead = F.expr(r"concat(substring_index(_text, '\n', _limit), '\n')")
+    leading = held.dropDuplicates(["_key", "_path", "_first"]).withColumn("_text", ahead).drop("_limit")
     shape = "_key string, _path string, _first int, part int, lines bigint, table array<int>"
-    carried = _ranges(leading.withColumn("_wanted", F.lit(False))).mapInArrow(_tables, shape)
-    long = big.withColumn("_limit", F.lit(None).cast("int"))
-    own = _ranges(long)
-    counted = own.mapInArrow(_tables, shape)
+    carried = _ranges(leading).mapInArrow(_tables(RANGE, HALO, True), shape)
+    own = _ranges(big)
+    counted = own.mapInArrow(_tables(RANGE, HALO, False), shape)
     # the state at a row's first line, from the rows before it in its file
     firsts = _row_states(carried, big.filter("_first > 1").select("_key", "_path", "_first").distinct())
     within = _part_states(counted, firsts)
     order = W.partitionBy("_key", "_path", "_first").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     placed = counted.withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0)).cast("int")).select("_key", "_path", "_first", "part", "before")
     keys = ["_key", "_path", "_first", "part"]
-    return own.join(placed.join(within, keys), keys).mapInArrow(_emit, "_key string, line_no int").distinct()
+    return own.join(placed.join(within, keys), keys).mapInArrow(_emit(RANGE, HALO), "_key string, line_no int").distinct()
 
 
 def _row_states(carried: DataFrame, rows: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text", sou
         least = F.when(prose, PROSE_SHARE).when(F.col("at_limit"), LINE_SHARE_AT_LIMIT).otherwise(LINE_SHARE)
         return (F.col(f"n{s}") > 0) & (ends >= least * F.col(f"n{s}"))
 
-    custom = (F.length("unit") > 1) & (F.col("finals") > 1) & (F.col("finals") >= CUSTOM_SHARE * F.col("bare")) & (F.col("finals") > F.col("n") - F.col("lines") - F.col("sentences"))
+    custom = ~F.col("at_limit") & (F.length("unit") > 1) & (F.col("finals") > 1) & (F.col("finals") >= CUSTOM_SHARE * F.col("bare")) & (F.col("finals") > F.col("n") - F.col("lines") - F.col("sentences"))
     word = F.when(F.col("n") >= 8, enough_ends("")).otherwise(enough_ends("") | enough_ends("_2")) | custom
     usual, enough = F.when(F.col("at_limit"), 0.9).otherwise(0.5), F.when(F.col("at_limit"), 20).otherwise(3)
 
