@@ -1,3 +1,8 @@
 """tesserine: a PySpark-native engine for code retrieval, vector search and corpus preparation."""
 
+from tesserine.plans.manager import IndexManager
+from tesserine.session import build_session
+from tesserine.sources.store import Snapshot, SnapshotStore
+
 __version__ = "0.1.0"
+__all__ = ["IndexManager", "Snapshot", "SnapshotStore", "build_session"]

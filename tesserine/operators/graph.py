@@ -54,6 +54,12 @@ def search(visited: DataFrame, nodes: DataFrame, requests: DataFrame, passes: Co
     return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= top_k").select("request_id", "id", "distance", "rank")
 
 
+def passing(nodes: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Rows of nodes that a bitmap (id, pass) lets through: those it does not name, and those whose value is 1."""
+    values = bitmap.groupBy("id").agg(F.max(F.col("pass") == 1).alias("_pass"))
+    return nodes.join(values, "id", "left").filter(F.coalesce("_pass", F.lit(True))).drop("_pass")
+
+
 def search_stats(visited: DataFrame, passes: Column) -> DataFrame:
     """(request_id, visited, filtered_nodes): how many nodes each request visited, and how many of them fail the filter."""
     return visited.groupBy("request_id").agg(F.count("*").alias("visited"), F.count_if(~passes).alias("filtered_nodes"))
