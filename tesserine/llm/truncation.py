@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserine.session import write_table
+
 #: Lengths to either side whose mean count a spike is tested against.
 NEIGHBOURS = 25
 #: A spike's count is at least this, and its Poisson tail below exp(-SURPRISE).
@@ -252,7 +254,7 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text", sou
     Null texts give no row; empty and blank ones are whole; a null source is a source of its own; rows are
     not merged, whatever repeats. Whole texts are read. Extra columns are not read.
     """
-    ends = endings(documents, key, text, source)
+    ends = write_table(endings(documents, key, text, source), "endings")
     by_chars = length_spikes(ends, "chars").select(F.col("_source").alias("_s1"), F.col("chars").alias("_c1"))
     by_bytes = length_spikes(ends, "bytes").select(F.col("_source").alias("_s2"), F.col("bytes").alias("_c2"))
     marked = (
@@ -262,7 +264,7 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text", sou
     )
     asked = F.col("verdict").isin("word", "marker", "form")
     open_ends, settled = marked.filter(asked), marked.filter(~asked)
-    counts = end_counts(documents, text)
+    counts = write_table(end_counts(documents, text), "end-counts")
     others = counts.select(F.col("pool").alias("pool_2"), F.col("unit").alias("other"), *[F.col(c).alias(f"{c}_2") for c in _COUNTS])
     bare = counts.filter(F.col("unit") == ALL).select("pool", F.col("finals").alias("bare"))
     judged = (
