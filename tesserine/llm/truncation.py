@@ -27,9 +27,9 @@ LEAST_COUNT, SURPRISE = 5, 16.0
 #: Below this share of its occurrences at a line's (in prose also a sentence's) end, a last word marks a cut.
 LINE_SHARE, PROSE_SHARE, LINE_SHARE_AT_LIMIT = 0.08, 0.5, 0.15
 
-#: A bare last word that ends this share of all bare texts is a custom, as of chats.
-CUSTOM_SHARE = 0.02
-#: Stands for all units of a pool.
+#: A last word that ends this share of all texts without punctuation is a custom, as of chats.
+CUSTOM_SHARE = 0.005
+#: Stands for all pools, or all units.
 ALL = "\x02"
 
 # What shows a shortened text, and what ends a sentence.
@@ -121,8 +121,8 @@ def count_ends(text: str, counts: dict) -> None:
         for unit, end in _units(line):
             if last and end == "l":
                 if "\t" not in unit:
-                    counts[pool, unit][4] += 1
-                    counts[pool, ALL][4] += 1
+                    counts[ALL, unit][4] += 1
+                    counts[ALL, ALL][4] += 1
                 continue
             row = counts[pool, unit]
             row[0] += 1
@@ -266,13 +266,16 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text", sou
     open_ends, settled = marked.filter(asked), marked.filter(~asked)
     counts = write_table(end_counts(documents, text), "end-counts")
     others = counts.select(F.col("pool").alias("pool_2"), F.col("unit").alias("other"), *[F.col(c).alias(f"{c}_2") for c in _COUNTS])
-    bare = counts.filter(F.col("unit") == ALL).select("pool", F.col("finals").alias("bare"))
+    bare = counts.filter((F.col("pool") == ALL) & (F.col("unit") == ALL)).first()
+    often = F.greatest(F.lit(2.0), F.lit(CUSTOM_SHARE * (bare["finals"] if bare else 0)))
+    # at most 1 / CUSTOM_SHARE words
+    customs = counts.filter((F.col("pool") == ALL) & (F.col("unit") != ALL) & (F.length("unit") > 1) & (F.col("finals") >= often))
     judged = (
         open_ends.withColumn("pool_2", F.when(F.col("unit") == F.col("other"), "prose").otherwise(F.col("pool")))
         .join(counts, ["pool", "unit"], "left")
         .join(others, ["pool_2", "other"], "left")
-        .join(F.broadcast(bare), "pool", "left")  # a row for each of two pools
-        .na.fill(0, [*_COUNTS, *(f"{c}_2" for c in _COUNTS), "bare"])
+        .join(F.broadcast(customs.select("unit", F.col("finals").alias("customary"))), "unit", "left")
+        .na.fill(0, [*_COUNTS, *(f"{c}_2" for c in _COUNTS), "customary"])
     )
 
     def enough_ends(s: str):
@@ -281,7 +284,8 @@ def truncated(documents: DataFrame, key: str = "doc_id", text: str = "text", sou
         least = F.when(prose, PROSE_SHARE).when(F.col("at_limit"), LINE_SHARE_AT_LIMIT).otherwise(LINE_SHARE)
         return (F.col(f"n{s}") > 0) & (ends >= least * F.col(f"n{s}"))
 
-    custom = ~F.col("at_limit") & (F.length("unit") > 1) & (F.col("finals") > 1) & (F.col("finals") >= CUSTOM_SHARE * F.col("bare")) & (F.col("finals") > F.col("n") - F.col("lines") - F.col("sentences"))
+    inner = F.col("n") - F.col("lines") - F.col("sentences")
+    custom = ~F.col("at_limit") & (F.col("customary") > 0) & (F.col("customary") > 0.1 * inner)
     word = F.when(F.col("n") >= 8, enough_ends("")).otherwise(enough_ends("") | enough_ends("_2")) | custom
     usual, enough = F.when(F.col("at_limit"), 0.9).otherwise(0.5), F.when(F.col("at_limit"), 20).otherwise(3)
 
