@@ -174,6 +174,15 @@ ORACLE["term_freq"] = f"WITH {_NODES} SELECT node_id, token, tf FROM postings"
 ORACLE["doc_freq"] = f"WITH {_NODES} SELECT token, df FROM frequencies"
 ORACLE["idf"] = f"WITH {_NODES} SELECT token, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf FROM frequencies CROSS JOIN sizes"
 ORACLE["avg_doc_len"] = f"WITH {_NODES} SELECT n AS nodes, round(avg_len, 9) AS avg_len FROM sizes"
+ORACLE["query_expansion"] = f"""
+WITH {_NODES}, {_QUERIES},
+lists AS (
+  SELECT query_id, list_concat(words, flatten(list_transform(words, lambda w: CASE w
+    WHEN 'latency' THEN ['p95', 'throughput', 'qps', 'delay'] WHEN 'symbol' THEN ['identifier', 'function', 'method', 'api']
+    WHEN 'graph' THEN ['dependency', 'callgraph', 'edge', 'neighbor'] WHEN 'index' THEN ['hnsw', 'ivf', 'diskann', 'bitmap']
+    WHEN 'consistency' THEN ['transaction', 'outbox', 'atomic', 'sync'] ELSE []::VARCHAR[] END))) AS found FROM asked)
+SELECT query_id, (generate_subscripts(found, 1) - 1)::INT AS pos, unnest(found) AS token FROM lists
+"""
 ORACLE["dense_topk"] = f"WITH {_NODES}, {_QUERIES}, {_DENSE} SELECT * FROM {_top('SELECT * FROM dense_scores', 8)}"
 ORACLE["sparse_bm25_topk"] = f"WITH {_NODES}, {_QUERIES}, {_SPARSE} SELECT * FROM {_top('SELECT * FROM sparse_scores', 8)}"
 ORACLE["symbol_topk"] = f"WITH {_NODES}, {_QUERIES}, {_SYMBOL} SELECT * FROM {_top('SELECT * FROM symbol_scores', 8)}"
