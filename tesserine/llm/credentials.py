@@ -43,10 +43,10 @@ _in_words = re.compile(
 _literal = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 _joint = re.compile(r"\s*\+?\s*$")
 _named = re.compile(
-    r"([A-Za-z_][\w.-]*)[\"'\])]*(?:\[\d*\])?\s*(?::\s*[&'\w<>\[\]:. ]+?)?\s*(?::=|=>|==?|:|,|\()\s*(?:[\w:]+\()?\s*$"
+    r"([A-Za-z_][\w.-]*)[\"'\])]*(?:\[\d*\])?\s*(?::(?!:)\s*[&'\w<>\[\]:. ]+?)?\s*(?::=|=>|==?|:|,|\()\s*(?:[\w:]*\()?\s*$"
 )
 _call = re.compile(r"(?:login|logon|signin|connect|dial|auth\w*|credentials?)\w*\(\s*(?:[\w.]+\s*,\s*)*[\"'][\w.@-]+[\"']\s*,\s*$", re.I)
-_pair = re.compile(r"(?:^|[\s;&?\"'`(|-])([A-Za-z_][\w.-]*)\s*[=:]\s*([^\s;&\"'`|]{6,})")
+_pair = re.compile(r"(?:^|[\s;&?\"'`(|-])([A-Za-z_][\w.-]*)\s*[=:]\s*(?!//)((?:(?!&\w+=)[^\s;\"'`|]){6,})")
 _secret_name = re.compile(r"pass(?:word|wd|phrase|code|wort)?s?$|pwd$|(?:^|_)pw$|secret|token|api_?key|credential|bearer|cookie|(?:access|auth|private|signing|licen[cs]e|encryption|client|service|master|session|account|shared|deploy|host|tls|ssh|root|admin)_?key$")
 _password_name = re.compile(r"pass|pwd|(?:^|_)pw$")
 _harmless_name = re.compile(r"hash|digest|sha\d|checksum|fingerprint|integrity|etag|public|pub(?:_|$)|_id$|uuid|(?:^|_)(?:kind|type|name|param|url|uri|path|file|field|header|len|length|count|ttl|expiry)$")
@@ -121,6 +121,14 @@ def _plain(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").lower()
 
 
+def _full(line: str, start: int, name: str) -> str:
+    """A name that ends in key with the word before it, where the two stand apart as in prose."""
+    if name.lower() == "key":
+        words = re.search(r"([A-Za-z]+)[ -]$", line[:start])
+        return f"{words.group(1)}_{name}" if words else name
+    return name
+
+
 def _secret(name: str) -> bool:
     plain = _plain(name)
     return bool(_secret_name.search(plain)) and not _harmless_name.search(plain)
@@ -157,14 +165,16 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
                 found.append(spans)
             continue
         named = _named.search(before)
-        if named and _secret(named.group(1)):
-            if plausible(value, bool(_password_name.search(_plain(named.group(1))))):
+        name = _full(before, named.start(1), named.group(1)) if named else ""
+        if named and _secret(name):
+            if plausible(value, bool(_password_name.search(_plain(name)))):
                 found.append(spans)
         inner.append(spans[0])
     for match in _pair.finditer(line):
         quoted = any(s <= match.start(2) and match.end(2) <= e for s, e in inner)
-        if (quoted or loose) and _secret(match.group(1)):
-            password = bool(_password_name.search(_plain(match.group(1))))
+        name = _full(line, match.start(1), match.group(1))
+        if (quoted or loose) and _secret(name):
+            password = bool(_password_name.search(_plain(name)))
             if plausible(match.group(2), password):
                 found.append([Span(*match.span(2))])
     if loose:
@@ -188,6 +198,10 @@ def _block_spans(text: str) -> list[Span]:
     return spans
 
 
+#: Lines that a string in parts may go on for.
+JOINED_LINES = 8
+_goes_on = re.compile(r"[\"'`]\s*[+\\]?\s*$")
+_goes_in = re.compile(r"\n\s*\+?\s*[\"'`]")
 _comment = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|;|>|[-*+] |\|)|(?:\s#|//)\s")
 
 
@@ -216,6 +230,11 @@ def find_spans(text: str, markup: bool) -> list[list[Span]]:
         start = text.rfind("\n", 0, end) + 1
         stop = text.find("\n", end)
         stop = len(text) if stop < 0 else stop
+        for _ in range(JOINED_LINES):  # a string that goes on in the next line is read with it
+            if not _goes_on.search(text, start, stop) or not _goes_in.match(text, stop):
+                break
+            after = text.find("\n", stop + 1)
+            stop = len(text) if after < 0 else after
         read_to = stop
         line = text[start:stop]
         loose = markup or bool(_comment.search(line))
