@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,12 +29,8 @@ from tesserine.session import write_table
 SKETCH = 32
 #: A value in more classes than this is common.
 COMMON = 64
-#: A class is overlapped by its other values if it has so many, or this share of a small sketch.
-ENOUGH, ENOUGH_SHARE = 8, 0.6
-#: Of n values usable for both, an overlap must hold OVERLAP * n - SLACK: over four deviations below the mean at 0.6.
-OVERLAP, SLACK = 0.28, 1.5
-#: Lowest common values of a sketch that are combined.
-COMBINED = 12
+#: Probability that the sketches of a pair at just the least similarity share fewer values than are asked for.
+LOSS = 1e-5
 
 _word = re.compile(r"[A-Za-z0-9_]+")
 
@@ -86,6 +82,17 @@ def set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def sure_overlap(similarity: float) -> int:
+    """Values that two full sketches at the similarity share but for a probability of LOSS.
+
+    Of the least values of the union, one sketch's worth, both sets hold binomially many.
+    """
+    below, least = 0.0, 0
+    while least < SKETCH and (below := below + comb(SKETCH, least) * similarity**least * (1 - similarity) ** (SKETCH - least)) <= LOSS:
+        least += 1
+    return max(1, least)
+
+
 def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of classes whose sketches overlap enough to verify; classes: (rep, size, sketch).
 
@@ -94,64 +101,49 @@ def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
     values = classes.select("rep", "size", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     counted = values.withColumn("_n", F.count("*").over(W.partitionBy("value"))).filter("_n > 1")
     listed = write_table(counted, "lists")
-    many = listed.filter(F.col("_n") > COMMON).groupBy("rep", "size", "kept").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    common = write_table(many.withColumn("common", F.size("values")), "common-values")  # at most a sketch each
-    usable = F.col("kept") - F.col("common")
-    poor = common.filter(usable < F.least(F.lit(ENOUGH), F.lit(ENOUGH_SHARE) * F.col("kept")))
+    # at most a sketch each, the rarest first
+    held = listed.filter(F.col("_n") > COMMON).groupBy("rep", "size", "kept").agg(F.array_sort(F.collect_set(F.struct("_n", "value"))).alias("values"))
+    common = write_table(held.withColumn("values", F.col("values.value")), "common-values")
     several = listed.filter(F.col("_n") <= COMMON)
     left, right = (several.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept")]) for side in "ab")
-    least = F.least("kept_a", "kept_b")
     allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
     counts = (
         left.join(right, "value")
         .filter((F.col("rep_a") < F.col("rep_b")) & allowed)
         .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .agg(F.count("*").alias("_shared"), F.first(least).alias("_kept"))
+        .agg(F.count("*").alias("_shared"), F.first(F.greatest("kept_a", "kept_b")).alias("_kept"))
     )
-    lost_a, lost_b = (common.select(F.col("rep").alias(side), F.col("common").alias(f"_lost_{side}")) for side in "ab")
-    lost = F.greatest(F.coalesce("_lost_a", F.lit(0)), F.coalesce("_lost_b", F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    values_a, values_b = (common.select(F.col("rep").alias(side), F.col("values").alias(f"_values_{side}")) for side in "ab")
+    both = F.size(F.array_intersect(F.coalesce("_values_a", none), F.coalesce("_values_b", none)))
     shared = (
-        counts.join(lost_a, "a", "left")
-        .join(lost_b, "b", "left")
-        .filter(F.col("_shared") >= OVERLAP * (F.col("_kept") - lost) - SLACK)
+        counts.join(values_a, "a", "left")
+        .join(values_b, "b", "left")
+        .filter(F.col("_shared") + both >= _needed(F.col("_kept"), similarity))
         .select("a", "b")
     )
-    if poor.isEmpty():
-        return shared
-    return shared.unionByName(_common_overlaps(common, poor, similarity)).distinct()
+    return shared.unionByName(_common_overlaps(common, similarity)).distinct()
 
 
-def _common_overlaps(common: DataFrame, poor: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a class of common values nearly alone with another, by triples of common values.
+def _needed(kept: Column, similarity: float) -> Column:
+    """Values that a sketch of so many shares with any other at the similarity; small sets are all in their sketches."""
+    return F.least(F.lit(sure_overlap(similarity)), F.ceil(F.lit(similarity) * kept - 1e-9)).cast("int")
 
-    A class similar to such a one has many common values itself, so only classes with common values are asked.
-    Of two sketches at the least similarity, the lowest values hold three in common but for a few in a hundred
-    thousand. Sets too small for triples are listed by single values, among sets of about their size.
-    """
-    single, triple = COMBINED / similarity, COMBINED
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, sizes, values = [], [], []
-            for rep, size, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                low = found[:COMBINED]
-                groups = list(combinations(low, 3)) if size >= triple else []
-                groups += [(v,) for v in found] if size < single else []
-                for group in groups:
-                    reps.append(rep)
-                    sizes.append(size)
-                    values.append(hash(group))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.int64())], ["rep", "size", "value"])
-
-    def combined(df: DataFrame) -> DataFrame:
-        return df.select("rep", "size", "values").mapInArrow(combine, "rep bigint, size int, value bigint")
-
-    asked = common.filter(F.col("common") >= F.least(F.lit(3), F.lit(0.3) * F.col("kept")))
-    ours = combined(poor).select("value", F.col("rep").alias("a"), F.col("size").alias("size_a"))
-    others = combined(asked).select("value", F.col("rep").alias("b"), F.col("size").alias("size_b"))
+def _common_overlaps(common: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that share enough common values; common: (rep, size, kept, values), the rarest first.
+
+    Where two sketches must share n values, the rarest that they share is in neither's n - 1 most common, so
+    those are not listed. A pair is made at that value only.
+    """
+    listed = F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - _needed(F.col("kept"), similarity) + 1))
+    entries = common.select("rep", "size", "kept", "values", F.explode(listed).alias("value"))
+    left, right = (entries.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept", "values")]) for side in "ab")
     allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    pairs = ours.join(others, "value").filter((F.col("a") != F.col("b")) & allowed)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = F.array_intersect("values_a", "values_b")
+    enough = F.size(both) >= _needed(F.greatest("kept_a", "kept_b"), similarity)
+    pairs = left.join(right, "value").filter((F.col("rep_a") < F.col("rep_b")) & allowed)
+    return pairs.filter(enough & (F.element_at(both, 1) == F.col("value"))).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -77,6 +77,15 @@ def test_near_copies_against_brute_force(chunks, monkeypatch, common):
     assert found == brute_pairs(rows, 3, 0.6)
 
 
+def test_near_copies_of_one_template(chunks):
+    rows = []
+    for t, (shared, own) in enumerate([(90, 30), (84, 24), (80, 20), (75, 15), (72, 12)]):  # similarities 0.6 to 0.75
+        template = " ".join(f"t{t}w{i}" for i in range(shared + 2))
+        rows += [{"node_id": f"{t}_{k:03d}", "chunk_text": " ".join([template, *[f"o{t}_{k}_{i}" for i in range(own)]])} for k in range(110)]
+    found = sorted(tuple(r) for r in nearcopies.similar_pairs(chunks(rows), words=3, similarity=0.6).collect())
+    assert len(found) == 5 * 110 * 109 // 2 and found == brute_pairs(rows, 3, 0.6)
+
+
 def test_classes(chunks):
     rows = [{"node_id": k, "chunk_text": "one two three four five six"} for k in "abc"]
     members, links = nearcopies.similar_classes(chunks(rows))
