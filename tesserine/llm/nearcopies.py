@@ -4,9 +4,10 @@ Each text's distinct runs of words are hashed; the k smallest hashes are its ske
 shingle sets become one class. Inverted lists of the sketches' values generate overlaps of classes; the
 overlap, as an estimate of the union's sketch, filters them; the exact Jaccard similarity verifies what is left.
 
-A sketch value in very many classes (common code) generates too many overlaps, so it is left out where a class
-keeps enough other values. Classes made of common values only are overlapped through pairs and triples of their
-values instead, and through all of them in blocks where even those are common: nothing is dropped.
+A sketch value in very many classes (common code) generates too many overlaps. Each class leaves only so many of
+its most common values out of the lists that two similar sketches still meet at a rarer one. What may be lost are
+pairs whose sketches share fewer values than is asked for: see `LOSS`. A list of n classes is still n * n / 2
+comparisons, also where it is long, but a pair is made once.
 """
 
 from __future__ import annotations
