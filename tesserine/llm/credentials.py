@@ -41,7 +41,7 @@ _in_words = re.compile(
     r"\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential|login)\b[\"'`]?(?:\s+is)?\s*[:=]?\s+(?:[\w.@-]+\s*/\s*)?([^\s,;\"'`|]{8,})", re.I
 )
 _literal = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
-_joint = re.compile(r"\s*\+?\s*$")
+_joint = re.compile(r"\s*[+\\]?\s*$")
 _named = re.compile(
     r"([A-Za-z_][\w.-]*)[\"'\])]*(?:\[\d*\])?\s*(?::(?!:)\s*[&'\w<>\[\]:. ]+?)?\s*(?::=|=>|==?|:|,|\()\s*(?:[\w:]*\()?\s*$"
 )
@@ -103,7 +103,7 @@ def _basic(value: str) -> bool:
 
 
 def _literals(line: str) -> Iterator[tuple[str, str, list[Span]]]:
-    """(text before, value, spans) of each string of a line; strings joined by + or by standing together are one."""
+    """(text before, value, spans) of each string of a line; strings joined by +, by a line's backslash or by standing together are one."""
     group: list[re.Match] = []
     for match in [*_literal.finditer(line), None]:
         if group and (match is None or not _joint.match(line[group[-1].end() : match.start()]) or line[group[-1].end() : match.start()] == ""):
@@ -169,7 +169,7 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
         if named and _secret(name):
             if plausible(value, bool(_password_name.search(_plain(name)))):
                 found.append(spans)
-        inner.append(spans[0])
+        inner.extend(spans)
     for match in _pair.finditer(line):
         quoted = any(s <= match.start(2) and match.end(2) <= e for s, e in inner)
         name = _full(line, match.start(1), match.group(1))
@@ -198,8 +198,6 @@ def _block_spans(text: str) -> list[Span]:
     return spans
 
 
-#: Lines that a string in parts may go on for.
-JOINED_LINES = 8
 _goes_on = re.compile(r"[\"'`]\s*[+\\]?\s*$")
 _goes_in = re.compile(r"\n\s*\+?\s*[\"'`]")
 _comment = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|;|>|[-*+] |\|)|(?:\s#|//)\s")
@@ -230,11 +228,13 @@ def find_spans(text: str, markup: bool) -> list[list[Span]]:
         start = text.rfind("\n", 0, end) + 1
         stop = text.find("\n", end)
         stop = len(text) if stop < 0 else stop
-        for _ in range(JOINED_LINES):  # a string that goes on in the next line is read with it
-            if not _goes_on.search(text, start, stop) or not _goes_in.match(text, stop):
-                break
+        part = start  # a string that goes on in the next line is read with it
+        while _goes_on.search(text, part, stop) and _goes_in.match(text, stop):
             after = text.find("\n", stop + 1)
-            stop = len(text) if after < 0 else after
+            after = len(text) if after < 0 else after
+            if text[stop:after].strip(" \t\r\n+\\"):
+                part = stop
+            stop = after
         read_to = stop
         line = text[start:stop]
         loose = markup or bool(_comment.search(line))

@@ -212,6 +212,18 @@ def test_credentials_in_a_line(line, secret):
     assert [kind(c) for c in clean] == [kind(c) for c in line]
 
 
+@pytest.mark.parametrize("joint", ["", " +", " \\"])
+def test_credentials_in_many_parts(chunks, joint):
+    random.seed(3)
+    parts = ["".join(random.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=12)) for _ in range(30)]
+    text = "x = 1\nbearer = (" + f"{joint}\n    ".join(f'"{p}"' for p in parts) + ")\ny = 2\n"
+    (row,) = credentials.redacted(chunks([{"node_id": "n", "file_path": "x.py", "chunk_text": text}])).collect()
+    assert row["found"] == 1 and len(row["chunk_text"]) == len(text) and not any(p in row["chunk_text"] for p in parts)
+    # what stands in a later part is found as in a line of its own
+    query = f"{joint}\n  ".join(['url = "token of the page"', *['"&a=b"'] * 12, '"&password=Quiet#Fal1;x"'])
+    assert [query[s.start : s.end] for (s,) in credentials.find_spans(query, False)] == ["Quiet#Fal1"]
+
+
 def test_credential_rows(chunks):
     text = "\n\n".join(line for line, _ in SECRETS[:2])
     rows = [{"node_id": "n", "chunk_text": text, "start_line": 10}] * 2 + [{"node_id": "m", "chunk_text": None}, {"node_id": "e", "chunk_text": ""}]
