@@ -158,6 +158,7 @@ def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[
     """(first line of what is attached, line of the definition or heading itself) of each boundary."""
     found: list[tuple[int, int]] = []
     definition = _definitions.get(language)
+    ends = _next_ends(lines) if language == "c" else []
     for i, line in enumerate(lines):
         if not line or i in lexed.string or i in lexed.comment:
             continue
@@ -173,7 +174,7 @@ def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[
             if _C_ALIAS.match(line):
                 if "struct" not in line and "class" not in line and "using" not in line:
                     continue
-            elif not _C_TYPE.match(line) and not _c_function(lines, i):
+            elif not _C_TYPE.match(line) and not _c_function(lines, i, ends[i]):
                 continue
             elif line.startswith("template") and line.rstrip().endswith(">"):
                 continue
@@ -201,14 +202,25 @@ def _code_before(line: str) -> bool:
     return "/*" in line and bool(line.partition("/*")[0].strip())
 
 
-def _c_function(lines: list[str], i: int) -> bool:
-    """Whether a function's body begins at the line: its arguments, then an opening brace before any semicolon."""
+def _next_ends(lines: list[str]) -> list[int]:
+    """For each line, the next one from it on with an opening brace or a semicolon; the number of lines if none has."""
+    ends, at = [0] * len(lines), len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        if "{" in lines[i] or ";" in lines[i]:
+            at = i
+        ends[i] = at
+    return ends
+
+
+def _c_function(lines: list[str], i: int, end: int) -> bool:
+    """Whether a function's body begins at the line: its arguments, then in line `end` a brace before any semicolon."""
     line = lines[i]
-    if not _C_FUNCTION.match(line):
+    if end == len(lines) or not _C_FUNCTION.match(line):
+        return False
+    body, _, _ = lines[end].partition("{")
+    if body == lines[end] or ";" in body or end == i and "(" not in body:
         return False
-    rest = " ".join(lines[i : i + 12])
-    brace, end = rest.find("{"), rest.find(";")
-    return brace >= 0 and (end < 0 or brace < end) and "(" in rest[:brace] and "=" not in rest[: rest.find("(")]
+    return "=" not in line[: line.find("(")]
 
 
 def _owned(text: str, low: bool, last: bool, own: int, halo: int) -> tuple[int, int]:

@@ -147,6 +147,12 @@ def test_boundaries_of_a_text(path):
     assert [i + 1 for i in boundaries.boundaries(text.split("\n"), family, boundaries.lex(text, family))] == want
 
 
+def test_boundaries_of_a_long_signature():
+    arguments = ",\n".join(f"        int argument{i}" for i in range(30))
+    text = f"int first(\n{arguments});\nint second(\n{arguments})\n{{\n}}\nint none(\n{arguments}\n"
+    assert boundaries.boundaries(text.split("\n"), "c", boundaries.lex(text, "c")) == [31]
+
+
 def test_boundaries_across_ranges_and_chunks(spark, chunks, monkeypatch):
     monkeypatch.setattr(boundaries, "RANGE", 300)
     monkeypatch.setattr(boundaries, "HALO", 150)
