@@ -3,7 +3,8 @@
 Texts are read in ranges of characters with halos, so that no worker needs a whole file. Whether a line lies
 inside a string, comment or fence depends on everything before it: each range gives, for every lexical state it
 may begin in, the state it ends in; these tables are composed along the file, first within blocks of ranges, then
-over blocks. With its true first state known, a range emits its boundaries; line numbers are prefix sums.
+over blocks. With its true first state known, a range emits its boundaries; line numbers are prefix sums. What is attached above a border is
+followed through the ranges before.
 """
 
 from __future__ import annotations
@@ -163,10 +164,7 @@ def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[
         if not line or i in lexed.string or i in lexed.comment:
             continue
         if language == "markdown" and i and _underline.match(line) and _paragraph.match(lines[i - 1]) and i - 1 not in lexed.string:
-            top = i - 1
-            while top > 0 and _paragraph.match(lines[top - 1]) and top - 1 not in lexed.string:
-                top -= 1
-            found.append((top, i))
+            found.append((_run_top(lines, i, language, lexed), i))
             continue
         if language == "c":
             if line[0].isspace() or line[0] in "#}{/*":
@@ -181,19 +179,30 @@ def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[
         elif not definition.match(line):
             continue
         start = i
-        while language != "markdown" and start > 0:
-            above = lines[start - 1]
-            if start - 1 in lexed.string or not above.strip():
-                break
-            in_comment = start - 1 in lexed.comment or above.lstrip().startswith("/*") and above.rstrip().endswith("*/") or above.startswith("/*")
-            if in_comment and not _code_before(above) or _attached[language].match(above):
-                start -= 1
-            else:
-                break
+        if language != "markdown":
+            start = _run_top(lines, i, language, lexed)
         found.append((start, i))
     return found
 
 
+def _run_top(lines: list[str], end: int, language: str, lexed: Lexed) -> int:
+    """The first of the lines directly before `end` that belong to what follows: comments and the like, or a paragraph."""
+    top = end
+    while top > 0:
+        above = lines[top - 1]
+        if top - 1 in lexed.string or not above.strip():
+            break
+        if language == "markdown":
+            if not _paragraph.match(above):
+                break
+        else:
+            in_comment = top - 1 in lexed.comment or above.lstrip().startswith("/*") and above.rstrip().endswith("*/") or above.startswith("/*")
+            if not (in_comment and not _code_before(above) or _attached[language].match(above)):
+                break
+        top -= 1
+    return top
+
+
 def _code_before(line: str) -> bool:
     """Whether a line that ends or opens a block comment also holds code."""
     head, mark, tail = line.partition("*/")
@@ -313,36 +322,53 @@ def _first_states(tables: DataFrame) -> DataFrame:
     )
 
 
+#: What a range tells of a line: a boundary, one that begins in the ranges before, a heading if a paragraph ends there,
+#: or where the lines begin that belong to the next range's first (null: before this range).
+SURE, OPEN, UNDERLINE, RUN = range(4)
+
+
 def _emit(own_size: int, halo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Boundaries of each range, as line numbers of the file, given its first state and first line."""
-        names = ("_key", "_path", "_language", "_first", "low", "last", "slice", "state", "before")
+        names = ("_path", "_language", "_first", "low", "last", "slice", "state", "before")
         for batch in batches:
-            keys, found = [], []
-            for key, path, language, first, low, last, text, state, before in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            rows, kinds, found = [], [], []
+            for n, (path, language, first, low, last, text, state, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
                 family = language_of(path, language)
                 start, stop = _owned(text, low, last, own_size, halo)
                 lexed = lex(text[start:], family, states(family)[state])
-                head = text[:start].split("\n")[-40:-1] if start else []
                 lines = text[start:].split("\n")
-                shifted = Lexed({i + len(head) for i in lexed.comment}, {i + len(head) for i in lexed.string}, "")
                 own = text.count("\n", start, stop) + (1 if last else 0)
-                for top, at in boundary_pairs([*head, *lines], family, shifted):
-                    line = top - len(head)
-                    if 0 <= at - len(head) < own and before + line > 0:
-                        keys.append(key)
-                        found.append(first + before + line)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.int32())], ["_key", "line_no"])
+                told = [(OPEN if low and top == 0 and (at or family != "markdown") else SURE, top) for top, at in boundary_pairs(lines, family, lexed) if at < own]
+                if low and own and family == "markdown" and 0 not in lexed.string and _underline.match(lines[0]):
+                    told.append((UNDERLINE, 0))
+                if not last:
+                    top = _run_top(lines, own, family, lexed)
+                    told.append((RUN, None if low and top == 0 else top))
+                rows.extend([n] * len(told))
+                kinds.extend(kind for kind, _ in told)
+                found.extend(None if top is None else first + before + top for _, top in told)
+            keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("_key", "_path", "_first", "part")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(kinds, pa.int32()), pa.array(found, pa.int32())], ["_key", "_path", "_first", "part", "kind", "line_no"])
 
     return run
 
 
+def _resolved(told: DataFrame) -> DataFrame:
+    """(_key, line_no): boundaries, of which those that begin in ranges before are followed through these."""
+    order = W.partitionBy("_key", "_path", "_first").orderBy("part").rangeBetween(W.unboundedPreceding, -1)
+    above = told.withColumn("_above", F.last(F.when(F.col("kind") == RUN, F.col("line_no")), ignorenulls=True).over(order))
+    kept = above.filter((F.col("kind") <= OPEN) | (F.col("kind") == UNDERLINE) & (F.col("_above") < F.col("line_no")))
+    line = F.when(F.col("kind") == SURE, F.col("line_no")).otherwise(F.col("_above"))
+    return kept.withColumn("line_no", line).filter("line_no > _first").select("_key", "line_no").distinct()
+
+
 def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
     """(_key, line_no): for each chunk longer than limit, the file's lines at which a cut is natural.
 
     A chunk's own first line is none. Chunks without text, id or path give none; a null start_line is 1;
     repeated rows count once; where rows of one file overlap, the earlier decides the state at the next.
-    A line longer than a range's halo is taken to change no state. Extra columns are not read.
+    A line longer than a range's halo is taken to change no state, and a C signature is read to the halo's end. Extra columns are not read.
     """
     rows = chunks.filter("node_id IS NOT NULL AND file_path IS NOT NULL AND chunk_text IS NOT NULL").select(
         F.col("node_id").cast("string").alias("_key"),
@@ -376,7 +402,8 @@ def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
     order = W.partitionBy("_key", "_path", "_first").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     placed = counted.withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0)).cast("int")).select("_key", "_path", "_first", "part", "before")
     keys = ["_key", "_path", "_first", "part"]
-    return own.join(placed.join(within, keys), keys).mapInArrow(_emit(RANGE, HALO), "_key string, line_no int").distinct()
+    shape = "_key string, _path string, _first int, part int, kind int, line_no int"
+    return _resolved(own.join(placed.join(within, keys), keys).mapInArrow(_emit(RANGE, HALO), shape))
 
 
 def _row_states(carried: DataFrame, rows: DataFrame) -> DataFrame:

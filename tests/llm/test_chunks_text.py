@@ -180,6 +180,28 @@ def test_boundaries_across_ranges_and_chunks(spark, chunks, monkeypatch):
     assert boundaries.natural_lines(chunks([]), 10).count() == 0
 
 
+def test_attached_lines_across_ranges(chunks, monkeypatch):
+    monkeypatch.setattr(boundaries, "RANGE", 300)
+    monkeypatch.setattr(boundaries, "HALO", 150)
+    blocks = {
+        "x.js": ["/*", *[f" text of line {i}" for i in range(60)], " */", "function f() {", "}", ""] + ["/* a", "b */", "class C {", "}", ""] * 9,
+        "x.py": ["x = 1", *[f"# line {i}" for i in range(90)], "def f():", "    pass", 's = """', *["# no"] * 50, '"""', "def g():", "    pass", ""],
+        "x.md": ["# One", "", *["a paragraph of words"] * 40, "===", "text", "", "Two", "---", "", "- item", "---", "~~~", *["code"] * 70, "~~~", "Three", "==="] * 2,
+    }
+    rows = [
+        {"node_id": f"{path}{k}", "file_path": f"{k}/{path}", "chunk_text": "\n".join(["y" * k, *lines, *lines]), "start_line": 1}
+        for path, lines in blocks.items()
+        for k in range(0, 60, 3)
+    ]
+    want = set()
+    for r in rows:
+        family = boundaries.language_of(r["file_path"], None)
+        whole = boundaries.boundaries(r["chunk_text"].split("\n"), family, boundaries.lex(r["chunk_text"], family))
+        want |= {(r["node_id"], i + 1) for i in whole if i}
+    found = [(r["_key"], r["line_no"]) for r in boundaries.natural_lines(chunks(rows), 1000).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_pieces(chunks):
     text = "\n".join(f"def f{i}():\n    x = {i}\n    return '{'y' * 40}'\n" for i in range(60))
     rows = [{"node_id": "n", "file_path": "x.py", "symbol": "own", "chunk_text": text, "start_line": 5}, {"node_id": "null"}]
