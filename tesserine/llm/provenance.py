@@ -1,7 +1,10 @@
 """Files that nobody wrote by hand: generated by a tool, minified, vendored from elsewhere, or data saved as code.
 
-Each chunk's token stream is fingerprinted by winnowing. A file whose fingerprints largely recur in vendored
-files of other repositories is a copy of the same third-party file, wherever it lies. Generated code and data
+Each chunk's token stream is fingerprinted by winnowing. A file whose fingerprints largely stand in several
+repositories is a recurring one. Copies of our own files recur as third-party ones do, so among recurring files
+a mark decides: a directory for third-party files, a party's notice or a licence's text, on the file or on a copy of
+it in another repository. A file that recurs nowhere is vendored only by a strong mark: such a directory, or a
+notice that names its makers; a licence alone says nothing of who wrote a file. Generated code and data
 repeat few forms of tokens; a tool's notice stands in the comment that a file begins with; minified and
 encoded text has lines without white space. Chunks give counts that are summed by file, so that no file's text
 is gathered.
@@ -28,12 +31,10 @@ FORM_RUN, FORM_SHARE = 16, 0.33
 FORM_BLOCK = 1000
 #: Runs of forms that a file needs before their share says something.
 FORM_LEAST = 60
-#: Share of a file's fingerprints that recur in vendored files of other repositories.
-RECURRING = 0.6
+#: Share of a file's fingerprints that must recur; in how many repositories, its own counted.
+RECURRING, REPOSITORIES = 0.6, 2
 #: Longest line that is read as a line; the share of a file's characters in dense lines beyond it.
 LONG_LINE, DENSE_SHARE = 250, 0.6
-#: Lines at a file's start in which a notice is looked for.
-NOTICE_LINES = 30
 
 # Directories that hold third-party files.
 VENDOR_DIRECTORIES = (
@@ -48,14 +49,18 @@ GENERATED = re.compile(
     r"|\bgenerated\b.*\b(?:do not|don't) (?:edit|modify|change|touch)|regenerate (?:it |this )?(?:with|by|using)",
     re.I,
 )
-# What a third party's notice says.
+# What a notice says that names the third party, and what any licence says.
 THIRD_PARTY = re.compile(
-    r"redistribut|permission (?:to use|is hereby|is granted)|\blicen[cs]ed? (?:under|v)|\bunder the [\w-]+ (?:licen[cs]e|terms)|licen[cs]e:|spdx-|\bupstream\b"
-    r"|see (?:the )?(?:copying|licen[cs]e|notice)|\bcopying\.\w|all rights reserved|\bproject contributors\b|\(c\) \d{4}(?:-\d{4})? [\w-]+ (?:authors|contributors)"
+    r"\bupstream\b|\bproject contributors\b|\(c\) \d{4}(?:-\d{4})? [\w-]+ (?:authors|contributors)"
     r"|copyright (?:\(c\) )?\d{4}(?:-\d{4})? the [\w-]+ (?:authors|contributors|project|developers)|part of the [\w-]+ (?:toolkit|library|project|framework|distribution)\b"
     r"|^\W*[\w-]+ (?:runtime|library|v?\d+\.\d+(?:\.\d+)?)\b.*(?:version|https?://|--)|/\*!",
     re.I,
 )
+LICENCE = re.compile(
+    r"redistribut|permission (?:to use|is hereby|is granted)|\blicen[cs]ed? (?:under|v)|\bunder the [\w-]+ (?:licen[cs]e|terms)|licen[cs]e:|spdx-"
+    r"|see (?:the )?(?:copying|licen[cs]e|notice)|\bcopying\.\w|all rights reserved",
+    re.I,
+)
 OWN = re.compile(r"internal use|confidential|proprietary", re.I)
 
 _token = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
@@ -116,23 +121,29 @@ def fingerprints(text: str) -> tuple[np.ndarray, int, int]:
     return kept, len(forms), len(np.unique(forms + block * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def notices(text: str) -> tuple[bool, bool]:
-    """(a tool's, a third party's) notice in the comment a file begins with."""
-    generated = third = False
-    block = False
-    for line in text.split("\n", NOTICE_LINES)[:NOTICE_LINES]:
+def notices(text: str) -> tuple[bool, bool, bool]:
+    """(a tool's, a named third party's, any licence's) notice in the whole comment that a file begins with."""
+    generated = third = licence = False
+    block, at = False, 0
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line, at = text[at:stop], stop + 1
         if not line.strip():
             continue
         if not (block or _comment_line.match(line)):
             break
-        if "/*" in line:
-            block = True
-        if "*/" in line:
+        block |= "/*" in line
+        head, closed, code = line.rpartition("*/")
+        if closed:
             block = False
-        bare = _quoted.sub("", line[:400])
+            line = head + closed if code.strip() else line
+        bare = _quoted.sub("", line)
         generated |= bool(GENERATED.search(bare))
-        third |= bool(THIRD_PARTY.search(bare)) and not OWN.search(bare)
-    return generated, third
+        if not OWN.search(bare):
+            third |= bool(THIRD_PARTY.search(bare))
+            licence |= bool(LICENCE.search(bare))
+    return generated, third, licence
 
 
 def dense_characters(text: str) -> int:
@@ -151,8 +162,8 @@ def vendored_path(path: str) -> bool:
 
 def chunk_marks(chunks: DataFrame) -> DataFrame:
     """One row of counts, notices and fingerprints for each distinct chunk with a path and a text."""
-    names = ("_path", "repository", "markup", "characters", "dense", "runs", "forms", "generated", "third", "prints")
-    shape = "_path string, repository string, markup boolean, characters bigint, dense bigint, runs bigint, forms bigint, generated boolean, third boolean, prints array<bigint>"
+    names = ("_path", "repository", "markup", "characters", "dense", "runs", "forms", "generated", "third", "licence", "prints")
+    shape = "_path string, repository string, markup boolean, characters bigint, dense bigint, runs bigint, forms bigint, generated boolean, third boolean, licence boolean, prints array<bigint>"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +171,16 @@ def chunk_marks(chunks: DataFrame) -> DataFrame:
             flat, ends = [], [0]
             for path, language, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 prints, runs, forms = fingerprints(text)
-                generated, third = notices(text) if first <= 1 else (False, False)
+                generated, third, licence = notices(text) if first <= 1 else (False, False, False)
                 values = (
                     path, path.partition("/")[0] if "/" in path else "", path.lower().endswith(".md") or (language or "").lower() == "markdown",
-                    len(text), dense_characters(text), runs, forms, generated, third or vendored_path(path),
+                    len(text), dense_characters(text), runs, forms, generated, third or vendored_path(path), licence,
                 )
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
                 flat.append(prints.view(np.int64))
                 ends.append(ends[-1] + len(prints))
-            types = [pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.bool_(), pa.bool_()]
+            types = [pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, *[pa.bool_()] * 3]
             columns = [pa.array(r, t) for r, t in zip(rows, types, strict=True)]
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*columns, found], list(names))
@@ -183,12 +194,16 @@ def chunk_marks(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(mark, shape).dropDuplicates()
 
 
-def not_by_hand(chunks: DataFrame) -> DataFrame:
-    """(_path, generated, minified, data, vendored): files of which at least one holds, by path.
+def not_by_hand(chunks: DataFrame, repositories: int = REPOSITORIES) -> DataFrame:
+    """(_path, generated, minified, vendored, reason): files of which at least one of the three holds, by path.
 
+    reason, of a vendored file: recurring, where its fingerprints stand in at least so many repositories, or marked.
     Files without any text give no row; rows with a null path are left out; repeated rows count once; a null
-    start_line is a file's start; languages are read from the suffix first. Whole texts are read; extra columns are not.
+    start_line is a file's start; languages are read from the suffix first. Data saved as code counts as generated
+    or, in long lines, as minified. Whole texts are read; extra columns are not. At least two repositories are needed.
     """
+    if repositories < 2:
+        raise ValueError("a file recurs in at least 2 repositories")
     marks = write_table(chunk_marks(chunks), "marks")
     files = marks.groupBy("_path").agg(
         F.first("repository").alias("repository"),
@@ -196,25 +211,36 @@ def not_by_hand(chunks: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("characters", "dense", "runs", "forms")],
         F.max("generated").alias("noticed"),
         F.max("third").alias("third"),
+        (F.max("third") | F.max("licence")).alias("marked"),
     )
     judged = files.select(
         "_path",
         "repository",
         "third",
+        "marked",
         (~F.col("markup") & (F.col("noticed") | (F.col("runs") >= FORM_LEAST) & (F.col("forms") < FORM_SHARE * F.col("runs")))).alias("generated"),
         (F.col("dense") >= DENSE_SHARE * F.col("characters")).alias("minified"),
     )
-    prints = marks.select("_path", F.explode("prints").alias("print")).join(judged.select("_path", "repository", "third"), "_path").distinct()
-    known = prints.filter("third").groupBy("print").agg(F.min("repository").alias("_least"), F.max("repository").alias("_most"))
-    others = prints.filter("NOT third")
+    prints = marks.select("_path", F.explode("prints").alias("print")).join(judged.select("_path", "repository", "marked"), "_path").distinct()
+    # where each fingerprint stands: a row for each repository, whatever number of files it has there
+    places = prints.groupBy("print", "repository").agg(F.max("marked").alias("marked"))
+    spread = places.groupBy("print").agg(
+        F.count("*").alias("_n"),
+        F.min(F.when(F.col("marked"), F.col("repository"))).alias("_least"),
+        F.max(F.when(F.col("marked"), F.col("repository"))).alias("_most"),
+    ).filter(F.col("_n") >= repositories)
+    elsewhere = (F.col("_least") != F.col("repository")) | (F.col("_most") != F.col("repository"))
     recurring = (
-        others.join(known, "print", "left")
-        .withColumn("again", (F.col("_least") != F.col("repository")) | (F.col("_most") != F.col("repository")))
+        prints.join(spread, "print", "left")
         .groupBy("_path")
-        .agg((F.count_if("again") >= RECURRING * F.count("*")).alias("copied"))
+        .agg(
+            (F.count("_n") >= RECURRING * F.count("*")).alias("recurring"),
+            (F.count_if(elsewhere) >= RECURRING * F.count("*")).alias("copied"),
+        )
     )
+    several = F.coalesce("recurring", F.lit(False)) & (F.col("marked") | F.coalesce("copied", F.lit(False)))
     return (
         judged.join(recurring, "_path", "left")
-        .select("_path", "generated", "minified", (F.col("third") | F.coalesce("copied", F.lit(False))).alias("vendored"))
+        .select("_path", "generated", "minified", (several | F.col("third")).alias("vendored"), F.when(several, "recurring").when(F.col("third"), "marked").alias("reason"))
         .filter("generated OR minified OR vendored")
     )

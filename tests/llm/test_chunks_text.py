@@ -128,6 +128,22 @@ def test_provenance(chunks):
     assert kinds(chunks, []) == {}
 
 
+def test_fingerprints_decide_what_is_vendored(chunks):
+    random.seed(6)
+    names = [f"name{i}" for i in range(900)]
+    body = lambda: "\n".join("{} = {}.{}({}) + {} if {} else [{}]".format(*random.sample(names, 7)) for _ in range(60))
+    shared, ours, licence = body(), body(), "# Licensed under the Apache License, Version 2.0\n"
+    files = [
+        ("a/x.py", licence + shared), ("b/y.py", "import q\n" + shared), ("c/z.py", shared),  # a licence on one copy
+        ("a/own.py", licence + body()), ("b/own.py", ours), ("c/own.py", ours), ("d/far.py", "# text\n" * 200 + "# (c) 2019 someone authors\n" + body()),
+    ]
+    rows = [{"node_id": str(i), "file_path": p, "chunk_text": t, "start_line": 1} for i, (p, t) in enumerate(files)]
+    marked = {r["_path"]: r["reason"] for r in provenance.not_by_hand(chunks(rows)).collect() if r["vendored"]}
+    assert marked == {"a/x.py": "recurring", "b/y.py": "recurring", "c/z.py": "recurring", "d/far.py": "marked"}
+    more = {r["_path"] for r in provenance.not_by_hand(chunks(rows), 4).collect() if r["vendored"]}
+    assert more == {"d/far.py"}
+
+
 CODE = {
     "x.py": ("import a\n\n# about f\n@deco\ndef f():\n    return 1\n\nS = '''\ndef no():\n'''\ng = lambda x: x\nclass C:\n    def m(self): pass\n", [3, 11, 12]),
     "x.js": ("import a;\n/** doc\n * function no() {}\n */\nexport function f() {}\nconst t = `\nfunction no() {}\n`;\nconst g = (a) => a;\nconst n = 1;\n", [2, 9]),
