@@ -18,7 +18,7 @@ current AS (
   QUALIFY row_number() OVER (PARTITION BY n, file_path ORDER BY loaded_at DESC, digest DESC NULLS LAST) = 1)
 """
 
-ORACLE["p6_found"] = f"""
+_CHANGES = f"""
 WITH {_VERSIONS},
 islands AS (SELECT *, n - row_number() OVER (PARTITION BY file_path ORDER BY n) AS island FROM current),
 known AS (
@@ -32,9 +32,17 @@ changes AS (
   SELECT n + 1, file_path, 'removed' FROM before WHERE n < (SELECT max(n) FROM versions) AND coalesce(next_n, 0) <> n + 1
   UNION ALL
   SELECT n, file_path, 'changed' FROM before WHERE last_n = n - 1 AND digest <> last_digest)
+"""
+
+ORACLE["p6_found"] = _CHANGES + """
 SELECT version, file_path, change_kind FROM changes JOIN versions USING (n)
 """
 
+ORACLE["p6_changes"] = _CHANGES + """
+SELECT version, file_path, change_kind, CASE WHEN change_kind <> 'added' THEN digest END AS old_digest
+FROM changes JOIN versions USING (n) LEFT JOIN (SELECT n + 1 AS n, file_path, digest FROM current) USING (n, file_path)
+"""
+
 _NODES = f"""
 nodes AS (
   SELECT node_id, any_value(module) AS module, any_value(file_path) AS file_path, any_value(symbol) AS symbol, any_value(language) AS language,

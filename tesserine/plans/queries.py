@@ -53,6 +53,11 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files added, removed or changed between consecutive versions."""
+    return p6_changes(spark, folder).select("version", "file_path", "change_kind")
+
+
+def p6_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the digest that the version before lists."""
     return snapshots.manifest_changes(table(spark, folder, "manifest"), table(spark, folder, "index_versions"))
 
 
@@ -417,7 +422,7 @@ def snapshot_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p6_found, tokenize, query_expansion, hash_slots, term_freq, doc_freq, idf, avg_doc_len, dense_topk, sparse_bm25_topk,
+        p6_found, p6_changes, tokenize, query_expansion, hash_slots, term_freq, doc_freq, idf, avg_doc_len, dense_topk, sparse_bm25_topk,
         symbol_topk, graph_topk, plan_routes, rrf_fusion, retrieve, eval_hit_mrr, chunk_lines, chunk_policy, paths, symbols_python,
         symbols_all, best_symbol, edges_locality, edges_import, edges_symbol_ref, neighbours_final, graph_symmetric, knn_exact,
         knn_filtered, knn_quantised_rerank, recall_at_k, codec_fit, codec_encode, codec_decode_error, project_identity,

@@ -24,7 +24,7 @@ def versions(spark, *pairs):
 
 def changes(spark, values, order):
     found = snapshots.manifest_changes(spark.createDataFrame(values, MANIFEST), versions(spark, *order))
-    return sorted(tuple(r) for r in found.collect())
+    return sorted((r["version"], r["file_path"], r["change_kind"]) for r in found.collect())
 
 
 ORDER = [("b", "2025-02-01T00:00:00+00:00"), ("a", "2025-01-31T20:00:00-05:00"), ("c", "2025-03-01T00:00:00Z"), ("b", "2025-02-01T00:00:00+00:00")]
@@ -82,6 +82,26 @@ def test_old_values_are_fetched_for_changes_only(spark):
     assert [tuple(r) for r in found.collect()] == [("k1", "changed", "1")]
 
 
+def test_old_digests(spark):
+    values = rows(("b", "m/x.py", "1", 0), ("b", "m/y.py", "5", 0), ("a", "m/x.py", "2", 0), ("a", "m/z.py", "1", 0))
+    found = snapshots.manifest_changes(spark.createDataFrame(values, MANIFEST), versions(spark, *ORDER[:2]))
+    assert sorted((r["file_path"], r["old_digest"]) for r in found.collect()) == [("m/x.py", "1"), ("m/y.py", "5"), ("m/z.py", None)]
+
+
+def test_buckets_follow_the_size(spark):
+    index = snapshots.SnapshotIndex(spark, "k", bucket=10)
+    counts, held = [], {}
+    for size, step in ((5, 1), (45, 2), (23, 3)):
+        now = {f"k{i}": i // step for i in range(size)}
+        found = index.probe(spark.createDataFrame(list(now.items()), "k string, hash bigint"))
+        want = {(k, "added") for k in now.keys() - held.keys()} | {(k, "removed") for k in held.keys() - now.keys()} | {(k, "changed") for k in now.keys() & held.keys() if now[k] != held[k]}
+        assert {(r["k"], r["change_kind"]) for r in found.collect()} == want
+        counts.append(index.buckets)
+        held = now
+    assert counts == [1, 5, 3]
+    index.close()
+
+
 def test_manifest_diff(spark):
     def manifest(**files):
         return spark.createDataFrame(list(files.items()), "file_path string, digest string")
