@@ -1,20 +1,22 @@
 """Groups of records that share most of their word shingles, by bottom-k sketches from one hash function.
 
 Each text's distinct runs of words are hashed; the k smallest hashes are its sketch. Records with equal
-shingle sets become one class. Inverted lists of the sketches' values generate overlaps of classes; the
-overlap, as an estimate of the union's sketch, filters them; the exact Jaccard similarity verifies what is left.
+shingle sets become one class. Inverted lists of the sketches' values generate overlaps of classes; the k smallest
+values of both sketches together, the union's sketch, estimate the similarity and filter them; the exact Jaccard
+similarity verifies what is left.
 
 A sketch value in very many classes (common code) generates too many overlaps. Each class leaves only so many of
 its most common values out of the lists that two similar sketches still meet at a rarer one. What may be lost are
-pairs whose sketches share fewer values than is asked for: see `LOSS`. A list of n classes is still n * n / 2
-comparisons, also where it is long, but a pair is made once.
+pairs whose union's sketch holds fewer common values than is asked for: see `LOSS`. A list of n classes is still
+n * n / 2 comparisons, also where it is long: it is cut into blocks that meet each other as tasks of their own, and a
+pair is made once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ from tesserine.session import write_table
 SKETCH = 32
 #: A value in more classes than this is common.
 COMMON = 64
+#: Classes in a block of a common value's list.
+LIST = 1024
+#: Shingles aimed at in a block of sets that are compared with another block's.
+COMPARED = 262_144
 #: Probability that the sketches of a pair at just the least similarity share fewer values than are asked for.
 LOSS = 1e-5
 
@@ -55,7 +61,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 def sketches(records: DataFrame, words: int = 5, keep: int = SKETCH) -> DataFrame:
     """(_key, rep, size, sketch) of each row (_key, _text); texts without a shingle give no row.
 
-    rep is a 64-bit hash of the whole set of shingles, alike for texts with the same set.
+    rep is a 64-bit hash of the whole set of shingles, alike for texts with the same set. A sketch's values are
+    moved into the range of signed numbers, so that their order stays.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +74,7 @@ def sketches(records: DataFrame, words: int = 5, keep: int = SKETCH) -> DataFram
                     keys.append(k)
                     reps.append(set_hash(hashes))
                     sizes.append(len(hashes))
-                    flat.append(hashes[:keep].view(np.int64))
+                    flat.append((hashes[:keep] ^ np.uint64(1 << 63)).view(np.int64))
                     ends.append(ends[-1] + len(flat[-1]))
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -89,41 +96,41 @@ def sure_overlap(similarity: float) -> int:
     Of the least values of the union, one sketch's worth, both sets hold binomially many.
     """
     below, least = 0.0, 0
-    while least < SKETCH and (below := below + comb(SKETCH, least) * similarity**least * (1 - similarity) ** (SKETCH - least)) <= LOSS:
+    while least < SKETCH and (below := below + math.comb(SKETCH, least) * similarity**least * (1 - similarity) ** (SKETCH - least)) <= LOSS:
         least += 1
     return max(1, least)
 
 
 def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of classes whose sketches overlap enough to verify; classes: (rep, size, sketch).
+    """(a, b): pairs of classes whose sketches overlap enough to verify; classes: (rep, size, sketch), a written table.
 
-    The values are moved once; lists of one class end there.
+    How many classes hold a value is counted before values are moved; values of one class end there.
     """
-    values = classes.select("rep", "size", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    counted = values.withColumn("_n", F.count("*").over(W.partitionBy("value"))).filter("_n > 1")
-    listed = write_table(counted, "lists")
-    # at most a sketch each, the rarest first
-    held = listed.filter(F.col("_n") > COMMON).groupBy("rep", "size", "kept").agg(F.array_sort(F.collect_set(F.struct("_n", "value"))).alias("values"))
-    common = write_table(held.withColumn("values", F.col("values.value")), "common-values")
-    several = listed.filter(F.col("_n") <= COMMON)
-    left, right = (several.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept")]) for side in "ab")
-    allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    counts = (
+    values = classes.select("rep", F.explode("sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count("*").alias("_n")).filter("_n > 1")
+    held = values.join(counts, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_held"))  # at most a sketch
+    sizes = classes.select("rep", "size", F.size("sketch").alias("kept"))
+    rare = F.filter("_held", lambda x: x["_n"] <= COMMON)
+    common = F.filter("_held", lambda x: x["_n"] > COMMON)
+    lists = write_table(held.join(sizes, "rep").select("rep", "size", "kept", rare.getField("value").alias("rare"), common.alias("common")), "lists")
+    entries = lists.select("rep", "size", "kept", F.size("common").alias("common"), F.explode("rare").alias("value"))
+    left, right = (entries.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept", "common")]) for side in "ab")
+    shared = (
         left.join(right, "value")
-        .filter((F.col("rep_a") < F.col("rep_b")) & allowed)
+        .filter((F.col("rep_a") < F.col("rep_b")) & _allowed(similarity))
         .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .agg(F.count("*").alias("_shared"), F.first(F.greatest("kept_a", "kept_b")).alias("_kept"))
-    )
-    none = F.array().cast("array<bigint>")
-    values_a, values_b = (common.select(F.col("rep").alias(side), F.col("values").alias(f"_values_{side}")) for side in "ab")
-    both = F.size(F.array_intersect(F.coalesce("_values_a", none), F.coalesce("_values_b", none)))
-    shared = (
-        counts.join(values_a, "a", "left")
-        .join(values_b, "b", "left")
-        .filter(F.col("_shared") + both >= _needed(F.col("_kept"), similarity))
+        .agg(F.count("*").alias("_shared"), F.first(F.greatest("kept_a", "kept_b")).alias("_kept"), F.first(F.least("common_a", "common_b")).alias("_common"))
+        .filter(F.col("_shared") + F.col("_common") >= _needed(F.col("_kept"), similarity))
         .select("a", "b")
     )
-    return shared.unionByName(_common_overlaps(common, similarity)).distinct()
+    pairs = shared.unionByName(_common_overlaps(lists.filter(F.size("common") > 0), similarity)).distinct()
+    sketch_a, sketch_b = (classes.select(F.col("rep").alias(side), F.col("sketch").alias(f"_sketch_{side}")) for side in "ab")
+    return pairs.join(sketch_a, "a").join(sketch_b, "b").filter(_alike(F.col("_sketch_a"), F.col("_sketch_b"), similarity)).select("a", "b")
+
+
+def _allowed(similarity: float) -> Column:
+    """Whether sets of such sizes can be similar."""
+    return F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
 
 
 def _needed(kept: Column, similarity: float) -> Column:
@@ -131,28 +138,45 @@ def _needed(kept: Column, similarity: float) -> Column:
     return F.least(F.lit(sure_overlap(similarity)), F.ceil(F.lit(similarity) * kept - 1e-9)).cast("int")
 
 
-def _common_overlaps(common: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes that share enough common values; common: (rep, size, kept, values), the rarest first.
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the union's sketch holds enough values of both; a union smaller than a sketch is known whole."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
+    return both >= F.when(F.size(union) < SKETCH, F.ceil(F.lit(similarity) * F.size(union) - 1e-9)).otherwise(F.lit(sure_overlap(similarity)))
+
+
+def _common_overlaps(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that share enough common values; lists: (rep, size, kept, common), the rarest first.
 
     Where two sketches must share n values, the rarest that they share is in neither's n - 1 most common, so
-    those are not listed. A pair is made at that value only.
+    those are not listed. A pair is made at that value only. A long list is cut into blocks, of which each two meet.
     """
-    listed = F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - _needed(F.col("kept"), similarity) + 1))
-    entries = common.select("rep", "size", "kept", "values", F.explode(listed).alias("value"))
-    left, right = (entries.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "kept", "values")]) for side in "ab")
-    allowed = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    listed = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - _needed(F.col("kept"), similarity) + 1))
+    entries = lists.select("rep", "size", "kept", F.col("common.value").alias("values"), F.explode(listed).alias("_at"))
+    blocks = F.ceil(F.col("_at._n") / LIST).cast("int")
+    placed = entries.select("rep", "size", "kept", "values", F.col("_at.value").alias("value"), blocks.alias("_blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("_own"))
+    columns = ("rep", "size", "kept", "values")
+    left, right = (placed.select("value", "_own", "_blocks", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+    left = left.withColumnRenamed("_own", "_i").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_blocks") - 1))).drop("_blocks")
+    right = right.withColumnRenamed("_own", "_j").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j")))).drop("_blocks")
     both = F.array_intersect("values_a", "values_b")
     enough = F.size(both) >= _needed(F.greatest("kept_a", "kept_b"), similarity)
-    pairs = left.join(right, "value").filter((F.col("rep_a") < F.col("rep_b")) & allowed)
-    return pairs.filter(enough & (F.element_at(both, 1) == F.col("value"))).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    once = (F.col("_i") < F.col("_j")) | (F.col("rep_a") < F.col("rep_b"))
+    pairs = left.join(right, ["value", "_i", "_j"]).filter(once & _allowed(similarity))
+    made = pairs.filter(enough & (F.element_at(both, 1) == F.col("value")))
+    return made.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
 def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b, jaccard) of the pairs whose exact similarity reaches the threshold.
 
-    records: (_key, _text); classes: (rep, key). Only the texts of one record of each paired class are moved.
+    records: (_key, _text); classes: (rep, key, size); pairs and classes are written tables. Only the texts of one
+    record of each paired class are moved. Classes are in blocks, and pairs are compared where their two blocks meet,
+    so that a set moves once for each block that it has pairs in, however many pairs these are.
     """
-    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes, "rep"), "paired")
+    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "key", "size"), "rep"), "paired")
+    total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(4, math.ceil(total / COMPARED))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,30 +197,23 @@ def verified(pairs: DataFrame, records: DataFrame, classes: DataFrame, words: in
         .dropDuplicates(["rep"])
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            found = []
-            for x, y in zip(left, right, strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                found.append(both / (len(u) + len(v) - both))
-            keep = [i for i, j in enumerate(found) if j >= similarity]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([a[i] for i in keep], pa.int64()),
-                    pa.array([b[i] for i in keep], pa.int64()),
-                    pa.array([found[i] for i in keep], pa.float64()),
-                ],
-                ["a", "b", "jaccard"],
-            )
-
-    return (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("_u")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("_v")), "b")
-        .select("a", "b", "_u", "_v")
-        .mapInArrow(compare, "a bigint, b bigint, jaccard double")
-    )
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {r: np.frombuffer(h, np.uint64) for r, h in zip(right.column("rep").to_pylist(), right.column("hashes").to_pylist(), strict=True)}
+        a, b, jaccard = [], [], []
+        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            u, v = sorted((held[x], held[y]), key=len)
+            both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+            j = both / (len(u) + len(v) - both)
+            if j >= similarity:
+                a.append(x)
+                b.append(y)
+                jaccard.append(j)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(jaccard, pa.float64())], ["a", "b", "jaccard"])
+
+    block_a, block_b = (F.pmod(F.xxhash64(side), F.lit(blocks)) for side in "ab")
+    placed = pairs.select("a", "b", (F.least(block_a, block_b) * blocks + F.greatest(block_a, block_b)).alias("_meeting"))
+    moved = placed.select(F.col("_meeting").alias("_to"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+    return placed.groupBy("_meeting").cogroup(moved.groupBy("_to")).applyInArrow(compare, "a bigint, b bigint, jaccard double")
 
 
 def similar_classes(
@@ -211,11 +228,18 @@ def similar_classes(
     """
     rows = records.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("_text"))
     sketched = write_table(sketches(rows, words), "sketches")
-    classes = sketched.groupBy("rep").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    grouped = sketched.groupBy("rep").agg(F.min("_key").alias("key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    classes = write_table(grouped, "classes")
     members = sketched.select("_key", "rep").distinct()
     pairs = write_table(overlaps(classes, similarity), "overlaps")
-    keys = sketched.groupBy("rep").agg(F.min("_key").alias("key"))
-    return members, verified(pairs, rows, keys, words, similarity)
+    return members, verified(pairs, rows, classes, words, similarity)
+
+
+def linked_members(records: DataFrame, key: str = "node_id", text: str = "chunk_text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, class_id, links): each record's class of equal shingle sets, and how many other classes are similar to it."""
+    members, links = similar_classes(records, key, text, words, similarity)
+    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(counts, "rep", "left").select(F.col("_key").alias(key), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def similar_pairs(records: DataFrame, key: str = "node_id", text: str = "chunk_text", words: int = 3, similarity: float = 0.6) -> DataFrame:

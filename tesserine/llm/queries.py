@@ -77,6 +77,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.similar_pairs(table(spark, folder, "chunks"), words=3, similarity=0.6)
 
 
+def p7_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk's class of equal texts, and how many other classes are similar to it, by runs of five words and 0.8."""
+    return nearcopies.linked_members(table(spark, folder, "chunks"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
@@ -111,6 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_scores, p3_found, p3_kinds, p4_found, p4_pieces, p5_found, p5_redacted,
-        p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_shares,
+        p7_found, p7_members, p8_ids, p9_packed, p9_fill, p10_found, p10_shares,
     )
 }

@@ -69,9 +69,11 @@ def made_copies():
     return [*rows, rows[0], {"node_id": "null"}, {"node_id": "empty", "chunk_text": ""}, {"node_id": "short", "chunk_text": "a b"}]
 
 
-@pytest.mark.parametrize("common", [64, 1])
-def test_near_copies_against_brute_force(chunks, monkeypatch, common):
+@pytest.mark.parametrize("common,block", [(64, 1024), (1, 1024), (1, 2)])
+def test_near_copies_against_brute_force(chunks, monkeypatch, common, block):
     monkeypatch.setattr(nearcopies, "COMMON", common)  # 1: every shared value is common
+    monkeypatch.setattr(nearcopies, "LIST", block)  # 2: lists are cut into blocks
+    monkeypatch.setattr(nearcopies, "COMPARED", 100)
     rows = made_copies()
     found = sorted(tuple(r) for r in nearcopies.similar_pairs(chunks(rows), words=3, similarity=0.6).collect())
     assert found == brute_pairs(rows, 3, 0.6)
@@ -86,11 +88,22 @@ def test_near_copies_of_one_template(chunks):
     assert len(found) == 5 * 110 * 109 // 2 and found == brute_pairs(rows, 3, 0.6)
 
 
+@pytest.mark.parametrize("shared,own,members", [(76, 24, 100), (78, 22, 100), (80, 20, 100), (90, 10, 100), (84, 16, 700)])
+def test_no_link_of_a_family_is_lost(chunks, shared, own, members):
+    # similarity of each two: shared / (shared + 2 * own), from 0.6 up
+    template = " ".join(f"w{i}" for i in range(shared + 2))
+    rows = [{"node_id": f"{k:04d}", "chunk_text": " ".join([template, *[f"o{k}_{i}" for i in range(own)]])} for k in range(members)]
+    assert nearcopies.similar_pairs(chunks(rows), words=3, similarity=0.6).count() == members * (members - 1) // 2
+
+
 def test_classes(chunks):
     rows = [{"node_id": k, "chunk_text": "one two three four five six"} for k in "abc"]
     members, links = nearcopies.similar_classes(chunks(rows))
     assert len({r["rep"] for r in members.collect()}) == 1 and links.count() == 0
     assert nearcopies.similar_pairs(chunks([])).count() == 0
+    more = [*rows, {"node_id": "d", "chunk_text": "one two three four five six seven"}, {"node_id": "e", "chunk_text": "six five"}]
+    found = {r["node_id"]: r["links"] for r in nearcopies.linked_members(chunks(more), words=2, similarity=0.8).collect()}
+    assert found == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 0}
 
 
 def kinds(chunks, files):
