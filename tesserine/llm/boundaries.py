@@ -1,14 +1,16 @@
 """Cutting oversized pieces of source files at natural boundaries: before outermost definitions and headings.
 
-Texts are read in ranges of characters with halos, so that no worker needs a whole file. Whether a line lies
-inside a string, comment or fence depends on everything before it: each range gives, for every lexical state it
-may begin in, the state it ends in; these tables are composed along the file, first within blocks of ranges, then
-over blocks. With its true first state known, a range emits its boundaries; line numbers are prefix sums. What is attached above a border is
-followed through the ranges before.
+Texts are read in ranges of characters, each moved to the lines that begin in it, with a halo, so that no worker needs a
+whole file. Whether a line lies inside a string, comment or fence depends on everything before it: each range gives, for
+every lexical state it may begin in, the state it ends in; these tables are composed along the file, first within blocks
+of ranges, then over blocks. With its true first state known, a range emits its boundaries; line numbers are prefix
+sums. What is attached above a border is followed through the ranges before, a signature that goes on beyond the
+halo through those after. Pieces are planned from the lines' lengths as they come, and emitted by offset from the ranges.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from tesserine.functions.sizes import join_checked
 from tesserine.session import write_table
 
-#: Characters of a range, and what it sees beyond it on either side.
+#: Characters of a range, and what it sees beyond its last line.
 RANGE, HALO = 262_144, 16_384
+#: Ranges that are cut at once, so that a giant text isn't counted through for each of them.
+CUT = 64
 #: Ranges whose state tables are composed in one group.
 BLOCK = 512
 
@@ -152,36 +156,48 @@ def _normal(token: str, language: str) -> str:
 
 def boundaries(lines: list[str], language: str, lexed: Lexed) -> list[int]:
     """Indexes of the lines at which a cut is natural: definitions with what is attached above, or headings."""
-    return sorted({start for start, _ in boundary_pairs(lines, language, lexed)})
+    return sorted({b.top for b in boundary_pairs(lines, language, lexed) if not b.pending})
 
 
-def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[tuple[int, int]]:
-    """(first line of what is attached, line of the definition or heading itself) of each boundary."""
-    found: list[tuple[int, int]] = []
+class Boundary(NamedTuple):
+    """The first line of what is attached, the line of the definition or heading itself, and whether its brace is to come."""
+
+    top: int
+    at: int
+    pending: bool = False
+
+
+def boundary_pairs(lines: list[str], language: str, lexed: Lexed) -> list[Boundary]:
+    """The boundaries of a text; pending ones count if the first brace or semicolon after the text opens a body."""
+    found: list[Boundary] = []
     definition = _definitions.get(language)
     ends = _next_ends(lines) if language == "c" else []
     for i, line in enumerate(lines):
         if not line or i in lexed.string or i in lexed.comment:
             continue
         if language == "markdown" and i and _underline.match(line) and _paragraph.match(lines[i - 1]) and i - 1 not in lexed.string:
-            found.append((_run_top(lines, i, language, lexed), i))
+            found.append(Boundary(_run_top(lines, i, language, lexed), i))
             continue
+        pending = False
         if language == "c":
             if line[0].isspace() or line[0] in "#}{/*":
                 continue
             if _C_ALIAS.match(line):
                 if "struct" not in line and "class" not in line and "using" not in line:
                     continue
-            elif not _C_TYPE.match(line) and not _c_function(lines, i, ends[i]):
-                continue
-            elif line.startswith("template") and line.rstrip().endswith(">"):
-                continue
+            else:
+                if not _C_TYPE.match(line):
+                    pending = ends[i] == len(lines)
+                    if not _c_function(lines, i, ends[i]):
+                        continue
+                if line.startswith("template") and line.rstrip().endswith(">"):
+                    continue
         elif not definition.match(line):
             continue
         start = i
         if language != "markdown":
             start = _run_top(lines, i, language, lexed)
-        found.append((start, i))
+        found.append(Boundary(start, i, pending))
     return found
 
 
@@ -222,59 +238,66 @@ def _next_ends(lines: list[str]) -> list[int]:
 
 
 def _c_function(lines: list[str], i: int, end: int) -> bool:
-    """Whether a function's body begins at the line: its arguments, then in line `end` a brace before any semicolon."""
+    """Whether a function's body begins at the line: its arguments, then in line `end`, if it is there, a brace before any semicolon."""
     line = lines[i]
-    if end == len(lines) or not _C_FUNCTION.match(line):
-        return False
-    body, _, _ = lines[end].partition("{")
-    if body == lines[end] or ";" in body or end == i and "(" not in body:
+    if not _C_FUNCTION.match(line) or "=" in line[: line.find("(")]:
         return False
-    return "=" not in line[: line.find("(")]
-
-
-def _owned(text: str, low: bool, last: bool, own: int, halo: int) -> tuple[int, int]:
-    """The part of a range's text whose lines it owns: from its first line start to the one after its end."""
-    start = 0
-    if low:
-        start = text.find("\n", halo - 1) + 1
-        if start == 0:
-            start = len(text)
-    if last:
-        return start, len(text)
-    stop = text.find("\n", (halo if low else 0) + own - 1) + 1
-    return start, stop or len(text)
-
-
-def _ranges(rows: DataFrame) -> DataFrame:
-    """(.., part, low, last, slice): each row's text in ranges with halos; short texts are one range."""
-    parts = F.ceil(F.length("_text") / F.lit(RANGE)).cast("int")
-    cut = rows.withColumn("parts", F.greatest(F.lit(1), parts)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low = F.col("part") > 0
-    start = F.col("part") * RANGE - F.when(low, HALO).otherwise(0)
-    return cut.select(
-        "_key", "_path", "_language", "_first", "part", low.alias("low"), (F.col("part") == F.col("parts") - 1).alias("last"),
-        F.col("_text").substr(start + 1, F.lit(RANGE + HALO) + F.when(low, HALO).otherwise(0)).alias("slice"),
-    )
-
-
-def _tables(own_size: int, halo: int, followed: bool):
+    if end == len(lines):
+        return True
+    return _opens(lines[end]) and not (end == i and "(" not in line.partition("{")[0])
+
+
+def _opens(line: str) -> bool:
+    """Whether a line has a brace before any semicolon."""
+    body, brace, _ = line.partition("{")
+    return bool(brace) and ";" not in body
+
+
+def _cut(rows: DataFrame, size: int, halo: int) -> DataFrame:
+    """(.., start, own, _text): texts in ranges of about so many characters, from a line's start to a line's start, with a halo.
+
+    Rows have start, the offset of _text in its whole text, and own, how many characters of it are theirs. A range
+    in which no line begins is none.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("own") / F.lit(size))).cast("int")
+    exploded = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_parts", parts)
+    border = F.expr(f"CASE WHEN _part = 0 THEN 0 ELSE locate('\\n', _text, _part * {size}) END")
+    after = F.expr(f"CASE WHEN _part = _parts - 1 THEN 0 ELSE locate('\\n', _text, (_part + 1) * {size}) END")
+    whole = F.col("own")
+    begins = F.when(F.col("_part") == 0, 0).when(border == 0, whole).otherwise(F.least(border, whole))
+    ends = F.when(after == 0, whole).otherwise(F.least(after, whole))
+    placed = exploded.withColumn("_begin", begins).withColumn("_own", ends - F.col("_begin")).filter("_own > 0 OR _parts = 1")
+    text = F.col("_text").substr(F.col("_begin") + 1, F.col("_own") + F.lit(halo))
+    kept = [c for c in rows.columns if c not in ("start", "own", "_text")]
+    return placed.select(*kept, (F.col("start") + F.col("_begin")).alias("start"), F.col("_own").alias("own"), text.alias("_text"))
+
+
+def _ranges(rows: DataFrame, halo: int) -> DataFrame:
+    """(.., start, own, last, slice): each row's text in ranges with halos; short texts are one range."""
+    whole = rows.withColumn("start", F.lit(0)).withColumn("own", F.length("_text")).withColumn("_size", F.length("_text"))
+    cut = _cut(_cut(whole, CUT * RANGE, halo), RANGE, halo)
+    last = F.col("start") + F.col("own") == F.col("_size")
+    return cut.withColumn("last", last).withColumnRenamed("_text", "slice").drop("_size")
+
+
+def _tables(followed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each range: its lines, and for each state at its start the state at its end."""
+        names = ("_path", "_language", "start", "own", "last", "slice")
         for batch in batches:
             counts, tables = [], []
-            for path, language, low, last, text in zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "low", "last", "slice")), strict=True):
+            for path, language, start, size, last, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 family = language_of(path, language)
-                start, stop = _owned(text, low, last, own_size, halo)
-                own = text[start:stop]
+                own = text[:size]
                 counts.append(own.count("\n"))
                 known = states(family)
-                if last and not low and not followed:
+                if last and not start and not followed:
                     tables.append([0] * len(known))  # nothing asks for it
                 else:
                     tables.append([known.index(lex(own, family, s).end) for s in known])
-            columns = [batch.column(c) for c in ("_key", "_path", "_first", "part")]
+            columns = [batch.column(c) for c in ("_row", "_key", "_path", "_first", "start")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(tables, pa.list_(pa.int32()))], ["_key", "_path", "_first", "part", "lines", "table"]
+                [*columns, pa.array(counts, pa.int64()), pa.array(tables, pa.list_(pa.int32()))], ["_row", "_key", "_path", "_first", "start", "lines", "table"]
             )
 
     return run
@@ -288,13 +311,13 @@ def _compose(tables: list[list[int]]) -> list[int]:
 
 
 def _first_states(tables: DataFrame) -> DataFrame:
-    """(_key, _path, _first, part, state): each range's state at its start, by composing tables along the file."""
-    order = W.partitionBy("_path").orderBy("_first", "_key", "part")
-    numbered = tables.select("_path", "_first", "_key", "part", "table").withColumn("_n", F.row_number().over(order) - 1)
+    """(_key, _path, _first, start, state): each range's state at its start, by composing tables along the file."""
+    order = W.partitionBy("_path").orderBy("_first", "_key", "start")
+    numbered = tables.select("_path", "_first", "_key", "start", "table").withColumn("_n", F.row_number().over(order) - 1)
     blocked = numbered.withColumn("_block", F.floor(F.col("_n") / BLOCK)).drop("_n")
 
     def whole_block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_first", "_key", "part"])
+        group = group.sort_values(["_first", "_key", "start"])
         return pd.DataFrame({"_path": group["_path"][:1], "_block": group["_block"][:1], "table": [_compose([list(t) for t in group["table"]])]})
 
     def along_blocks(group: pd.DataFrame) -> pd.DataFrame:
@@ -306,82 +329,109 @@ def _first_states(tables: DataFrame) -> DataFrame:
         return pd.DataFrame({"_path": group["_path"], "_block": group["_block"], "begin": begin})
 
     def along_ranges(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_first", "_key", "part"])
+        group = group.sort_values(["_first", "_key", "start"])
         state, begin = int(group["begin"].iloc[0]), []
         for table in group["table"]:
             begin.append(state)
             state = list(table)[state]
-        return pd.DataFrame({"_key": group["_key"], "_path": group["_path"], "_first": group["_first"], "part": group["part"], "state": begin})
+        return pd.DataFrame({"_key": group["_key"], "_path": group["_path"], "_first": group["_first"], "start": group["start"], "state": begin})
 
     blocks = blocked.groupBy("_path", "_block").applyInPandas(whole_block, "_path string, _block bigint, table array<int>")
     begins = blocks.groupBy("_path").applyInPandas(along_blocks, "_path string, _block bigint, begin int")
     return (
         blocked.join(begins, ["_path", "_block"])
         .groupBy("_path", "_block")
-        .applyInPandas(along_ranges, "_key string, _path string, _first int, part int, state int")
+        .applyInPandas(along_ranges, "_key string, _path string, _first int, start int, state int")
     )
 
 
 #: What a range tells of a line: a boundary, one that begins in the ranges before, a heading if a paragraph ends there,
-#: or where the lines begin that belong to the next range's first (null: before this range).
-SURE, OPEN, UNDERLINE, RUN = range(4)
-
-
-def _emit(own_size: int, halo: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Boundaries of each range, as line numbers of the file, given its first state and first line."""
-        names = ("_path", "_language", "_first", "low", "last", "slice", "state", "before")
-        for batch in batches:
-            rows, kinds, found = [], [], []
-            for n, (path, language, first, low, last, text, state, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
-                family = language_of(path, language)
-                start, stop = _owned(text, low, last, own_size, halo)
-                lexed = lex(text[start:], family, states(family)[state])
-                lines = text[start:].split("\n")
-                own = text.count("\n", start, stop) + (1 if last else 0)
-                told = [(OPEN if low and top == 0 and (at or family != "markdown") else SURE, top) for top, at in boundary_pairs(lines, family, lexed) if at < own]
-                if low and own and family == "markdown" and 0 not in lexed.string and _underline.match(lines[0]):
-                    told.append((UNDERLINE, 0))
-                if not last:
-                    top = _run_top(lines, own, family, lexed)
-                    told.append((RUN, None if low and top == 0 else top))
-                rows.extend([n] * len(told))
-                kinds.extend(kind for kind, _ in told)
-                found.extend(None if top is None else first + before + top for _, top in told)
-            keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("_key", "_path", "_first", "part")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(kinds, pa.int32()), pa.array(found, pa.int32())], ["_key", "_path", "_first", "part", "kind", "line_no"])
-
-    return run
+#: where the lines begin that belong to the next range's first (null: before this range), or whether its first brace
+#: or semicolon opens a body (line 1) or not (line 0).
+SURE, OPEN, UNDERLINE, RUN, ENDS = range(5)
+_TOLD = "_row bigint, _key string, _first int, start int, kind int, line_no int, pending boolean, name string"
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boundaries of each range, as line numbers of the file, given its first state and first line."""
+    names = ("_path", "_language", "_first", "start", "own", "last", "slice", "state", "before")
+    for batch in batches:
+        rows, told = [], []
+        for n, (path, language, first, start, size, last, text, state, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+            family = language_of(path, language)
+            lexed = lex(text, family, states(family)[state])
+            lines = text.split("\n")
+            own = text.count("\n", 0, size) + (1 if last else 0)
+            low, line, held = start > 0, first + before, len(told)
+            for b in boundary_pairs(lines, family, lexed):
+                if b.at < own and not (last and b.pending):
+                    kind = OPEN if low and b.top == 0 and (b.at or family != "markdown") else SURE
+                    told.append((kind, line + b.top, b.pending, symbol_of(lines, b, family)))
+            if low and own and family == "markdown" and 0 not in lexed.string and _underline.match(lines[0]):
+                told.append((UNDERLINE, line, False, None))
+            if not last:
+                top = _run_top(lines, own, family, lexed)
+                told.append((RUN, None if low and top == 0 else line + top, False, None))
+            if low and family == "c" and (end := next((x for x in lines[:own] if "{" in x or ";" in x), None)) is not None:
+                told.append((ENDS, int(_opens(end)), False, None))
+            rows.extend([n] * (len(told) - held))
+        keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("_row", "_key", "_first", "start")]
+        types = (pa.int32(), pa.int32(), pa.bool_(), pa.string())
+        columns = [pa.array([t[i] for t in told], kind) for i, kind in enumerate(types)]
+        yield pa.RecordBatch.from_arrays([*keys, *columns], ["_row", "_key", "_first", "start", "kind", "line_no", "pending", "name"])
 
 
 def _resolved(told: DataFrame) -> DataFrame:
-    """(_key, line_no): boundaries, of which those that begin in ranges before are followed through these."""
-    order = W.partitionBy("_key", "_path", "_first").orderBy("part").rangeBetween(W.unboundedPreceding, -1)
-    above = told.withColumn("_above", F.last(F.when(F.col("kind") == RUN, F.col("line_no")), ignorenulls=True).over(order))
+    """(_row, _key, line_no, name): boundaries, of which those that begin or end in other ranges are followed through these."""
+    order = W.partitionBy("_row").orderBy("start")
+    before, after = order.rangeBetween(W.unboundedPreceding, -1), order.rangeBetween(1, W.unboundedFollowing)
+    above = told.withColumns(
+        {
+            "_above": F.last(F.when(F.col("kind") == RUN, F.col("line_no")), ignorenulls=True).over(before),
+            "_opens": F.first(F.when(F.col("kind") == ENDS, F.col("line_no")), ignorenulls=True).over(after),
+        }
+    )
     kept = above.filter((F.col("kind") <= OPEN) | (F.col("kind") == UNDERLINE) & (F.col("_above") < F.col("line_no")))
+    kept = kept.filter(~F.col("pending") | (F.col("_opens") == 1))
     line = F.when(F.col("kind") == SURE, F.col("line_no")).otherwise(F.col("_above"))
-    return kept.withColumn("line_no", line).filter("line_no > _first").select("_key", "line_no").distinct()
+    return kept.withColumn("line_no", line).filter("line_no > _first").groupBy("_row", "_key", "line_no").agg(F.min("name").alias("name"))
 
 
-def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
-    """(_key, line_no): for each chunk longer than limit, the file's lines at which a cut is natural.
-
-    A chunk's own first line is none. Chunks without text, id or path give none; a null start_line is 1;
-    repeated rows count once; where rows of one file overlap, the earlier decides the state at the next.
-    A line longer than a range's halo is taken to change no state, and a C signature is read to the halo's end. Extra columns are not read.
-    """
-    rows = chunks.filter("node_id IS NOT NULL AND file_path IS NOT NULL AND chunk_text IS NOT NULL").select(
+def _source(chunks: DataFrame) -> DataFrame:
+    """(_key, _path, _language, _symbol, _first, _text) of the rows with an id and a text."""
+    return chunks.filter("node_id IS NOT NULL AND chunk_text IS NOT NULL").select(
         F.col("node_id").cast("string").alias("_key"),
         F.col("file_path").cast("string").alias("_path"),
         F.col("language").cast("string").alias("_language"),
+        F.col("symbol").cast("string").alias("_symbol"),
         F.coalesce("start_line", F.lit(1)).cast("int").alias("_first"),
         F.col("chunk_text").cast("string").alias("_text"),
     )
-    size = F.length("_text")
-    big = write_table(rows.filter(size > limit).dropDuplicates(["_key", "_path", "_first", "_text"]), "oversized")
+
+
+def _oversized(chunks: DataFrame, limit: int) -> DataFrame:
+    """The rows longer than limit, each once, with a number _row that follows from id, path, line and text."""
+    big = _source(chunks).filter(F.length("_text") > limit)
+    once = big.groupBy("_key", "_path", "_first", "_text").agg(F.min("_language").alias("_language"), F.min("_symbol").alias("_symbol"))
+    return write_table(once.withColumn("_row", F.xxhash64("_key", "_path", "_first", "_text")), "oversized")
+
+
+def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
+    """(_key, line_no): for each chunk longer than limit, the file's lines at which a cut is natural.
+
+    A chunk's own first line is none. Chunks without text, id or path give none; a null start_line is 1;
+    repeated rows count once; where rows of one file overlap, the earlier decides the state at the next.
+    Lines, comments and signatures may be of any length. Extra columns are not read.
+    """
+    return _boundaries(chunks, _oversized(chunks, limit)).select("_key", "line_no").distinct()
+
+
+def _boundaries(chunks: DataFrame, oversized: DataFrame) -> DataFrame:
+    """(_row, _key, line_no, name) of the natural lines of oversized rows."""
+    rows, big = _source(chunks).drop("_symbol").filter("_path IS NOT NULL"), oversized.drop("_symbol").filter("_path IS NOT NULL")
     inner = big.filter("_first > 1").groupBy("_path").agg(F.max("_first").alias("_upto"))
     narrow = rows.select("_key", "_path", "_first", F.length("_text").alias("_size"))
-    before = join_checked(narrow, inner, "_path").filter("_first < _upto")
+    before = write_table(join_checked(narrow, inner, "_path").filter("_first < _upto"), "before")
     # of rows that begin at one line the longest is followed, the others repeat its start
     longest = before.groupBy("_path", "_first").agg(F.max(F.struct("_size", "_key")).alias("_m"))
     starts = longest.select("_path", "_first", F.col("_m._key").alias("_key"))
@@ -391,83 +441,52 @@ def natural_lines(chunks: DataFrame, limit: int = 8000) -> DataFrame:
     held = join_checked(rows, led.select("_key", "_path", "_first", "_limit"), ["_key", "_path", "_first"])
     # without what the next row of the file holds again
     ahead = F.expr(r"concat(substring_index(_text, '\n', _limit), '\n')")
-    leading = held.dropDuplicates(["_key", "_path", "_first"]).withColumn("_text", ahead).drop("_limit")
-    shape = "_key string, _path string, _first int, part int, lines bigint, table array<int>"
-    carried = _ranges(leading).mapInArrow(_tables(RANGE, HALO, True), shape)
-    own = _ranges(big)
-    counted = own.mapInArrow(_tables(RANGE, HALO, False), shape)
+    leading = held.dropDuplicates(["_key", "_path", "_first"]).withColumn("_text", ahead).drop("_limit").withColumn("_row", F.lit(0).cast("bigint"))
+    shape = "_row bigint, _key string, _path string, _first int, start int, lines bigint, table array<int>"
+    carried = _ranges(leading, HALO).mapInArrow(_tables(True), shape)
+    own = _ranges(big, HALO)
+    counted = write_table(own.mapInArrow(_tables(False), shape), "range-tables")
     # the state at a row's first line, from the rows before it in its file
     firsts = _row_states(carried, big.filter("_first > 1").select("_key", "_path", "_first").distinct())
-    within = _part_states(counted, firsts)
-    order = W.partitionBy("_key", "_path", "_first").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    placed = counted.withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0)).cast("int")).select("_key", "_path", "_first", "part", "before")
-    keys = ["_key", "_path", "_first", "part"]
-    shape = "_key string, _path string, _first int, part int, kind int, line_no int"
-    return _resolved(own.join(placed.join(within, keys), keys).mapInArrow(_emit(RANGE, HALO), shape))
+    within = _range_states(counted, firsts)
+    placed = _placed(counted).select("_row", "start", "before").join(within, ["_row", "start"])
+    return _resolved(own.join(placed, ["_row", "start"]).mapInArrow(_emit, _TOLD))
+
+
+def _placed(counted: DataFrame) -> DataFrame:
+    """Ranges with the number of lines before them."""
+    order = W.partitionBy("_row").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    return counted.withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0)).cast("int"))
 
 
 def _row_states(carried: DataFrame, rows: DataFrame) -> DataFrame:
     """(_key, _path, _first, begin): the state at the first line of rows that begin inside a file."""
-    ends = carried.select("_path", "_first", "_key", "part", "table")
-    asked = rows.select("_path", "_first", "_key", F.lit(-1).alias("part"), F.array().cast("array<int>").alias("table"))
+    ends = carried.select("_path", "_first", "_key", "start", "table")
     # an asked row's own table is the identity, long enough for any language
     identity = F.sequence(F.lit(0), F.lit(max(len(s) for s in _SPANS.values())))
-    states_at = _first_states(ends.unionByName(asked.withColumn("table", identity)))
-    return states_at.filter("part = -1").select("_key", "_path", "_first", F.col("state").alias("begin"))
+    asked = rows.select("_path", "_first", "_key", F.lit(-1).alias("start"), identity.alias("table"))
+    states_at = _first_states(ends.unionByName(asked))
+    return states_at.filter("start = -1").select("_key", "_path", "_first", F.col("state").alias("begin"))
 
 
-def _part_states(counted: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(_key, _path, _first, part, state): the state at each range's start, given the row's."""
-    keys = ["_key", "_path", "_first"]
+def _range_states(counted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(_row, start, state): the state at each range's start, given the row's."""
 
     def along(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
+        group = group.sort_values("start")
         state, begin = int(group["begin"].iloc[0]), []
         for table in group["table"]:
             begin.append(state)
             table = list(table)
             state = table[state] if state < len(table) else 0
-        return pd.DataFrame({**{k: group[k] for k in keys}, "part": group["part"], "state": begin})
+        return pd.DataFrame({"_row": group["_row"], "start": group["start"], "state": begin})
 
-    given = counted.join(firsts, keys, "left").na.fill(0, ["begin"])
-    several = given.groupBy(*keys).agg(F.max("part").alias("_parts"))
-    single = given.join(several.filter("_parts = 0").select(*keys), keys, "left_semi").select(*keys, "part", F.col("begin").alias("state"))
-    multiple = given.join(several.filter("_parts > 0").select(*keys), keys, "left_semi")
+    given = counted.join(firsts, ["_key", "_path", "_first"], "left").na.fill(0, ["begin"])
+    several = counted.filter("start > 0").select("_row").distinct()
+    single = given.join(several, "_row", "left_anti").select("_row", "start", F.col("begin").alias("state"))
+    multiple = given.join(several, "_row", "left_semi")
     # the ranges of one text: at most its 2 GB divided by RANGE
-    return single.unionByName(multiple.groupBy(*keys).applyInPandas(along, "_key string, _path string, _first int, part int, state int"))
-
-
-def split_text(text: str, first: int, cuts: list[int], limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(start_line, end_line, piece) of a text: each piece at most limit characters and, but for the first,
-    beginning with up to `overlap` lines of the one before; cut before a line of `cuts` where one is in reach,
-    else before the last line that fits. A line longer than the limit is cut by characters.
-    """
-    lines = text.split("\n")
-    at_cut = {c - first for c in cuts}
-    pieces: list[tuple[int, int, str]] = []
-    start, fresh, n = 0, 0, len(lines)  # lines [start, fresh) are overlap
-    while fresh < n:
-        size = sum(len(lines[i]) + 1 for i in range(start, fresh)) - 1
-        while start < fresh and size + 1 + len(lines[fresh]) > limit:
-            size -= len(lines[start]) + 1
-            start += 1
-        if len(lines[fresh]) > limit:
-            line = lines[fresh]
-            pieces.extend((first + fresh, first + fresh, line[i : i + limit]) for i in range(0, len(line), limit))
-            start = fresh = fresh + 1
-            continue
-        end, natural = fresh, 0
-        while end < n and size + 1 + len(lines[end]) <= limit:
-            size += len(lines[end]) + 1
-            end += 1
-            if end in at_cut and end > fresh:
-                natural = end
-        if end < n and natural:
-            end = natural
-        pieces.append((first + start, first + end - 1, "\n".join(lines[start:end])))
-        fresh, start = end, max(end - overlap, start + 1 if end - overlap <= start else end - overlap)
-        start = min(start, fresh)
-    return pieces
+    return single.unionByName(multiple.groupBy("_row").applyInPandas(along, "_row bigint, start int, state int"))
 
 
 _symbol_names = {
@@ -479,46 +498,180 @@ _symbol_names = {
 _any_symbol = re.compile(r".*?\b(?:function\*?|class|interface|type|enum|struct|trait|fn|impl(?:<[^>]*>)?|record|const|let|var)\s+([\w$]+)")
 
 
-def symbol_at(lines: list[str], at: int, language: str) -> str | None:
-    """The name that the definition at or shortly below a boundary binds, or a heading's text."""
-    pattern = _symbol_names.get(language, _any_symbol)
-    for line in lines[at : at + 40]:
-        if _attached.get(language) and _attached[language].match(line) or not line.strip() or line.lstrip().startswith(("*", "/*")):
-            continue
-        match = pattern.match(line)
-        return next((g for g in match.groups() if g), None) if match else None
-    return None
+def symbol_of(lines: list[str], boundary: Boundary, language: str) -> str | None:
+    """The name that a boundary's definition binds, or a heading's text."""
+    if language == "markdown" and boundary.at > boundary.top:
+        return " ".join(x.strip() for x in lines[boundary.top : boundary.at])
+    match = _symbol_names.get(language, _any_symbol).match(lines[boundary.at])
+    return next((g for g in match.groups() if g), None) if match else None
+
+
+class Piece(NamedTuple):
+    """A piece's first and last line, counted from 0, its offset and length in characters, and its symbol."""
+
+    start: int
+    end: int
+    at: int
+    size: int
+    symbol: str | None
+
+
+class Planner:
+    """Plans the pieces of one text from its lines' lengths and cuts, which come in order; it keeps the lines of a piece.
+
+    Each piece has at most limit characters and, but for the first, begins with up to `overlap` lines of the one
+    before; it is cut before a line of `cuts` where one is in reach, else before the last line that fits. A line longer than the
+    limit is cut by characters.
+    """
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap = limit, overlap
+        self.lengths: list[int] = []
+        self.base, self.offset = 0, 0  # the line that lengths begins with, and where it begins
+        self.start = self.fresh = 0  # lines [start, fresh) are overlap
+        self.cuts: dict[int, str | None] = {}
+        self.symbol: str | None = None  # of the last cut that was passed
+
+    def add_lines(self, lengths: list[int]) -> None:
+        self.lengths.extend(lengths)
+
+    def add_cut(self, line: int, symbol: str | None) -> None:
+        self.cuts[line] = symbol
+
+    def _length(self, line: int) -> int:
+        return self.lengths[line - self.base]
+
+    def _drop(self) -> None:
+        """Forget lines and cuts before the next piece."""
+        gone = self.start - self.base
+        self.offset += sum(self.lengths[:gone]) + gone
+        self.lengths = self.lengths[gone:]
+        self.base = self.start
+        for line in sorted(c for c in self.cuts if c <= self.start):
+            symbol = self.cuts[line] if line == self.start else self.cuts.pop(line)
+            self.symbol = symbol or self.symbol
+
+    def _named(self, own: int, end: int) -> str | None:
+        """The symbol of a piece's first own definition, else of the last one before it."""
+        lines = sorted(c for c in self.cuts if c < end and self.cuts[c])
+        before = next((self.cuts[c] for c in reversed(lines) if c < own), self.symbol)
+        return next((self.cuts[c] for c in lines if c >= own), before)
+
+    def plan(self, known: int | None = None) -> Iterator[Piece]:
+        """The pieces that are settled by the lines before `known`, whose cuts were added; None: all lines are there."""
+        n = self.base + len(self.lengths) if known is None else known
+        while self.fresh < n:
+            size = sum(self._length(i) + 1 for i in range(self.start, self.fresh)) - 1
+            start = self.start
+            while start < self.fresh and size + 1 + self._length(self.fresh) > self.limit:
+                size -= self._length(start) + 1
+                start += 1
+            if self._length(self.fresh) > self.limit:
+                self.start = start = self.fresh
+                self._drop()
+                length, name = self._length(start), self._named(start, start + 1)
+                for i in range(0, length, self.limit):
+                    yield Piece(start, start, self.offset + i, min(self.limit, length - i), name)
+                self.start = self.fresh = start + 1
+                self._drop()
+                continue
+            end, natural = self.fresh, 0
+            while end < n and size + 1 + self._length(end) <= self.limit:
+                size += self._length(end) + 1
+                end += 1
+                if end in self.cuts and end > self.fresh:
+                    natural = end
+            if end == n and known is not None:
+                return
+            if end < n and natural:
+                end = natural
+            self.start = start
+            self._drop()
+            taken = sum(self._length(i) + 1 for i in range(start, end)) - 1
+            yield Piece(start, end - 1, self.offset, taken, self._named(self.fresh, end))
+            self.fresh, self.start = end, min(end, max(end - self.overlap, start + 1))
+            self._drop()
+
+
+def _line_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, start, lengths) of each range: the lengths of the lines that begin in it."""
+    for batch in batches:
+        lengths = []
+        for size, last, text in zip(*(batch.column(c).to_pylist() for c in ("own", "last", "slice")), strict=True):
+            own = [len(x) for x in text[:size].split("\n")]
+            lengths.append(own if last else own[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("start"), pa.array(lengths, pa.list_(pa.int32()))], ["_row", "start", "lengths"])
+
+
+def _planned(limit: int, overlap: int):
+    names = ["_row", "start", "piece", "first", "end", "at", "size", "name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of the texts whose ranges and cuts come sorted by text and line, a range before its cuts."""
+        row, planner, number, known = None, Planner(limit, overlap), 0, 0
+        starts: list[int] = []
+        out: list[tuple] = []
+
+        def settle(upto: int | None) -> None:
+            nonlocal number
+            for p in planner.plan(upto):
+                at = bisect.bisect_right(starts, p.at) - 1
+                out.append((row, starts[at], number, p.start, p.end, p.at - starts[at], p.size, p.symbol))
+                number += 1
+            del starts[: max(0, bisect.bisect_right(starts, planner.offset) - 1)]
+
+        for batch in batches:
+            for r, line, start, lengths, name in zip(*(batch.column(c).to_pylist() for c in ("_row", "line", "start", "lengths", "name")), strict=True):
+                if r != row:
+                    settle(None)
+                    row, planner, number, known = r, Planner(limit, overlap), 0, 0
+                    starts.clear()
+                if lengths is None:
+                    planner.add_cut(line, name)
+                    continue
+                settle(known)
+                starts.append(start)
+                planner.add_lines(lengths)
+                known += len(lengths)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, o, strict=True)) for o in out], _PLAN)
+            out.clear()
+        settle(None)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, o, strict=True)) for o in out], _PLAN)
+
+    return run
+
+
+_PLAN = pa.schema(
+    [("_row", pa.int64()), ("start", pa.int32()), *[(c, pa.int32()) for c in ("piece", "first", "end", "at", "size")], ("name", pa.string())]
+)
 
 
 def pieces(chunks: DataFrame, limit: int = 8000, overlap: int = 10) -> DataFrame:
     """(node_id, piece, start_line, end_line, symbol, chunk_text) of each chunk longer than limit.
 
-    Pieces have at most limit characters, begin with 10 lines of the piece before, and are cut before natural
+    Pieces have at most limit characters, begin with up to 10 lines of the piece before, and are cut before natural
     boundaries where one is in reach. symbol is that of the piece's first own definition, else of the last one
-    before it, else the chunk's own. Rows without text or id give none; repeated rows count once.
+    before it, else the chunk's own. Rows without text or id give none; those without a path are cut between lines;
+    repeated rows count once. Plans need the lengths of the lines only; texts are taken from the ranges by offset.
     """
-    rows = chunks.filter("node_id IS NOT NULL AND chunk_text IS NOT NULL").filter(F.length("chunk_text") > limit)
-    rows = rows.select(
-        F.col("node_id").cast("string").alias("_key"), "file_path", "language", "symbol",
-        F.coalesce("start_line", F.lit(1)).cast("int").alias("_first"), F.col("chunk_text").alias("_text"),
-    ).dropDuplicates(["_key", "_first", "_text"])
-    cuts = natural_lines(chunks, limit).groupBy("_key").agg(F.array_sort(F.collect_set("line_no")).alias("cuts"))  # lines of one text
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node_id", "piece", "start_line", "end_line", "symbol", "chunk_text"]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for key, path, language, symbol, first, text, at in zip(*(batch.column(c).to_pylist() for c in ("_key", "file_path", "language", "symbol", "_first", "_text", "cuts")), strict=True):
-                family, lines = language_of(path, language), text.split("\n")
-                at = at or []
-                own = 0
-                for number, (start, end, piece) in enumerate(split_text(text, first, at, limit, overlap)):
-                    inside = next((c for c in at if max(start, own) <= c <= end), None) or max((c for c in at if c <= start), default=None)
-                    name = symbol_at(lines, inside - first, family) if inside is not None else None
-                    for column, value in zip(out, (key, number, start, end, name or symbol, piece), strict=True):
-                        column.append(value)
-                    own = end + 1
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    return rows.join(cuts, "_key", "left").mapInArrow(cut, "node_id string, piece int, start_line int, end_line int, symbol string, chunk_text string")
+    big = _oversized(chunks, limit)
+    cuts = _boundaries(chunks, big).join(big.select("_row", "_first"), "_row").select("_row", (F.col("line_no") - F.col("_first")).alias("line"), "name")
+    ranges = _ranges(big.select("_row", "_text"), max(HALO, limit))
+    lengths = write_table(ranges.mapInArrow(_line_lengths, "_row bigint, start int, lengths array<int>"), "line-lengths")
+    placed = _placed(lengths.withColumn("lines", F.size("lengths"))).select("_row", F.col("before").alias("line"), "start", "lengths", F.lit(None).cast("string").alias("name"))
+    both = placed.unionByName(cuts.select("_row", "line", F.lit(None).cast("int").alias("start"), F.lit(None).cast("array<int>").alias("lengths"), "name"))
+    ordered = both.repartition("_row").sortWithinPartitions("_row", "line", F.col("lengths").isNull())
+    plan = ordered.mapInArrow(_planned(limit, overlap), "_row bigint, start int, piece int, first int, end int, at int, size int, name string")
+    text = F.col("slice").substr(F.col("at") + 1, F.col("size"))
+    return (
+        plan.join(ranges.select("_row", "start", "slice"), ["_row", "start"])
+        .join(big.select("_row", "_key", "_first", "_symbol"), "_row")
+        .select(
+            F.col("_key").alias("node_id"),
+            "piece",
+            (F.col("_first") + F.col("first")).alias("start_line"),
+            (F.col("_first") + F.col("end")).alias("end_line"),
+            F.coalesce("name", "_symbol").alias("symbol"),
+            text.alias("chunk_text"),
+        )
+    )

@@ -231,18 +231,84 @@ def test_attached_lines_across_ranges(chunks, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == want
 
 
-def test_pieces(chunks):
+def test_long_lines_and_signatures_across_ranges(chunks, monkeypatch):
+    monkeypatch.setattr(boundaries, "RANGE", 300)
+    monkeypatch.setattr(boundaries, "HALO", 100)
+    monkeypatch.setattr(boundaries, "CUT", 3)
+    arguments = ",\n".join(f"        int argument{i}" for i in range(60))
+    blocks = {
+        "a.c": ["int x;", "char *s = f(" + "1, " * 110 + "2); /*", "int no(int a)", "{", "*/", "int f(int a)", "{", "}", ""],
+        "b.c": [f"int first(\n{arguments});", f"int second(\n{arguments})\n{{", "}", "", "int y = 0;", f"// about\nint third(\n{arguments})\n{{", "}"],
+        "c.js": ["const t = `" + "z" * 900, "function no() {}", "`;", "function f() {", "}", "x" * 700, "class C {", "}"],
+        "d.py": ["x = '''" + "y" * 1000, "def no(): pass", "'''", "def g():", "    pass", "y" * 300, "z" * 299, "def h():", "    pass"],
+    }
+    rows = [
+        {"node_id": f"{path}{k}", "file_path": f"{k}/{path}", "chunk_text": "\n".join(["y" * k, *lines, *lines]), "start_line": 1}
+        for path, lines in blocks.items()
+        for k in range(0, 300, 23)
+    ]
+    want = set()
+    for r in rows:
+        family = boundaries.language_of(r["file_path"], None)
+        whole = boundaries.boundaries(r["chunk_text"].split("\n"), family, boundaries.lex(r["chunk_text"], family))
+        want |= {(r["node_id"], i + 1) for i in whole if i}
+    found = [(r["_key"], r["line_no"]) for r in boundaries.natural_lines(chunks(rows), 500).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and {n[0] for n, _ in want} == set("abcd")
+
+
+def split_by_hand(text, cuts, limit, overlap):
+    """(first line, last line, text) of each piece, from the whole text."""
+    lines, out = text.split("\n"), []
+    start = fresh = 0
+    while fresh < len(lines):
+        while start < fresh and len("\n".join(lines[start : fresh + 1])) > limit:
+            start += 1
+        if len(lines[fresh]) > limit:
+            out += [(fresh, fresh, lines[fresh][i : i + limit]) for i in range(0, len(lines[fresh]), limit)]
+            start = fresh = fresh + 1
+            continue
+        ends = [e for e in range(fresh + 1, len(lines) + 1) if len("\n".join(lines[start:e])) <= limit]
+        end = ends[-1]
+        if end < len(lines):
+            end = max([e for e in ends if e in cuts], default=end)
+        out.append((start, end - 1, "\n".join(lines[start:end])))
+        start, fresh = min(end, max(end - overlap, start + 1)), end
+    return out
+
+
+@pytest.mark.parametrize("ranged,halo", [(262_144, 16_384), (300, 50)])
+def test_pieces(chunks, monkeypatch, ranged, halo):
+    monkeypatch.setattr(boundaries, "RANGE", ranged)
+    monkeypatch.setattr(boundaries, "HALO", halo)
+    monkeypatch.setattr(boundaries, "CUT", 2)
     text = "\n".join(f"def f{i}():\n    x = {i}\n    return '{'y' * 40}'\n" for i in range(60))
     rows = [{"node_id": "n", "file_path": "x.py", "symbol": "own", "chunk_text": text, "start_line": 5}, {"node_id": "null"}]
     found = boundaries.pieces(chunks(rows), 1000, 10).orderBy("piece").collect()
     lines, covered = text.split("\n"), 5
     for i, r in enumerate(found):
         assert len(r["chunk_text"]) <= 1000 and r["chunk_text"] == "\n".join(lines[r["start_line"] - 5 : r["end_line"] - 4])
-        assert r["start_line"] == (5 if i == 0 else covered - 10) and lines[covered - 5].startswith("def ") and r["symbol"].startswith("f")
+        assert r["start_line"] == (5 if i == 0 else covered - 10)
+        assert lines[covered - 5] == f"def {r['symbol'] if i else 'f0'}():"
         covered = r["end_line"] + 1
     assert covered == 5 + len(lines)
-    long = boundaries.split_text("x" * 25 + "\nab", 1, [], 10, 2)
-    assert [p[2] for p in long] == ["x" * 10, "x" * 10, "x" * 5, "ab"]
+
+
+@pytest.mark.parametrize("ranged", [262_144, 200])
+def test_pieces_against_a_split_of_whole_texts(chunks, monkeypatch, ranged):
+    monkeypatch.setattr(boundaries, "RANGE", ranged)
+    monkeypatch.setattr(boundaries, "HALO", 30)
+    monkeypatch.setattr(boundaries, "CUT", 3)
+    random.seed(2)
+    line = lambda: random.choice(["def f():", "# c", "", "    x = 1", "    " + "y" * random.randrange(300), "    é😀 = 2"])
+    texts = ["\n".join(line() for _ in range(random.randrange(20, 300))) for _ in range(25)] + ["z" * 950, "\n" * 300, "é" * 700 + "\n" + "a\n" * 40]
+    rows = [{"node_id": str(i), "file_path": f"{i}.py" if i % 3 else None, "symbol": "own", "chunk_text": t, "start_line": 3} for i, t in enumerate(texts)]
+    found = {}
+    for r in boundaries.pieces(chunks(rows + rows[:3]), 200, 4).orderBy("node_id", "piece").collect():
+        found.setdefault(r["node_id"], []).append((r["start_line"] - 3, r["end_line"] - 3, r["chunk_text"]))
+    for i, text in enumerate(texts):
+        cuts = set() if i % 3 == 0 else {c for c in boundaries.boundaries(text.split("\n"), "python", boundaries.lex(text, "python")) if c}
+        assert found.get(str(i), []) == (split_by_hand(text, cuts, 200, 4) if len(text) > 200 else [])
+    assert boundaries.pieces(chunks([])).count() == 0
 
 
 TOKEN = "ghp_" + "aB3dE5gH7jK9mN1pQ3rS5tU7"
