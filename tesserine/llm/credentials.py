@@ -1,38 +1,50 @@
 """Credentials written into source code: where their values begin, and the text with only the values replaced.
 
 A keyword automaton finds the lines worth reading; issuer formats, key names and the places where passwords
-stand give candidate values; their structure decides (a token's alphabet, the parts of a JSON web token, the
-decoded user and password of basic authentication, a key block's body). Placeholders, masks, references to an
-environment or vault, digests, ids and public keys give no access and are left alone. A value is replaced by
-one of the same length and alphabet, so that the code around it still parses.
+stand give candidate values; their structure decides (an issuer's length and alphabet and, where it publishes one, its
+checksum; the parts of a JSON web token, whose header names an algorithm if it is JSON; the decoded user and password of
+basic authentication, a key block's body). Placeholders, masks, references to an environment or vault, digests, ids and
+public keys give no access and are left alone. A value is replaced by one of the same length and alphabet, so that the
+code around it still parses; replacements follow from a secret key, so that they don't confirm a guess.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
+import json
 import re
+import secrets
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# issuers' prefixes, and the words that stand near a credential.
-PREFIXES = (
-    "sk9.", "zq-svc-", "vtx_pat_", "qlv_live_", "hzr.", "tmk-", "ox1_", "eyJ",
-    "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_",
-    "AIza", "npm_", "pypi-", "hf_", "SG.", "dop_v1_", "shpat_",
-)
+# The formats of issuers' tokens behind their prefixes.
+FORMATS = {
+    "AKIA": r"[A-Z2-7]{16}", "ASIA": r"[A-Z2-7]{16}",
+    "ghp_": r"[A-Za-z0-9]{36}", "gho_": r"[A-Za-z0-9]{36}", "ghu_": r"[A-Za-z0-9]{36}", "ghs_": r"[A-Za-z0-9]{36}", "ghr_": r"[A-Za-z0-9]{36}",
+    "github_pat_": r"[A-Za-z0-9]{22}_[A-Za-z0-9]{59}", "npm_": r"[A-Za-z0-9]{36}", "glpat-": r"[A-Za-z0-9_-]{20,}",
+    "xoxb-": r"[0-9]{6,}-[A-Za-z0-9-]{16,}", "xoxp-": r"[0-9]{6,}-[A-Za-z0-9-]{16,}", "xoxa-": r"[0-9]+-[A-Za-z0-9-]{16,}",
+    "sk_live_": r"[A-Za-z0-9]{24,}", "rk_live_": r"[A-Za-z0-9]{24,}", "AIza": r"[A-Za-z0-9_-]{35}", "pypi-": r"AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}",
+    "hf_": r"[A-Za-z0-9]{34}", "SG.": r"[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", "dop_v1_": r"[0-9a-f]{64}", "shpat_": r"[0-9a-fA-F]{32}",
+    "sk9.": r"[A-Za-z0-9]{12,}", "zq-svc-": r"[A-Za-z0-9]{12,}", "vtx_pat_": r"[A-Za-z0-9]{12,}", "qlv_live_": r"[A-Za-z0-9]{12,}",
+    "hzr.": r"[A-Za-z0-9]{12,}", "tmk-": r"[A-Za-z0-9]{12,}", "ox1_": r"[A-Za-z0-9]{12,}",
+}
+# The prefixes whose tokens end in a checksum of six digits, and these digits.
+CHECKED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# The words that stand near a credential.
 KEYWORDS = (
     "pass", "pwd", "secret", "token", "key", "credential", "bearer", "basic ", "authorization", "login", "connect",
     "dial", "cookie", "auth", "curl", "://",
 )
 
-_issued = re.compile(r"(?<![A-Za-z0-9_])(?:%s)[A-Za-z0-9_./+=-]{12,}" % "|".join(re.escape(p) for p in PREFIXES if p != "eyJ"))
+_issued = re.compile(r"(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9])" % "|".join(re.escape(p) + f for p, f in FORMATS.items()))
 _web_token = re.compile(r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _url = re.compile(r"[a-z][a-z0-9+.-]*://([^\s:/@\"'`]*):([^\s/@\"'`]+)@[\w.-]+", re.I)
 _scheme = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9+/=_.-]{8,})")
@@ -79,7 +91,7 @@ def plausible(value: str, password: bool) -> bool:
     letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
     marks = any(not c.isalnum() and c not in "_-./" for c in value)
     if password:
-        if not 6 <= len(value) <= 128 or re.search(r"[()\[\]{}]", value):
+        if len(value) < 6 or re.search(r"[()\[\]{}]", value):
             return False
         if digits and letters or marks and letters:
             return True
@@ -87,9 +99,32 @@ def plausible(value: str, password: bool) -> bool:
     return len(value) >= 16 and letters and digits and len(set(value)) >= 8 and re.fullmatch(r"[A-Za-z0-9+/=_.~-]+", value) is not None
 
 
-def _random_tail(value: str) -> bool:
-    """Whether an issued token's body looks drawn at random, unlike a template or a name."""
-    return not _placeholder.search(value) and any(c.isdigit() for c in value) and len(set(value)) >= 10 and any(c.isupper() for c in value) | any(c.isdigit() for c in value)
+def checksum(body: str) -> str:
+    """The six digits that the CRC-32 of a token's body gives, as issuers of checked tokens append them."""
+    n, out = binascii.crc32(body.encode()), ""
+    for _ in range(6):
+        n, digit = divmod(n, 62)
+        out = DIGITS[digit] + out
+    return out
+
+
+def _valid_token(value: str) -> bool:
+    """Whether an issued token, of its issuer's format, looks drawn at random, and its checksum holds where it has one."""
+    if _placeholder.search(value) or not any(c.isdigit() for c in value) or len(set(value)) < 10:
+        return False
+    return not value.startswith(CHECKED) or value[-6:] == checksum(value[value.index("_") + 1 : -6])
+
+
+def _valid_web_token(value: str) -> bool:
+    """Whether each part of a JSON web token looks drawn at random; a header that is JSON must name an algorithm."""
+    if any(len(set(part)) < 6 for part in value.split(".")):
+        return False
+    head = value.partition(".")[0]
+    try:
+        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (binascii.Error, ValueError):
+        return True  # encrypted or mangled, but of the shape
+    return isinstance(header, dict) and "alg" in header
 
 
 def _basic(value: str) -> bool:
@@ -141,9 +176,10 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
     """
     found: list[list[Span]] = []
     for match in _web_token.finditer(line):
-        found.append([Span(*match.span())])
+        if _valid_web_token(match.group()):
+            found.append([Span(*match.span())])
     for match in _issued.finditer(line):
-        if _random_tail(match.group()):
+        if _valid_token(match.group()):
             found.append([Span(*match.span())])
     for match in _url.finditer(line):
         if plausible(match.group(2), True):
@@ -157,7 +193,7 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
             found.append([Span(*match.span(2))])
     inner = []
     for before, value, spans in _literals(line):
-        if len(spans) > 1 and (_web_token.fullmatch(value) or _issued.fullmatch(value) and _random_tail(value)):
+        if len(spans) > 1 and (_web_token.fullmatch(value) and _valid_web_token(value) or _issued.fullmatch(value) and _valid_token(value)):
             found.append(spans)
             continue
         if _call.search(before):
@@ -185,15 +221,18 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
     return found
 
 
+_body = re.compile(r"(?:\\n|[\s\"'+*#/>;|,\\-])*((?:[A-Za-z0-9+/=]{16,}(?:\\n|[\s\"'+*#/>|\\])*)+)")
+_nothing = re.compile(r"[\s\"'`\\n]*\Z")
+
+
 def _block_spans(text: str) -> list[Span]:
     """Bodies of private key blocks; a header without a body counts only where the text ends."""
     spans = []
     for match in _block.finditer(text):
-        rest = text[match.end() :]
-        body = re.match(r"(?:\\n|[\s\"'+*#/>;|,\\-])*((?:[A-Za-z0-9+/=]{16,}(?:\\n|[\s\"'+*#/>|\\])*)+)", rest)
+        body = _body.match(text, match.end())
         if body and not _placeholder.search(body.group(1)):
-            spans.append(Span(match.start(), match.end() + body.end(1)))
-        elif not rest.strip("\"'\\n \n`"):
+            spans.append(Span(match.start(), body.end(1)))
+        elif _nothing.match(text, match.end()):
             spans.append(Span(*match.span()))
     return spans
 
@@ -205,7 +244,7 @@ _comment = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|;|>|[-*+] |\|)|(?:\s#|//)\s")
 
 def _automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for word in {w.lower() for w in (*KEYWORDS, *PREFIXES)}:
+    for word in {w.lower() for w in (*KEYWORDS, *FORMATS, "eyJ")}:
         automaton.add_word(word, len(word))
     automaton.make_automaton()
     return automaton
@@ -249,13 +288,12 @@ def find_spans(text: str, markup: bool) -> list[list[Span]]:
     return kept
 
 
-def _mask(value: str) -> str:
-    """Characters of the same kinds, which follow from the value but do not reveal it."""
-    seed = xxhash.xxh3_64_intdigest(value)
+def _mask(value: str, key: bytes) -> str:
+    """Characters of the same kinds, which follow from the value and a secret key."""
+    draws = hashlib.shake_128(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), key=key).digest()).digest(2 * len(value))
     out = []
-    for i, c in enumerate(value):
-        seed = (seed * 6364136223846793005 + 1442695040888963407 + i) & 0xFFFFFFFFFFFFFFFF
-        draw = seed >> 33
+    for c, high, low in zip(value, draws[::2], draws[1::2], strict=True):
+        draw = high << 8 | low
         if c.isascii() and c.isdigit():
             out.append(chr(48 + draw % 10))
         elif "a" <= c <= "f":
@@ -271,7 +309,7 @@ def _mask(value: str) -> str:
     return "".join(out)
 
 
-def redact(text: str, values: list[list[Span]]) -> str:
+def redact(text: str, values: list[list[Span]], key: bytes) -> str:
     """The text with each value replaced by one of its length and alphabet; key blocks keep their frame."""
     out, at = [], 0
     for spans in values:
@@ -281,7 +319,7 @@ def redact(text: str, values: list[list[Span]]) -> str:
             frame = _block.match(value)
             head = frame.end() if frame else 0
             escapes = re.split(r"(\\.)", value[head:])
-            out.append(value[:head] + "".join(p if i % 2 else _mask(p) for i, p in enumerate(escapes)))
+            out.append(value[:head] + "".join(p if i % 2 else _mask(p, key) for i, p in enumerate(escapes)))
             at = e
     return "".join([*out, text[at:]])
 
@@ -308,16 +346,23 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             ids, lines = [], []
             for node, path, language, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at in {text.count("\n", 0, spans[0].start) for spans in find_spans(text, _markup(path, language))}:
+                at = line = 0
+                for spans in find_spans(text, _markup(path, language)):  # in order
+                    line += text.count("\n", at, spans[0].start)
+                    at = spans[0].start
                     ids.append(node)
-                    lines.append(first + at)
+                    lines.append(first + line)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.int32())], ["node_id", "line_no"])
 
     return _rows(chunks).mapInArrow(find, "node_id string, line_no int").distinct()
 
 
-def redacted(chunks: DataFrame) -> DataFrame:
-    """(node_id, chunk_text, found): the text of each distinct row with its credentials replaced, and how many."""
+def redacted(chunks: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(node_id, chunk_text, found): the text of each distinct row with its credentials replaced, and how many.
+
+    Equal values get equal replacements under one key (at most 64 bytes); without one, a new key is drawn for the call.
+    """
+    key = key or secrets.token_bytes(32)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +370,7 @@ def redacted(chunks: DataFrame) -> DataFrame:
             for node, path, language, text, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = find_spans(text, _markup(path, language))
                 ids.append(node)
-                texts.append(redact(text, values))
+                texts.append(redact(text, values, key))
                 counts.append(len(values))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["node_id", "chunk_text", "found"])
 
