@@ -4,8 +4,12 @@ A Gaussian projection keeps a distance d as d times a chi variable, so a vector
 a query exceeds the chi quantile times the query's current k-th distance is no neighbour but with the small
 probability LOSS. A kd-tree over the projections of a bounded sample divides all vectors into cells; a second
 one divides each cell into leaves. Leaves are visited by increasing projected distance and their vectors verified
-by exact distances until the chi-square test stops a query. A query then visits only the other cells that pass
-the test with the distance found in its own.
+by exact distances until the chi-square test stops a query.
+
+With the k-th distance found in its own cell, a query asks which other cells hold a vector that passes the test. For that
+only projections meet, of more dimensions, as then hardly any vector passes that is no neighbour: blocks of cells in
+leaves with tight boxes, and the queries that a block may concern. Whole vectors visit the few cells that remain.
+Both meetings are split where very many queries come to one place.
 
 Equal vectors are one class with its smallest ids, so a vector that very many rows share is no burden.
 """
@@ -13,6 +17,7 @@ Equal vectors are one class with its smallest ids, so a vector that very many ro
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,18 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tesserine.functions.sizes import join_checked
 from tesserine.session import write_table
 
-#: Dimensions of the projection.
-PROJECTED = 8
-#: Probability with which the stopping test may lose a neighbour at just the k-th distance.
-LOSS = 0.01
-#: Vectors in the sample that the cells are fitted on, at most (a bound for the driver's memory).
-SAMPLE = 20_000
-#: Vectors aimed at in a cell, and held at most in a leaf.
-CELL, LEAF = 16_384, 256
+#: Dimensions of the projection that trees are built on, and of the one that chooses the cells to visit.
+PROJECTED, TESTED = 8, 32
+#: Probability with which the stopping test, and the choice of cells, may lose a neighbour at just the k-th distance.
+LOSS, TEST_LOSS = 0.01, 0.001
+#: Vectors in the sample that the cells are fitted on, at most (a bound for the driver's memory), and for each cell.
+SAMPLE, FITTED = 20_000, 16
+#: Vectors aimed at in a cell, and held at most in a leaf; cells at most (a bound for the tree, which workers hold).
+CELL, LEAF, CELLS = 16_384, 256, 1 << 20
+#: Vectors aimed at in a block, and held at most in a leaf of it.
+BLOCK, TIGHT = 1 << 20, 64
+#: Queries that meet a block or a cell in one group, at least.
+VISITORS = 16_384
 #: Share of a node's sample, around its middle, in which a split may lie where fewer vectors are near.
 MIDDLE = 0.3
 
@@ -62,7 +71,6 @@ class Cells(NamedTuple):
     right: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    used: np.ndarray
 
     def assign(self, projected: np.ndarray) -> np.ndarray:
         """The cell of each projected vector; children below 0 are cells, as -1 - cell."""
@@ -78,8 +86,8 @@ class Cells(NamedTuple):
         return -1 - node
 
 
-def fit_cells(sample: np.ndarray, cells: int) -> Cells:
-    """Split a projected sample into so many cells, at thresholds near the middle with few vectors around."""
+def fit_cells(sample: np.ndarray, cells: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> Cells:
+    """Split a projected sample, in a box, into so many cells, at thresholds near the middle with few vectors around."""
     dims = sample.shape[1]
     dimension, threshold, left, right = [], [], [], []
     lows, highs = [], []
@@ -99,10 +107,10 @@ def fit_cells(sample: np.ndarray, cells: int) -> Cells:
             around = np.searchsorted(values, tries + near) - np.searchsorted(values, tries - near)
             # a spread-out dimension has fewer vectors in a band of given width
             width = values[int(n * 0.9)] - values[int(n * 0.1)] or 1e-9
-            cost = around / n * near / width
-            i = int(np.argmin(cost / near))
-            if cost[i] / near < best[0]:
-                best = (cost[i] / near, d, float(tries[i]))
+            cost = around / n / width
+            i = int(np.argmin(cost))
+            if cost[i] < best[0]:
+                best = (cost[i], d, float(tries[i]))
         _, d, at = best
         below = sample[rows, d] < at
         if below.all() or not below.any():
@@ -121,9 +129,37 @@ def fit_cells(sample: np.ndarray, cells: int) -> Cells:
         right[node] = split(rows[~below], lower, high, wanted - share)
         return node
 
-    split(np.arange(len(sample)), np.full(dims, -np.inf), np.full(dims, np.inf), cells)
-    used = np.array(sorted(set(dimension)), np.int64)
-    return Cells(*(np.array(x, np.int64 if i != 1 else np.float64) for i, x in enumerate((dimension, threshold, left, right))), np.array(lows), np.array(highs), used)
+    whole = np.full(dims, np.inf)
+    split(np.arange(len(sample)), -whole if low is None else low, whole if high is None else high, cells)
+    kinds = (np.int64, np.float64, np.int64, np.int64)
+    return Cells(*(np.array(x, kind) for x, kind in zip((dimension, threshold, left, right), kinds, strict=True)), np.array(lows), np.array(highs))
+
+
+def grafted(top: Cells, parts: dict[int, Cells]) -> Cells:
+    """The tree whose cells are divided further by trees of their own."""
+    dimension, threshold, left, right = (list(x) for x in top[:4])
+    lows, highs = [], []
+    places = {}
+    for cell in range(len(top.low)):
+        part = parts.get(cell)
+        if part is None or not len(part.dimension):
+            lows.append(top.low[cell])
+            highs.append(top.high[cell])
+            places[-1 - cell] = -len(lows)
+            continue
+        node, first = len(dimension), len(lows)
+        places[-1 - cell] = node
+        dimension.extend(part.dimension)
+        threshold.extend(part.threshold)
+        for to, children in ((left, part.left), (right, part.right)):
+            to.extend(np.where(children < 0, children - first, children + node))
+        lows.extend(part.low)
+        highs.extend(part.high)
+    for to in (left, right):
+        for i in range(len(top.dimension)):
+            to[i] = places.get(to[i], to[i])
+    kinds = (np.int64, np.float64, np.int64, np.int64)
+    return Cells(*(np.array(x, kind) for x, kind in zip((dimension, threshold, left, right), kinds, strict=True)), np.array(lows), np.array(highs))
 
 
 def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -136,12 +172,12 @@ def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return total
 
 
-def leaves(projected: np.ndarray) -> list[np.ndarray]:
-    """Rows of each leaf of a kd-tree over projected vectors."""
+def leaves(projected: np.ndarray, most: int = 0) -> list[np.ndarray]:
+    """Rows of each leaf, of at most so many, of a kd-tree over projected vectors."""
     out, stack = [], [np.arange(len(projected))]
     while stack:
         rows = stack.pop()
-        if len(rows) <= LEAF:
+        if len(rows) <= (most or LEAF):
             out.append(rows)
             continue
         values = projected[rows]
@@ -152,6 +188,57 @@ def leaves(projected: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def tight_leaves(projected: np.ndarray, most: int) -> list[np.ndarray]:
+    """The same, split at the widest gap near the middle, so that groups stay whole and boxes small."""
+    out, stack = [], [np.arange(len(projected))] if len(projected) else []
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        values = projected[rows]
+        values = values[:, int(np.argmax(values.var(0)))]
+        order = np.argsort(values, kind="stable")
+        first, last = len(rows) // 5, len(rows) - len(rows) // 5
+        at = first + int(np.argmax(np.diff(values[order])[first:last])) + 1
+        stack += [rows[order[:at]], rows[order[at:]]]
+    return out
+
+
+def cells_to_visit(queries: np.ndarray, home: np.ndarray, bounds: np.ndarray, points: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell): the cells, other than the home one, that hold a point within a query's bound by the projected test."""
+    factor = chi_square_quantile(1 - TEST_LOSS, queries.shape[1])
+    groups = []
+    for cell in np.unique(cells):
+        held = np.flatnonzero(cells == cell)
+        groups += [(cell, held[g]) for g in tight_leaves(points[held], TIGHT)]
+    if not groups or not len(queries):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.array([c for c, _ in groups])
+    low = np.array([points[g].min(0) for _, g in groups])
+    high = np.array([points[g].max(0) for _, g in groups])
+    norms = (points**2).sum(1)
+    limits = factor * bounds.astype(np.float64) ** 2 * 1.001 + 1e-3
+    asked_q, asked_c = [], []
+    # queries with alike bounds together, as wide ones ask many leaves
+    by_bound = np.argsort(bounds, kind="stable")
+    for part in np.array_split(by_bound, max(1, math.ceil(len(queries) / (8 * LEAF)))):
+        for block in leaves(queries[part]):
+            rows = part[block]
+            q = queries[rows]
+            norm, limit = (q**2).sum(1), limits[rows]
+            open_ = (box_distances(q, low, high) <= limit[:, None]) & (owner != home[rows][:, None])
+            found: set[tuple[int, int]] = set()
+            for leaf in np.flatnonzero(open_.any(0)):
+                cell, g = groups[leaf]
+                asking = np.flatnonzero(open_[:, leaf])
+                d = norm[asking, None] + norms[g] - 2 * (q[asking] @ points[g].T)
+                found.update((int(i), int(cell)) for i in asking[(d <= limit[asking, None]).any(1)])
+            asked_q.extend(rows[i] for i, _ in found)
+            asked_c.extend(c for _, c in found)
+    return np.array(asked_q, np.int64), np.array(asked_c, np.int64)
+
+
 def search(queries: np.ndarray, bounds: np.ndarray, points: np.ndarray, matrix: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(distances, rows) of up to `keep` points nearest to each query within its bound; infinite where there are fewer."""
     found = np.full((len(queries), keep), np.inf)
@@ -236,24 +323,65 @@ class Neighbours(NamedTuple):
     lists: DataFrame
 
 
+def _fitted(rows: DataFrame, total: int, matrix: np.ndarray) -> Cells:
+    """The tree of cells for so many vectors, from a sample on the driver; where it can't carry them all, samples of
+    its cells, each on a worker, divide these further."""
+    dimensions = len(matrix)
+    every = max(1, math.ceil(total / SAMPLE))
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(2 * SAMPLE).select("vector").toArrow().column(0)
+    flat = np.array(drawn.combine_chunks().flatten(), np.float32) if len(drawn) else np.empty(0, np.float32)
+    wanted = min(CELLS, max(1, math.ceil(total / CELL)))
+    top = fit_cells(flat.reshape(-1, dimensions) @ matrix, min(wanted, max(1, SAMPLE // FITTED)))
+    if wanted * FITTED <= SAMPLE:
+        return top
+    each = math.ceil(wanted / len(top.low))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.asarray(batch.column(0).flatten(), np.float32).reshape(-1, dimensions) @ matrix
+            yield pa.RecordBatch.from_arrays([pa.array(top.assign(low), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], ["cell", "low"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        cell = group.column("cell")[0].as_py()
+        sample = _matrix(group.column("low"), matrix.shape[1])
+        part = fit_cells(sample, each, top.low[cell], top.high[cell])
+        return pa.table({"cell": pa.array([cell], pa.int64()), "tree": pa.array([pickle.dumps(tuple(part))], pa.binary())})
+
+    share = max(1, total // (wanted * FITTED))
+    sampled = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).select("vector").mapInArrow(place, "cell bigint, low binary")
+    trees = sampled.groupBy("cell").applyInArrow(fit, "cell bigint, tree binary").collect()  # at most CELLS nodes
+    return grafted(top, {r["cell"]: Cells(*pickle.loads(r["tree"])) for r in trees})
+
+
+def _chunked(rows: DataFrame, place: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with a chunk, (place, _chunks)): rows that come to one place, in chunks of about so many."""
+    counts = rows.groupBy(place).agg(F.ceil(F.count("*") / F.lit(least)).cast("int").alias("_chunks"))
+    numbered = join_checked(rows, counts, place).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("_chunks")).cast("int"))
+    return numbered.drop("_chunks"), counts
+
+
 def nearest(nodes: DataFrame, queries: DataFrame, k: int = 10, radius: float = math.inf, dimensions: int = 128, seed: int = 7) -> Neighbours:
     """The nodes nearest to each node and each query; nodes: (id, vector), queries: (id, vector), ids BIGINT.
 
     Rows with a null id, or a vector that is null, of a wrong length or with a null or NaN, are left out; repeated
     rows count once; ties go to the smaller id; empty tables give empty results. Distances are exact; a neighbour
-    is lost with a probability below LOSS each. Other columns must not be given.
+    is lost with a probability below LOSS + TEST_LOSS each. Other columns must not be given.
     """
     rows = usable(nodes.toDF("id", "vector").withColumn("is_node", F.lit(True)), "vector", dimensions)
     rows = rows.unionByName(usable(queries.toDF("id", "vector").withColumn("is_node", F.lit(False)), "vector", dimensions)).filter("id IS NOT NULL")
     rows = rows.select("id", F.col("vector").cast("array<float>").alias("vector"), "is_node").withColumn("vid", F.xxhash64("vector"))
     total = nodes.count() + queries.count()
     keep = k + 1
-    matrix = np.random.default_rng(seed).standard_normal((dimensions, PROJECTED)).astype(np.float32)
-    every = max(1, math.ceil(total / SAMPLE))
-    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(2 * SAMPLE).select("vector").toArrow().column(0)
-    flat = np.array(drawn.combine_chunks().flatten(), np.float32) if len(drawn) else np.empty(0, np.float32)
-    cells = fit_cells(flat.reshape(-1, dimensions) @ matrix, max(1, math.ceil(total / CELL)))
-    split_factor = chi_square_quantile(1 - LOSS, len(cells.used)) if len(cells.used) else 0.0
+    whole_matrix = np.random.default_rng(seed).standard_normal((dimensions, max(PROJECTED, TESTED))).astype(np.float32)
+    matrix = np.ascontiguousarray(whole_matrix[:, :PROJECTED])
+    cells = _fitted(rows, total, matrix)
+    count = len(cells.low)
+    blocks = max(1, min(count, math.ceil(total / BLOCK)))
+    edges = [b * count // blocks for b in range(blocks)]
+    block_low, block_high = np.minimum.reduceat(cells.low, edges), np.maximum.reduceat(cells.high, edges)
+    used = np.flatnonzero(np.isfinite(cells.low).any(0) | np.isfinite(cells.high).any(0))
+    split_factor = chi_square_quantile(1 - TEST_LOSS, len(used)) if len(used) else 0.0
+    tree = cells._replace(low=None, high=None)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each distinct vector of a batch, with its cell and smallest node ids."""
@@ -274,7 +402,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 10, radius: float = m
             own = vectors[first] + np.float32(0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cells.assign(own @ matrix), pa.int64()),
+                    pa.array(tree.assign(own @ matrix), pa.int64()),
                     pa.array(vid[first]),
                     pa.array([v.tobytes() for v in own], pa.binary()),
                     _lists(named, pa.int64()),
@@ -282,7 +410,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 10, radius: float = m
                 ["cell", "vid", "vector", "ids"],
             )
 
-    points = rows.mapInArrow(place, "cell bigint, vid bigint, vector binary, ids array<bigint>")
+    points = write_table(rows.mapInArrow(place, "cell bigint, vid bigint, vector binary, ids array<bigint>"), "points")
 
     def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """A cell's distinct vectors with their smallest node ids."""
@@ -295,44 +423,53 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 10, radius: float = m
         first = order[starts]
         return vid[first], _matrix(group.column("vector").take(pa.array(first)), dimensions), ids
 
-    answer = T.StructType.fromDDL("vid bigint, cell bigint, vector binary, bound double, d array<double>, id array<bigint>")
-    names = answer.names
+    answer = "vid bigint, cell bigint, block int, held boolean, low binary, bound double, d array<double>, id array<bigint>"
 
     def at_home(group: pa.Table) -> pa.Table:
-        """Answers of a cell's vectors from the cell, and a row for each other cell a vector has to visit."""
+        """Answers of a cell's vectors from the cell, with their projections, and a row for each block they have to ask."""
         vid, vectors, ids = merged(group)
         home = group.column("cell")[0].as_py()
-        held = np.flatnonzero([len(i) > 0 for i in ids])
+        has = np.array([len(i) > 0 for i in ids], bool)
+        held = np.flatnonzero(has)
         found, at = search(vectors, np.full(len(vectors), radius), vectors[held], matrix, keep)
         d, named, bounds = _expand(found, np.where(at >= 0, held[at], -1) if len(held) else at, ids, keep, radius)
-        visits_q, visits_c = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(cells.low) > 1:
-            used = cells.used
-            gaps = box_distances((vectors @ matrix)[:, used], cells.low[:, used], cells.high[:, used])
-            gaps[:, home] = np.inf
+        low = (vectors @ whole_matrix[:, :TESTED]).astype(np.float16)
+        flat = [x.tobytes() for x in low]
+        asks, asked = np.empty(0, np.int64), np.empty(0, np.int64)
+        if count > 1:
+            gaps = box_distances((vectors @ matrix)[:, used], block_low[:, used], block_high[:, used])
             with np.errstate(invalid="ignore"):
-                visits_q, visits_c = np.nonzero(gaps <= split_factor * bounds[:, None] ** 2)
-        n, m = len(vid), len(visits_q)
+                asks, asked = np.nonzero(gaps <= split_factor * bounds[:, None] ** 2)
+        n, m = len(vid), len(asks)
+        own = int(np.searchsorted(edges, home, "right")) - 1
         columns = [
-            pa.array(np.r_[vid, vid[visits_q]], pa.int64()),
-            pa.array([*[None] * n, *visits_c.tolist()], pa.int64()),
-            pa.array([*[None] * n, *(vectors[i].tobytes() for i in visits_q)], pa.binary()),
-            pa.array(np.r_[bounds, bounds[visits_q]], pa.float64()),
+            pa.array(np.r_[vid, vid[asks]], pa.int64()),
+            pa.array(np.full(n + m, home), pa.int64()),
+            pa.array(np.r_[np.full(n, own), asked], pa.int32()),
+            pa.array([*has.tolist(), *[None] * m], pa.bool_()),
+            pa.array([*flat, *(flat[i] for i in asks)], pa.binary()),
+            pa.array(np.r_[bounds, bounds[asks]], pa.float64()),
             _lists([*d, *[np.empty(0)] * m], pa.float64()),
             _lists([*named, *[np.empty(0, np.int64)] * m], pa.int64()),
         ]
-        return pa.Table.from_arrays(columns, names)
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in answer.split(", ")])
+
+    def choose(block: pa.Table, asking: pa.Table) -> pa.Table:
+        """The cells of a block that queries have to visit."""
+        decode = lambda t: np.frombuffer(b"".join(t.column("low").to_pylist()), np.float16).reshape(-1, TESTED).astype(np.float32)
+        home, bounds = asking.column("cell").to_numpy(), asking.column("bound").to_numpy()
+        q, c = cells_to_visit(decode(asking), home, bounds, decode(block), block.column("cell").to_numpy())
+        return pa.table([pa.array(c, pa.int64()), asking.column("vid").take(pa.array(q)), asking.column("bound").take(pa.array(q))], ["cell", "vid", "bound"])
 
     def abroad(group: pa.Table, visitors: pa.Table) -> pa.Table:
         """Answers of visiting vectors from a cell."""
         if not len(group) or not len(visitors):
             return pa.Table.from_arrays([pa.array([], f) for f in (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))], ["vid", "d", "id"])
         _, vectors, ids = merged(group)
-        held = np.flatnonzero([len(i) > 0 for i in ids])
-        asked = visitors.column("vid").to_numpy()
-        bounds = visitors.column("bound").to_numpy()
-        found, at = search(_matrix(visitors.column("vector"), dimensions), bounds, vectors[held], matrix, keep)
-        d, named, _ = _expand(found, np.where(at >= 0, held[at], -1) if len(held) else at, ids, keep, radius)
+        asked, first = np.unique(visitors.column("vid").to_numpy(), return_index=True)
+        bounds = visitors.column("bound").to_numpy()[first]
+        found, at = search(_matrix(visitors.column("vector").take(pa.array(first)), dimensions), bounds, vectors, matrix, keep)
+        d, named, _ = _expand(found, at, ids, keep, radius)
         full = [i for i, n in enumerate(named) if len(n)]
         return pa.Table.from_arrays(
             [pa.array(asked[full], pa.int64()), _lists([d[i] for i in full], pa.float64()), _lists([named[i] for i in full], pa.int64())], ["vid", "d", "id"]
@@ -340,10 +477,17 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 10, radius: float = m
 
     home = write_table(points.groupBy("cell").applyInArrow(at_home, answer), "home-answers")
     pair = F.arrays_zip("d", "id").alias("near")
-    lists = home.filter("cell IS NULL").select("vid", pair)
-    if len(cells.low) > 1:
-        visits = home.filter("cell IS NOT NULL").select("cell", "vid", "vector", "bound")
-        away = points.groupBy("cell").cogroup(visits.groupBy("cell")).applyInArrow(abroad, "vid bigint, d array<double>, id array<bigint>")
+    lists = home.filter("held IS NOT NULL").select("vid", pair)
+    if count > 1:
+        asking, numbers = _chunked(home.filter("held IS NULL").select("vid", "cell", "block", "low", "bound").toDF("vid", "cell", "block", "low", "bound"), "block", max(VISITORS, min(total, BLOCK) // 8))
+        held = join_checked(home.filter("held").select("cell", "block", "low"), numbers, "block")
+        held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+        chosen = held.groupBy("block", "chunk").cogroup(asking.groupBy("block", "chunk")).applyInArrow(choose, "cell bigint, vid bigint, bound double")
+        visits, numbers = _chunked(write_table(chosen, "visits"), "cell", VISITORS)
+        visits = visits.join(points.select("vid", "vector").toDF("vid", "vector"), "vid")
+        held = join_checked(points.filter(F.size("ids") > 0), numbers, "cell")
+        held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+        away = held.groupBy("cell", "chunk").cogroup(visits.groupBy("cell", "chunk")).applyInArrow(abroad, "vid bigint, d array<double>, id array<bigint>")
         # at most k + 1 of each cell that a vector visits
         gathered = lists.unionByName(away.select("vid", pair)).groupBy("vid").agg(F.flatten(F.collect_list("near")).alias("near"))
         lists = gathered.select("vid", F.slice(F.array_sort("near"), 1, keep).alias("near"))

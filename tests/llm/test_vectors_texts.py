@@ -23,9 +23,23 @@ def points():
     return found
 
 
-@pytest.mark.parametrize("cell", [10_000, 100])
-def test_neighbours_against_brute_force(spark, points, monkeypatch, cell):
-    monkeypatch.setattr(neighbours, "CELL", cell)
+def test_grafted_trees():
+    rng = np.random.default_rng(3)
+    sample = rng.random((4000, 4)).astype(np.float32)
+    top = neighbours.fit_cells(sample, 5)
+    at = top.assign(sample)
+    parts = {c: neighbours.fit_cells(sample[at == c], 4, top.low[c], top.high[c]) for c in range(5) if c != 2}
+    whole = neighbours.grafted(top, parts)
+    cell = whole.assign(sample)
+    assert len(whole.low) == 17 and set(cell) == set(range(17)) and max(np.bincount(cell)) < 2000
+    assert (sample >= whole.low[cell]).all() and (sample <= whole.high[cell]).all()
+
+
+# cells, of which the tree on the driver carries all or not; blocks; visitors of a group
+@pytest.mark.parametrize("cell,sample,block,visitors", [(10_000, 20_000, 10**6, 10**4), (100, 20_000, 10**6, 10**4), (50, 200, 300, 40)])
+def test_neighbours_against_brute_force(spark, points, monkeypatch, cell, sample, block, visitors):
+    for name, value in (("CELL", cell), ("SAMPLE", sample), ("BLOCK", block), ("VISITORS", visitors)):
+        monkeypatch.setattr(neighbours, name, value)
     nodes = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
     extra = [nodes[3], (9000, None), (9001, [1.0]), (9002, [math.nan] * 16), (None, nodes[0][1])]
     asked = [(10_000 + i, [float(x) + 0.01 for x in points[i]]) for i in range(0, 700, 90)]
