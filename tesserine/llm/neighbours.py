@@ -38,7 +38,7 @@ SAMPLE, FITTED = 20_000, 16
 #: Vectors aimed at in a cell, and held at most in a leaf; cells at most (a bound for the tree, which workers hold).
 CELL, LEAF, CELLS = 16_384, 256, 1 << 20
 #: Vectors aimed at in a block, and held at most in a leaf of it.
-BLOCK, TIGHT = 1 << 20, 64
+BLOCK, TIGHT = 1 << 20, 96
 #: Queries that meet a block or a cell in one group, at least.
 VISITORS = 16_384
 #: Share of a node's sample, around its middle, in which a split may lie where fewer vectors are near.
@@ -164,11 +164,15 @@ def grafted(top: Cells, parts: dict[int, Cells]) -> Cells:
 
 def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances of points to boxes, as (points, boxes)."""
-    total = np.zeros((len(points), len(low)), np.float64)
+    points, low, high = (np.asarray(x, np.float32) for x in (points, low, high))
+    total = np.zeros((len(points), len(low)), np.float32)
     for d in range(points.shape[1]):
-        x = points[:, d : d + 1].astype(np.float64)
-        gap = np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0)
-        total += gap * gap
+        x = points[:, d : d + 1]
+        gap = low[:, d] - x
+        np.maximum(gap, x - high[:, d], out=gap)
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        total += gap
     return total
 
 
@@ -207,7 +211,8 @@ def tight_leaves(projected: np.ndarray, most: int) -> list[np.ndarray]:
 
 def cells_to_visit(queries: np.ndarray, home: np.ndarray, bounds: np.ndarray, points: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, cell): the cells, other than the home one, that hold a point within a query's bound by the projected test."""
-    factor = chi_square_quantile(1 - TEST_LOSS, queries.shape[1])
+    few = min(PROJECTED, queries.shape[1])
+    factor, coarse = (chi_square_quantile(1 - TEST_LOSS, d) for d in (queries.shape[1], few))
     groups = []
     for cell in np.unique(cells):
         held = np.flatnonzero(cells == cell)
@@ -223,17 +228,24 @@ def cells_to_visit(queries: np.ndarray, home: np.ndarray, bounds: np.ndarray, po
     # queries with alike bounds together, as wide ones ask many leaves
     by_bound = np.argsort(bounds, kind="stable")
     for part in np.array_split(by_bound, max(1, math.ceil(len(queries) / (8 * LEAF)))):
-        for block in leaves(queries[part]):
+        for block in tight_leaves(queries[part], 2 * TIGHT):
             rows = part[block]
             q = queries[rows]
             norm, limit = (q**2).sum(1), limits[rows]
-            open_ = (box_distances(q, low, high) <= limit[:, None]) & (owner != home[rows][:, None])
+            # the leaves that the block as a whole may ask, then those that a query may by few dimensions, then by all
+            between = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0)
+            near = np.flatnonzero((between * between).sum(1) <= limit.max())
+            open_ = box_distances(q[:, :few], low[near, :few], high[near, :few]) <= limit[:, None] * (coarse / factor)
+            open_ &= owner[near] != home[rows][:, None]
+            several = open_.any(0)
+            near, open_ = near[several], open_[:, several]
+            open_ &= box_distances(q, low[near], high[near]) <= limit[:, None]
             found: set[tuple[int, int]] = set()
-            for leaf in np.flatnonzero(open_.any(0)):
-                cell, g = groups[leaf]
-                asking = np.flatnonzero(open_[:, leaf])
+            for i in np.flatnonzero(open_.any(0)):
+                cell, g = groups[near[i]]
+                asking = np.flatnonzero(open_[:, i])
                 d = norm[asking, None] + norms[g] - 2 * (q[asking] @ points[g].T)
-                found.update((int(i), int(cell)) for i in asking[(d <= limit[asking, None]).any(1)])
+                found.update((int(x), int(cell)) for x in asking[(d <= limit[asking, None]).any(1)])
             asked_q.extend(rows[i] for i, _ in found)
             asked_c.extend(c for _, c in found)
     return np.array(asked_q, np.int64), np.array(asked_c, np.int64)
