@@ -21,23 +21,28 @@ def visit_order(nodes: DataFrame, requests: DataFrame, budget: str = "max_visit"
 
     nodes: (id, neighbors), ids unique; requests: (request_id, entry_id, and the budget's column), ids unique. At most
     the budget is visited, however many nodes a worker takes at once. A null, negative or unknown entry, or a
-    budget below 1, visits nothing. Each level is one join and is written, so lineage stays short.
+    budget below 1, visits nothing. A request is one row, whose lists the budget bounds; each level joins the frontiers'
+    neighbour lists, and is written, so lineage stays short; requests leave when they have nothing more to visit.
     """
-    edges = write_table(neighbour_lists(nodes), "graph-edges")
-    asked = requests.select("request_id", F.col("entry_id").alias("id"), F.col(budget).alias("_budget")).filter("_budget > 0")
-    level = asked.join(nodes.select("id"), "id", "left_semi").select("request_id", F.lit(0).cast("bigint").alias("pos"), "id", "_budget")
-    visited = write_table(level, "graph-level")
-    level = visited
-    while not level.isEmpty():
-        step = level.join(edges, level["id"] == edges["src"]).select("request_id", "dst", "pos", "ordinal", "_budget")
-        found = step.groupBy("request_id", F.col("dst").alias("id")).agg(F.min(F.struct("pos", "ordinal")).alias("_first"), F.first("_budget").alias("_budget"))
-        new = found.join(visited.select("request_id", "id"), ["request_id", "id"], "left_anti")
-        done = visited.groupBy("request_id").agg(F.count("*").alias("_done"))
-        order = W.partitionBy("request_id").orderBy("_first.pos", "_first.ordinal", "id")
-        placed = new.join(done, "request_id").withColumn("pos", F.col("_done") + F.row_number().over(order) - 1).filter(F.col("pos") < F.col("_budget"))
-        level = write_table(placed.select("request_id", "pos", "id", "_budget"), "graph-level")
-        visited = visited.unionByName(level)
-    return visited.select("request_id", "pos", "id")
+    lists = neighbour_lists(nodes).groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "dst"))).alias("_l"))
+    known = write_table(lists.select("id", F.col("_l.dst").alias("_next")), "graph-lists")
+    asked = requests.select("request_id", F.col("entry_id").alias("id"), F.col(budget).cast("int").alias("_budget")).filter("_budget > 0")
+    entries = asked.join(nodes.select("id"), "id", "left_semi").select("request_id", "_budget", F.array("id").alias("_visited"), F.array("id").alias("_frontier"))
+    level = write_table(entries, "graph-level")
+    finished = level.filter("size(_visited) >= _budget")
+    empty = F.array().cast(level.schema["_visited"].dataType)
+    while True:
+        going = level.filter("size(_visited) < _budget AND size(_frontier) > 0")
+        if going.isEmpty():
+            break
+        step = going.select("request_id", F.posexplode("_frontier").alias("_at", "id")).join(known, "id")
+        reached = step.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_next"))).alias("_all"))  # at most the budget's lists
+        met = F.array_distinct(F.flatten(F.col("_all._next")))
+        new = F.slice(F.array_except(F.coalesce(met, empty), "_visited"), F.lit(1), F.col("_budget") - F.size("_visited"))
+        placed = going.select("request_id", "_budget", "_visited").join(reached, "request_id", "left").withColumn("_frontier", new)
+        level = write_table(placed.select("request_id", "_budget", F.concat("_visited", "_frontier").alias("_visited"), "_frontier"), "graph-level")
+        finished = finished.unionByName(level.filter("size(_visited) >= _budget OR size(_frontier) = 0"))
+    return finished.select("request_id", F.posexplode("_visited").alias("pos", "id")).select("request_id", F.col("pos").cast("bigint").alias("pos"), "id")
 
 
 def search(visited: DataFrame, nodes: DataFrame, requests: DataFrame, passes: Column) -> DataFrame:

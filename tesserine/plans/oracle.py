@@ -397,3 +397,61 @@ WITH {_DIFF}, {_NODES}
 SELECT node_id, file_path FROM nodes WHERE file_path NOT IN (SELECT file_path FROM diff WHERE status = 'deleted')
 """
 ORACLE["snapshot_roundtrip"] = f"WITH {_NODES} SELECT node_id, file_path, sha1(coalesce(chunk_text, '')) AS text_sha1 FROM nodes"
+
+
+_BFS = """
+listed AS (
+  SELECT src, ordinal, dst FROM (SELECT id AS src, unnest(neighbors) AS dst, generate_subscripts(neighbors, 1) AS ordinal FROM net)
+  WHERE dst IN (SELECT id FROM net)),
+steps AS (
+  SELECT request_id, budget, [entry_id] AS visited, [entry_id] AS frontier FROM asked WHERE budget > 0 AND entry_id IN (SELECT id FROM net)
+  UNION ALL
+  SELECT request_id, budget, visited || fresh, fresh
+  FROM (
+    SELECT s.request_id, s.budget, s.visited, list_slice(list(n.dst ORDER BY n.at, n.ordinal), 1, s.budget - len(s.visited)) AS fresh
+    FROM steps s JOIN (
+      SELECT f.request_id, l.dst, min(f.at) AS at, min_by(l.ordinal, (f.at, l.ordinal)) AS ordinal
+      FROM (SELECT request_id, visited, unnest(frontier) AS src, generate_subscripts(frontier, 1) AS at FROM steps) f JOIN listed l USING (src)
+      WHERE NOT list_contains(f.visited, l.dst)
+      GROUP BY f.request_id, l.dst) n USING (request_id)
+    GROUP BY s.request_id, s.budget, s.visited)
+  WHERE len(fresh) > 0),
+orders AS (SELECT request_id, arg_max(visited, len(visited)) AS visited FROM steps GROUP BY request_id),
+visits AS (SELECT request_id, unnest(visited) AS id, generate_subscripts(visited, 1) - 1 AS pos FROM orders)
+"""
+
+_SEARCH = f"""
+WITH RECURSIVE net AS (SELECT id, any_value(neighbors) AS neighbors, any_value(embedding) AS embedding FROM graph_nodes WHERE id IS NOT NULL GROUP BY id),
+requests AS (
+  SELECT request_id, any_value(entry_id) AS entry_id, any_value(max_visit) AS budget, any_value(query) AS query, any_value(top_k) AS top_k
+  FROM search_requests WHERE request_id IS NOT NULL GROUP BY request_id),
+asked AS (SELECT request_id, entry_id, budget FROM requests),
+{_BFS}
+"""
+
+ORACLE["bfs_budget_visit_order"] = _SEARCH + "SELECT request_id, pos, id FROM visits"
+
+ORACLE["search_stats"] = _SEARCH + "SELECT request_id, count(*) AS visited, count(*) FILTER (id % 11 = 0) AS filtered_nodes FROM visits GROUP BY request_id"
+
+ORACLE["graph_search_topk"] = _SEARCH + """,
+measured AS (
+  SELECT request_id, id, pos, top_k,
+    CASE WHEN len(query) = len(embedding) THEN sqrt(list_reduce(
+      list_transform(list_zip(query, embedding), lambda z: ((z[1] - z[2]) * (z[1] - z[2]))::FLOAT), lambda total, x: (total + x)::FLOAT))::FLOAT::DOUBLE
+    ELSE 3.4028234663852886e38 END AS distance
+  FROM visits JOIN net USING (id) JOIN requests USING (request_id)
+  WHERE id % 11 <> 0 AND query IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0)
+SELECT request_id, id, round(distance, 4) AS distance, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, pos) AS rank FROM measured) WHERE rank <= top_k
+"""
+
+ORACLE["occ_traverse"] = f"""
+WITH RECURSIVE log AS (
+  SELECT user_id AS node_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version,
+    [floor(user_id / 2)::BIGINT, user_id + 1, event_id % 50] AS neighbors
+  FROM events WHERE user_id IS NOT NULL),
+net AS (SELECT node_id AS id, arg_max(neighbors, version) AS neighbors FROM log GROUP BY node_id),
+asked AS (SELECT DISTINCT node_id AS request_id, node_id AS entry_id, 20 AS budget FROM log WHERE node_id % 50 = 0),
+{_BFS}
+SELECT request_id, pos, id FROM visits
+"""
