@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tesserine.operators.symbols import C_FAMILY, GENERIC, PYTHON
+
 ORACLE: dict[str, str] = {}
 
 _TOKEN = "[A-Za-z_][A-Za-z0-9_]{1,}"
@@ -455,3 +457,49 @@ asked AS (SELECT DISTINCT node_id AS request_id, node_id AS entry_id, 20 AS budg
 {_BFS}
 SELECT request_id, pos, id FROM visits
 """
+
+# A mark before each match; what stands before it tells its line.
+_SYMBOLS = "\nUNION ALL\n".join(
+    f"""SELECT file, unnest(regexp_extract_all(content, '{p}', 1)) AS name, generate_subscripts(regexp_extract_all(content, '{p}', 1), 1) - 1 AS ordinal,
+  string_split(regexp_replace(content, '{p}', chr(1) || '\\0', 'g'), chr(1)) AS parts FROM files WHERE {where}"""
+    for p, where in (
+        ("(?m)" + PYTHON, "language = 'python'"),
+        ("(?m)" + C_FAMILY, "language IN ('cpp', 'c', 'java', 'go', 'rust')"),
+        (GENERIC, "coalesce(language, '') NOT IN ('python', 'cpp', 'c', 'java', 'go', 'rust')"),
+    )
+)
+_LINES = f"""
+matches AS ({_SYMBOLS}),
+names AS (
+  SELECT file, ordinal, name, 1 + len(array_to_string(parts[1:ordinal + 1], '')) - len(replace(array_to_string(parts[1:ordinal + 1], ''), chr(10), '')) AS line
+  FROM matches)
+"""
+
+ORACLE["symbols_all"] = f"""
+WITH files AS (SELECT node_id AS file, lower(any_value(language)) AS language, any_value(chunk_text) AS content FROM chunks WHERE node_id IS NOT NULL GROUP BY node_id),
+{_LINES}
+SELECT file AS node_id, ordinal::INT AS ordinal, name, line::INT AS line FROM names
+"""
+
+ORACLE["best_symbol"] = rf"""
+WITH files AS (
+  SELECT source || '/' || doc_id || ['.py', '.cpp', '.ts', '.md'][doc_id % 4 + 1] AS file,
+    ['python', 'cpp', 'typescript', 'markdown'][doc_id % 4 + 1] AS language, text AS content FROM documents WHERE text IS NOT NULL),
+{_LINES},
+split AS (SELECT file, language, regexp_split_to_array(regexp_replace(content, '\r\n?', chr(10), 'g'), '[\n\x{{0b}}\x{{0c}}\x{{1c}}\x{{1d}}\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]') AS pieces FROM files),
+counted AS (SELECT file, language, len(pieces) - (pieces[-1] = '')::INT AS n FROM split),
+policy AS (
+  SELECT file, n,
+    CASE WHEN n <= 120 THEN n ELSE (CASE language WHEN 'markdown' THEN 140 ELSE 100 END) + CASE WHEN n > 1000 THEN 60 WHEN n > 500 THEN 30 ELSE 0 END END AS size,
+    CASE WHEN n <= 120 THEN 0 ELSE (CASE language WHEN 'markdown' THEN 30 ELSE 25 END) + CASE WHEN n > 1000 THEN 10 WHEN n > 500 THEN 5 ELSE 0 END END AS lap
+  FROM counted WHERE n > 0),
+cut AS (
+  SELECT file, i * (size - lap) + 1 AS start_line, least(n, i * (size - lap) + size) AS end_line
+  FROM (SELECT *, unnest(range(CASE WHEN n <= size THEN 1 ELSE ceil((n - size) / (size - lap))::BIGINT + 1 END)) AS i FROM policy)),
+ranked AS (
+  SELECT c.*, name, row_number() OVER (
+    PARTITION BY c.file, start_line ORDER BY (line BETWEEN start_line AND end_line) DESC,
+      CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE least(abs(line - start_line), abs(line - end_line)) END, ordinal) AS r
+  FROM cut c LEFT JOIN names USING (file))
+SELECT file AS file_path, start_line::INT AS start_line, end_line::INT AS end_line, coalesce(name, 'global_scope') AS symbol FROM ranked WHERE r = 1
+"""

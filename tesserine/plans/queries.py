@@ -202,13 +202,18 @@ def symbols_all(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("file_path").alias("node_id"), "ordinal", "name", "line")
 
 
+def _code_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of several languages."""
+    suffixes = F.array(*map(F.lit, (".py", ".cpp", ".ts", ".md")))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.element_at(suffixes, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
+    return table(spark, folder, "documents").filter("text IS NOT NULL").select(path.alias("file_path"), F.col("text").alias("content"))
+
+
 def best_symbol(spark: SparkSession, folder: str) -> DataFrame:
-    """The name that suits each chunk, from its own text."""
-    found = symbols.file_symbols(_chunk_files(spark, folder))
-    rows = _nodes(spark, folder).filter("chunk_text IS NOT NULL")
-    n = F.size(text_columns.lines(F.col("chunk_text")))
-    chunks = rows.select("node_id", F.col("node_id").alias("file_path"), F.lit(1).alias("start_line"), n.alias("end_line"))
-    return symbols.best_symbols(chunks, found).select("node_id", "symbol")
+    """The name that suits each chunk of a file, inside its lines or nearest to them."""
+    files = _code_files(spark, folder)
+    found = symbols.file_symbols(files.withColumn("language", text_columns.language_of(F.col("file_path"))))
+    return symbols.best_symbols(chunking.chunk_files(files), found).select("file_path", "start_line", "end_line", "symbol")
 
 
 def edges_locality(spark: SparkSession, folder: str) -> DataFrame:
