@@ -383,12 +383,12 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolved(told: DataFrame) -> DataFrame:
     """(_row, _key, line_no, name): boundaries, of which those that begin or end in other ranges are followed through these."""
-    order = W.partitionBy("_row").orderBy("start")
-    before, after = order.rangeBetween(W.unboundedPreceding, -1), order.rangeBetween(1, W.unboundedFollowing)
+    whole = W.partitionBy("_row")
+    before, after = (whole.orderBy(o).rangeBetween(W.unboundedPreceding, -1) for o in (F.col("start"), F.col("start").desc()))
     above = told.withColumns(
         {
             "_above": F.last(F.when(F.col("kind") == RUN, F.col("line_no")), ignorenulls=True).over(before),
-            "_opens": F.first(F.when(F.col("kind") == ENDS, F.col("line_no")), ignorenulls=True).over(after),
+            "_opens": F.last(F.when(F.col("kind") == ENDS, F.col("line_no")), ignorenulls=True).over(after),
         }
     )
     kept = above.filter((F.col("kind") <= OPEN) | (F.col("kind") == UNDERLINE) & (F.col("_above") < F.col("line_no")))
