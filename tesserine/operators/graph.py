@@ -93,7 +93,27 @@ def validated(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("node_id", "version").join(now, "node_id", "left").select("node_id", "version", F.col("_now").eqNullSafe(F.col("version")).alias("valid"))
 
 
-def traverse(log: DataFrame, entries: DataFrame, max_steps: int) -> DataFrame:
-    """(request_id, pos, id): first-in-first-out traversal of at most max_steps nodes over one consistent reading of the log."""
-    nodes = latest(log).select(F.col("node_id").alias("id"), "neighbors")
+def settled(readings: list[DataFrame]) -> DataFrame:
+    """(node_id, version, neighbors): each node as the first reading gives it whose version the next reading still has.
+
+    readings: a log as it was at one time after another, (node_id, version, neighbors) each. A node that changed between
+    every two of them is left out. One reading is taken as it is.
+    """
+    if len(readings) == 1:
+        return latest(readings[0])
+    now = [latest(r) for r in readings]
+    found = None
+    for attempt, (before, after) in enumerate(zip(now, now[1:], strict=False)):
+        held = before.join(after.select("node_id", "version"), ["node_id", "version"], "left_semi").withColumn("_attempt", F.lit(attempt))
+        found = held if found is None else found.unionByName(held)
+    first = found.groupBy("node_id").agg(F.min_by(F.struct("version", "neighbors"), "_attempt").alias("_r"))
+    return first.select("node_id", "_r.version", "_r.neighbors")
+
+
+def traverse(log: DataFrame, entries: DataFrame, max_steps: int, later: list[DataFrame] | None = None) -> DataFrame:
+    """(request_id, pos, id): first-in-first-out traversal of at most max_steps nodes over consistent readings of a log.
+
+    later: the log as it was read again after each attempt; a node that changed during all attempts is skipped.
+    """
+    nodes = settled([log, *(later or [])]).select(F.col("node_id").alias("id"), "neighbors")
     return visit_order(nodes, entries.withColumn("max_visit", F.lit(max_steps)))

@@ -279,9 +279,12 @@ def plan(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", routes.alias("routes"))
 
 
-def route_hits(nodes: DataFrame, queries: DataFrame, top_k: int = 8, inverted: DataFrame | None = None) -> DataFrame:
-    """The hits of all planned routes in one table; the graph route starts from the others' hits."""
-    planned = plan(queries).select("query_id", F.explode("routes").alias("route"))
+def route_hits(nodes: DataFrame, queries: DataFrame, top_k: int = 8, inverted: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
+    """The hits of all planned routes in one table; the graph route starts from the others' hits.
+
+    planned: (query_id, routes) in place of the built-in plan; it may leave routes out or add them.
+    """
+    planned = (plan(queries) if planned is None else planned).select("query_id", F.explode("routes").alias("route"))
     most = max(top_k, SEEDS)
     by_words, by_name = write_table(dense(nodes, queries, most), "dense-hits"), write_table(symbol(nodes, queries, most), "symbol-hits")
     linked = graph(nodes, queries, top_k, seeds(by_name, by_words))
@@ -319,10 +322,10 @@ def rerank(nodes: DataFrame, queries: DataFrame, fused: DataFrame, top_k: int =
     return top(joined.select("query_id", "node_id", F.round(F.greatest(F.lit(0.0), score), 9).alias("score")), "rerank", top_k)
 
 
-def retrieve(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> dict[str, DataFrame]:
+def retrieve(nodes: DataFrame, queries: DataFrame, top_k: int = 8, planned: DataFrame | None = None) -> dict[str, DataFrame]:
     """route_hits, fused_hits (twice top_k, of which a caller is shown top_k) and final_hits of a batch of queries."""
     inverted = write_table(postings(nodes), "postings")
-    hits = write_table(route_hits(nodes, queries, top_k, inverted), "route-hits")
+    hits = write_table(route_hits(nodes, queries, top_k, inverted, planned), "route-hits")
     fused = write_table(fuse(hits, 2 * top_k), "fused-hits")
     return {"route_hits": hits, "fused_hits": fused, "final_hits": rerank(nodes, queries, fused, top_k, inverted)}
 

@@ -6,6 +6,7 @@ best of each query, so what is moved is k rows for a query and batch.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def _ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _candidates(vectors: DataFrame, queries: DataFrame, keep: int, codec: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def _candidates(vectors: DataFrame, queries: DataFrame, keep: int, codec: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 6) -> DataFrame:
     """(qid, id, coarse, distance): of each batch the best `keep` of each query, by the distance to what the codec
     gives back, or without a codec by the exact distance."""
     schema = "qid bigint, id bigint, coarse double, distance double"
@@ -68,7 +69,7 @@ def _candidates(vectors: DataFrame, queries: DataFrame, keep: int, codec: tuple[
                     order = np.argsort(named, kind="stable")
                     named, points = named[order], points[order]
                     exact = _distances(asked, points)
-                    coarse = exact if codec is None else _distances(asked, decode(encode(points, *codec), *codec))
+                    coarse = exact if codec is None else _distances(asked, decode(encode(points, *codec, bits), *codec))
                     best = np.argsort(coarse, 1, kind="stable")[:, :keep]
                     columns = [
                         pa.array(np.repeat(ids, best.shape[1])),
@@ -126,10 +127,12 @@ def decode(codes: np.ndarray, low: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return codes / scale + low
 
 
-def quantised_nearest(vectors: DataFrame, queries: DataFrame, k: int, rerank_k: int = 64, bits: int = 6) -> DataFrame:
+def quantised_nearest(
+    vectors: DataFrame, queries: DataFrame, k: int, rerank_k: int = 64, bits: int = 6, codec: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
     """(qid, id, distance, rank): the best max(k, rerank_k) by decoded vectors, reranked by exact distance, cut to k."""
-    codec = codec_arrays(fit_codec(vectors, bits))
-    coarse = _ranked(_candidates(vectors, queries, max(k, rerank_k), codec), ["coarse"], max(k, rerank_k)).drop("rank")
+    codec = codec or codec_arrays(fit_codec(vectors, bits))
+    coarse = _ranked(_candidates(vectors, queries, max(k, rerank_k), codec, bits), ["coarse"], max(k, rerank_k)).drop("rank")
     return _ranked(coarse, ["distance"], k).select("qid", "id", "distance", "rank")
 
 
@@ -142,6 +145,22 @@ def recall(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
     return each.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("_n") / k), 9).alias("recall"))
 
 
+def timed_evaluation(vectors: DataFrame, queries: DataFrame, k: int, rerank_k: int = 64, bits: int = 6) -> dict[str, float]:
+    """recall of the quantised search, the 95th percentile of the milliseconds that a query takes by it and by the exact one,
+    and their ratio. Queries are run one by one, as latencies are asked for: give few of them."""
+    codec = codec_arrays(fit_codec(vectors, bits))
+    times: dict[str, list[float]] = {"exact": [], "quantised": []}
+    for row in queries.select("qid").orderBy("qid").toLocalIterator():
+        one = queries.filter(F.col("qid") == row["qid"])
+        for name, run in (("exact", lambda q: exact_nearest(vectors, q, k)), ("quantised", lambda q: quantised_nearest(vectors, q, k, rerank_k, bits, codec))):
+            start = time.perf_counter()
+            run(one).count()
+            times[name].append(1000 * (time.perf_counter() - start))
+    p95 = {name: sorted(t)[int((len(t) - 1) * 0.95)] if t else 0.0 for name, t in times.items()}
+    found = recall(exact_nearest(vectors, queries, k), quantised_nearest(vectors, queries, k, rerank_k, bits, codec), k).first()["recall"]
+    return {"recall": found, "exact_p95_ms": p95["exact"], "quantised_p95_ms": p95["quantised"], "ratio": p95["exact"] / p95["quantised"] if p95["quantised"] else 0.0}
+
+
 def block_ids(vectors: DataFrame, block: int = 64) -> DataFrame:
     """(id, block_id): vectors in blocks of so many positions, positions being ids that count from 0."""
     return vectors.select("id", F.floor(F.col("id") / max(1, block)).alias("block_id"))

@@ -56,6 +56,10 @@ def test_versioned_adjacency(spark):
     assert visits(graph.traverse(log, start, 6))[1] == [0, 1, 2, 3, 4]
     new = graph.with_neighbours(log, spark.createDataFrame([(2, [4, 5]), (3, [5]), (99, [1])], "node_id bigint, neighbors array<bigint>"))
     assert visits(graph.traverse(new, start, 6))[1] == [0, 1, 2, 3, 4, 5]
+    again = graph.bumped(log, spark.createDataFrame([(2,)], "node_id bigint"))
+    twice = graph.bumped(again, spark.createDataFrame([(2,)], "node_id bigint"))
+    assert visits(graph.traverse(log, start, 6, [again, twice]))[1] == [0, 1, 3]  # 2 changed during both attempts
+    assert visits(graph.traverse(log, start, 6, [again, again]))[1] == [0, 1, 2, 3, 4]
     touched = graph.bumped(log, spark.createDataFrame([(1,), (98,)], "node_id bigint"))
     valid = {r["node_id"]: r["valid"] for r in graph.validated(graph.latest(log), graph.latest(touched)).collect()}
     assert valid == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True}
@@ -88,6 +92,11 @@ def test_exact_and_quantised(spark, points):
         vectors.fit_codec(rows, 8)
 
 
+def test_timed_evaluation(spark, points):
+    found = vectors.timed_evaluation(frame(spark, points), frame(spark, points[:2], "qid bigint, query array<float>"), 5)
+    assert found["recall"] > 0.9 and found["exact_p95_ms"] > 0 and found["ratio"] > 0
+
+
 def test_codec(points):
     low, scale = np.zeros(1, np.float32), np.ones(1, np.float32)
     assert vectors.encode(np.array([[2.5], [-1], [99]], np.float32), low, scale, 4).ravel().tolist() == [3, 0, 15]

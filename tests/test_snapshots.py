@@ -117,7 +117,12 @@ def test_store(spark):
     nodes = spark.createDataFrame([("n", "p")], "node_id string, file_path string")
     manifest = spark.createDataFrame([("p", "1")], "file_path string, digest string")
     store.save("v1", nodes, manifest)
+    before = store.load("v1")
+    store.save("v1", nodes.union(nodes), manifest)
+    assert before.nodes.count() == 1 and store.load("v1").nodes.count() == 2  # who reads the old data goes on
     store.save("v1", nodes, manifest)
+    assert store.clean("v1") == 2
+    store.activate("v0")
     store.activate("v1")
     loaded = store.load_active()
     assert loaded.version == "v1" and loaded.nodes.count() == 1 and loaded.manifest.count() == 1
