@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from tesserine.operators.symbols import C_FAMILY, GENERIC, PYTHON
 
 ORACLE: dict[str, str] = {}
@@ -481,10 +483,11 @@ WITH files AS (SELECT node_id AS file, lower(any_value(language)) AS language, a
 SELECT file AS node_id, ordinal::INT AS ordinal, name, line::INT AS line FROM names
 """
 
-ORACLE["best_symbol"] = rf"""
-WITH files AS (
-  SELECT source || '/' || doc_id || ['.py', '.cpp', '.ts', '.md'][doc_id % 4 + 1] AS file,
-    ['python', 'cpp', 'typescript', 'markdown'][doc_id % 4 + 1] AS language, text AS content FROM documents WHERE text IS NOT NULL),
+_DOCUMENT_FILES = """
+SELECT source || '/' || doc_id || ['.py', '.cpp', '.ts', '.md'][doc_id % 4 + 1] AS file, doc_id,
+  ['python', 'cpp', 'typescript', 'markdown'][doc_id % 4 + 1] AS language, text AS content FROM documents WHERE text IS NOT NULL
+"""
+_CHUNKED = rf"""
 {_LINES},
 split AS (SELECT file, language, regexp_split_to_array(regexp_replace(content, '\r\n?', chr(10), 'g'), '[\n\x{{0b}}\x{{0c}}\x{{1c}}\x{{1d}}\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]') AS pieces FROM files),
 counted AS (SELECT file, language, len(pieces) - (pieces[-1] = '')::INT AS n FROM split),
@@ -501,5 +504,53 @@ ranked AS (
     PARTITION BY c.file, start_line ORDER BY (line BETWEEN start_line AND end_line) DESC,
       CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE least(abs(line - start_line), abs(line - end_line)) END, ordinal) AS r
   FROM cut c LEFT JOIN names USING (file))
+"""
+_LATER = f"""
+later AS (SELECT file, doc_id, language, CASE WHEN doc_id % 10 = 0 THEN content || chr(10) || 'def changed_later(x):' || chr(10) ELSE content END AS content FROM whole WHERE doc_id % 7 <> 0)
+"""
+
+ORACLE["best_symbol"] = f"""
+WITH files AS ({_DOCUMENT_FILES}),
+{_CHUNKED}
+SELECT file AS file_path, start_line::INT AS start_line, end_line::INT AS end_line, coalesce(name, 'global_scope') AS symbol FROM ranked WHERE r = 1
+"""
+
+ORACLE["index_rebuilt"] = f"""
+WITH whole AS ({_DOCUMENT_FILES}), {_LATER}, files AS (SELECT * FROM later),
+{_CHUNKED}
 SELECT file AS file_path, start_line::INT AS start_line, end_line::INT AS end_line, coalesce(name, 'global_scope') AS symbol FROM ranked WHERE r = 1
 """
+
+ORACLE["index_counters"] = f"""
+WITH whole AS ({_DOCUMENT_FILES}), {_LATER},
+first AS (SELECT * FROM whole WHERE doc_id % 2 = 0),
+files AS (SELECT 'v1' || file AS file, language, content FROM first UNION ALL SELECT 'v2' || file, language, content FROM later),
+{_CHUNKED},
+nodes AS (SELECT file[:2] AS version, count(*) AS nodes FROM ranked WHERE r = 1 GROUP BY 1),
+diff AS (SELECT count(*) AS n FROM first FULL JOIN later USING (file) WHERE first.content IS NULL OR later.content IS NULL OR first.content <> later.content)
+SELECT version, CASE version WHEN 'v1' THEN (SELECT count(*) FROM first) ELSE (SELECT n FROM diff) END AS changed, nodes FROM nodes
+"""
+
+ORACLE["occ_traverse_skips"] = f"""
+WITH RECURSIVE log AS (
+  SELECT user_id AS node_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version,
+    [floor(user_id / 2)::BIGINT, user_id + 1, event_id % 50] AS neighbors
+  FROM events WHERE user_id IS NOT NULL),
+net AS (SELECT node_id AS id, arg_max(neighbors, version) AS neighbors FROM log WHERE node_id % 3 <> 0 GROUP BY node_id),
+asked AS (SELECT DISTINCT node_id AS request_id, node_id AS entry_id, 20 AS budget FROM log WHERE node_id % 50 = 1),
+{_BFS}
+SELECT request_id, pos, id FROM visits
+"""
+
+_ROOT = str(Path(__file__).resolve().parent.parent)
+
+ORACLE["scan_manifest"] = f"""
+SELECT filename[{len(_ROOT) + 2}:] AS file_path, sha1(content) AS digest FROM read_blob('{_ROOT}/**/*.py')
+"""
+
+ORACLE["speed_ratio"] = """
+WITH ordered AS (
+  SELECT l_returnflag, list_sort(list(l_extendedprice)) AS p, list_sort(list(l_discount)) AS d
+  FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, round(coalesce(p[floor((len(p) - 1) * 0.95)::BIGINT + 1] / nullif(d[floor((len(d) - 1) * 0.95)::BIGINT + 1], 0), 0), 6) AS ratio FROM ordered
+"""

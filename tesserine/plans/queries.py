@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tesserine.functions import text as text_columns
 from tesserine.functions.vector import decoded, encoded
 from tesserine.operators import chunking, evaluation, graph, retrieval, snapshots, symbols, vectors
+from tesserine.plans import manager
 from tesserine.session import write_table
-from tesserine.sources import store
+from tesserine.sources import repository, store
 from tesserine.sources.tables import table
 
 FLAGSHIP = "retrieve"
@@ -252,8 +254,10 @@ def knn_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    """the same among the vectors that a bitmap lets through (ids not divisible by 11)."""
-    found = vectors.exact_nearest(_vectors(spark, folder).filter("id % 11 <> 0"), _vector_queries(spark, folder), NEAREST)
+    """the same among the vectors that a bitmap lets through; it names some ids with 1, and those divisible by 11 with 0."""
+    rows = _vectors(spark, folder)
+    bitmap = rows.filter("id % 11 = 0 OR id % 3 = 0").select("id", F.when(F.col("id") % 11 == 0, 0).otherwise(1).alias("pass"))
+    found = vectors.exact_nearest(graph.passing(rows, bitmap), _vector_queries(spark, folder), NEAREST)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -390,6 +394,17 @@ def occ_traverse(spark: SparkSession, folder: str) -> DataFrame:
     return graph.traverse(log, entries, 20)
 
 
+def occ_traverse_skips(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where users divisible by 3 change between all readings, and are skipped."""
+    log = _adjacency_log(spark, folder)
+    touched = log.filter("node_id % 3 = 0").select("node_id").distinct()
+    readings = [log]
+    for _ in range(3):
+        readings.append(write_table(graph.bumped(readings[-1], touched), "reading"))
+    entries = log.filter("node_id % 50 = 1").select(F.col("node_id").alias("request_id"), F.col("node_id").alias("entry_id")).distinct()
+    return graph.traverse(readings[0], entries, 20, readings[1:])
+
+
 # Snapshots
 
 
@@ -424,6 +439,56 @@ def snapshot_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return kept.load_active().nodes.select("node_id", "file_path", F.sha1(F.coalesce("chunk_text", F.lit(""))).alias("text_sha1"))
 
 
+def scan_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths and digests of this package's own source tree."""
+    return repository.manifest(repository.scan(spark, str(Path(__file__).resolve().parent.parent)))
+
+
+def _two_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files with digests, and the same after one in ten was changed, one in seven deleted, and half were new."""
+    files = _code_files(spark, folder).withColumn("digest", F.sha1("content"))
+    number = F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("bigint")
+    changed = F.when(number % 10 == 0, F.concat("content", F.lit("\ndef changed_later(x):\n"))).otherwise(F.col("content"))
+    later = files.filter(number % 7 != 0).withColumn("content", changed).withColumn("digest", F.sha1("content"))
+    return files.filter(number % 2 == 0), later
+
+
+def _rebuilt(spark: SparkSession, folder: str) -> manager.IndexManager:
+    from tesserine.session import new_path
+
+    built = manager.IndexManager(spark, new_path(spark, "index"))
+    for version, files in zip(("v1", "v2"), _two_states(spark, folder), strict=True):
+        built.build_files(files, version, relink=version == "v2")
+    return built
+
+
+def index_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the active version after a full build, changes and an incremental build."""
+    return _rebuilt(spark, folder).active().nodes.select("file_path", "start_line", "end_line", "symbol")
+
+
+def index_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """What a full and an incremental build count."""
+    from tesserine.session import new_path
+
+    built = manager.IndexManager(spark, new_path(spark, "index"))
+    rows = [(v, *built.build_files(files, v)) for v, files in zip(("v1", "v2"), _two_states(spark, folder), strict=True)]
+    return spark.createDataFrame(rows, "version string, changed bigint, nodes bigint")
+
+
+def index_asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Q9: the final hits of every query on the active version, by a manager."""
+    found = _rebuilt(spark, folder).retrieve(table(spark, folder, "queries"), TOP_K)["final_hits"]
+    return _hits(found)
+
+
+def speed_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """The 95th percentile of prices by return flag over that of discounts, 0 where there is none."""
+    rows = table(spark, folder, "lineitem")
+    price, discount = (evaluation.percentiles(rows, "l_returnflag", c, 0.95).select("l_returnflag", F.col("percentile").alias(c)) for c in ("l_extendedprice", "l_discount"))
+    return price.join(discount, "l_returnflag").select("l_returnflag", F.round(evaluation.ratio(F.col("l_extendedprice"), F.col("l_discount")), 6).alias("ratio"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -432,7 +497,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         symbols_all, best_symbol, edges_locality, edges_import, edges_symbol_ref, neighbours_final, graph_symmetric, knn_exact,
         knn_filtered, knn_quantised_rerank, recall_at_k, codec_fit, codec_encode, codec_decode_error, project_identity,
         project_rotation, block_assign, io_order, io_merged_ops, percentile_floor_index, bfs_budget_visit_order,
-        graph_search_topk, search_stats, bfs_khop, occ_latest, occ_validate, occ_traverse, manifest_diff, incremental_merge,
-        snapshot_roundtrip,
+        graph_search_topk, search_stats, bfs_khop, occ_latest, occ_validate, occ_traverse, occ_traverse_skips, manifest_diff,
+        incremental_merge, snapshot_roundtrip, scan_manifest, index_rebuilt, index_counters, index_asked, speed_ratio,
     )
 }
