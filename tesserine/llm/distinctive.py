@@ -2,72 +2,94 @@
 
 A term that falls on records at random, as often as it occurs in the collection, would be in a Poisson
 number of them. Terms that gather in fewer records than that have a high residual; common terms have none.
+
+Terms are counted where the texts lie, a row for each term and batch, which holds both the batch's share of the
+collection's counts and the records with the term. Only records whose key stands in several rows are moved.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.functions.sizes import join_checked
+from tesserine.session import write_table
+
 # Fixed value: what a term is.
 TERM = r"[A-Za-z_][A-Za-z0-9_]+"
 
 _term = re.compile(TERM)
+_COUNTED = "term string, df bigint, cf bigint, keys array<string>, tfs array<bigint>"
 
 
-def record_terms(records: DataFrame, key: str, text: str, symbol: str) -> DataFrame:
-    """The distinct (key, symbol, text) rows: rows repeated whole count once."""
-    return records.select(
-        F.col(key).cast("string").alias("_key"), F.col(symbol).cast("string").alias("_symbol"), F.col(text).cast("string").alias("_text")
-    ).dropDuplicates()
+def _terms(text: str | None, symbol: str | None) -> Counter:
+    return Counter(map(str.lower, _term.findall(f"{text or ''} {symbol or ''}")))
 
 
 def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: (term, null, df, cf) sums over a batch, and (term, key, tf, 0) of the records with a text."""
+    """A batch's terms with their sums, and the records with a text that hold them `least` times, from rows with keys of their own."""
     for batch in batches:
         df: Counter = Counter()
         cf: Counter = Counter()
-        terms, keys, counts = [], [], []
+        held: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
         for key, symbol, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = Counter(map(str.lower, _term.findall(f"{text or ''} {symbol or ''}")))
+            found = _terms(text, symbol)
             df.update(found.keys())
             cf.update(found)
             if text:
                 for term, n in found.items():
                     if n >= least:
-                        terms.append(term)
+                        keys, tfs = held[term]
                         keys.append(key)
-                        counts.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*df, *terms], pa.string()),
-                pa.array([*[None] * len(df), *keys], pa.string()),
-                pa.array([*df.values(), *counts], pa.int64()),
-                pa.array([*(cf[t] for t in df), *[0] * len(terms)], pa.int64()),
-            ],
-            ["term", "_key", "a", "b"],
-        )
+                        tfs.append(n)
+        none: tuple[list, list] = ([], [])
+        lists = [held.get(t, none) for t in df]
+        columns = [
+            pa.array([*df], pa.string()), pa.array([*df.values()], pa.int64()), pa.array([cf[t] for t in df], pa.int64()),
+            pa.array([k for k, _ in lists], pa.list_(pa.string())), pa.array([n for _, n in lists], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "df", "cf", "keys", "tfs"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_key, term, n, tf) of each row: n occurrences, and as many in tf if the row has a text."""
+    for batch in batches:
+        rows = []
+        for key, symbol, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(key, term, n, n if text else None) for term, n in _terms(text, symbol).items()]
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["_key", "term", "n", "tf"])
 
 
 def term_counts(records: DataFrame, key: str, text: str, symbol: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(statistics, occurrences) = (term, df, cf) over all records; (_key, term, tf) with tf >= least.
+    """(statistics, occurrences) = (term, df, cf) over all keys; (term, keys, tfs) in parts, of keys with tf >= least.
 
-    Both come from one persisted pass over the distinct rows. A key with several texts counts once for
-    each of them here; scores() and rare_terms() merge them. Null texts and symbols have no terms.
+    df counts keys, cf occurrences in distinct rows; the tf of a key with several texts is that of the text with most.
     """
-    distinct = record_terms(records, key, text, symbol)
-    counted = distinct.mapInArrow(
-        lambda batches: _count(batches, least), "term string, _key string, a bigint, b bigint"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    statistics = counted.filter("_key IS NULL").groupBy("term").agg(F.sum("a").alias("df"), F.sum("b").alias("cf"))
-    occurrences = counted.filter("_key IS NOT NULL").select("_key", "term", F.col("a").alias("tf"))
-    return statistics, occurrences
+    rows = records.select(
+        F.col(key).cast("string").alias("_key"), F.col(symbol).cast("string").alias("_symbol"), F.col(text).cast("string").alias("_text")
+    ).filter("_key IS NOT NULL")
+    repeated = write_table(rows.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "repeated-keys")
+    alone = join_checked(rows, repeated, "_key", "left_anti").mapInArrow(lambda batches: _count(batches, least), _COUNTED)
+    several = join_checked(rows, repeated, "_key", "left_semi").dropDuplicates().mapInArrow(_each, "_key string, term string, n bigint, tf bigint")
+    merged = several.groupBy("_key", "term").agg(F.sum("n").alias("cf"), F.max("tf").alias("tf"))
+    kept = F.col("tf") >= least
+    none = F.array()
+    listed = merged.select(
+        "term",
+        F.lit(1).cast("bigint").alias("df"),
+        "cf",
+        F.when(kept, F.array("_key")).otherwise(none.cast("array<string>")).alias("keys"),
+        F.when(kept, F.array("tf")).otherwise(none.cast("array<bigint>")).alias("tfs"),
+    )
+    counted = write_table(alone.unionByName(listed), "term-counts")
+    statistics = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return statistics, counted.filter(F.size("keys") > 0).select("term", "keys", "tfs")
 
 
 def residual(df, cf, records):
@@ -77,28 +99,22 @@ def residual(df, cf, records):
     return F.greatest(F.lit(0.0), observed - expected)
 
 
+def _scored(occurrences: DataFrame, statistics: DataFrame, key: str, records: int) -> DataFrame:
+    joined = occurrences.join(statistics, "term").select("term", "df", "cf", F.explode(F.arrays_zip("keys", "tfs")).alias("_at"))
+    score = F.round(F.col("_at.tfs") * residual(F.col("df"), F.col("cf"), F.lit(records)), 6)
+    return joined.select(F.col("_at.keys").alias(key), "term", F.col("_at.tfs").alias("tf"), "df", "cf", score.alias("score"))
+
+
 def scores(records: DataFrame, key: str = "node_id", text: str = "chunk_text", symbol: str = "symbol") -> DataFrame:
     """(key, term, tf, df, cf, score) of every term of every record with a text.
 
     df and cf are counted over all records; the score is tf times the residual inverse document frequency.
-    A null or empty text gives no row, but its symbol's terms count; ties keep equal scores; repeated rows
-    count once; a key with several texts gets a row for each text's terms, of which the largest tf stays.
-    Texts of any length are read whole; other columns are not read, so their names may clash.
+    A null or empty text gives no row, but its symbol's terms count; rows with a null key are left out and count
+    for nothing; ties keep equal scores; repeated rows count once; a key with several texts counts once, with the
+    largest tf of a term. Texts of any length are read whole; other columns are not read, so their names may clash.
     """
     statistics, occurrences = term_counts(records, key, text, symbol)
-    n = F.lit(records.select(key).distinct().count())
-    merged = occurrences.groupBy("_key", "term").agg(F.max("tf").alias("tf"))
-    return (
-        merged.join(statistics, "term")
-        .select(
-            F.col("_key").alias(key),
-            "term",
-            "tf",
-            "df",
-            "cf",
-            F.round(F.col("tf") * residual(F.col("df"), F.col("cf"), n), 6).alias("score"),
-        )
-    )
+    return _scored(occurrences, statistics, key, records.select(F.count_distinct(key)).first()[0])
 
 
 def rare_terms(
@@ -109,41 +125,6 @@ def rare_terms(
     least: int = 5,
     most: int = 3,
 ) -> DataFrame:
-    """(key, term, tf, df, cf, score): terms that occur `least` times in a record and in at most `most` keys.
-
-    Same rules as scores(). A term found in too many distinct rows is settled by the statistics; where rows of
-    one key differ, its keys are counted exactly.
-    """
+    """(key, term, tf, df, cf, score): terms that occur `least` times in a record and in at most `most` keys; same rules as scores()."""
     statistics, occurrences = term_counts(records, key, text, symbol, least)
-    distinct = record_terms(records, key, text, symbol)
-    n = F.lit(records.select(key).distinct().count())
-    repeated = record_keys_with_several_rows(records, key, text, symbol)
-    spare = repeated.agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("n")).first()["n"]
-    near = statistics.filter(F.col("df") <= most + spare)
-    frequent = occurrences.groupBy("_key", "term").agg(F.max("tf").alias("tf")).join(near, "term")
-    if spare:
-        terms = frequent.filter(F.col("df") > most).select("term").distinct()
-        pairs = (
-            distinct.join(repeated.select("_key"), "_key")
-            .select("_key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", "_text", "_symbol"), F.lit(TERM), 0), F.lower))).alias("term"))
-            .join(terms, "term", "left_semi")
-        )
-        extra = pairs.groupBy("term", "_key").agg((F.count("*") - 1).alias("x")).groupBy("term").agg(F.sum("x").alias("_extra"))
-        frequent = frequent.join(extra, "term", "left").withColumn("df", F.col("df") - F.coalesce("_extra", F.lit(0))).drop("_extra")
-    return (
-        frequent.filter(F.col("df") <= most)
-        .select(
-            F.col("_key").alias(key),
-            "term",
-            "tf",
-            "df",
-            "cf",
-            F.round(F.col("tf") * residual(F.col("df"), F.col("cf"), n), 6).alias("score"),
-        )
-    )
-
-
-def record_keys_with_several_rows(records: DataFrame, key: str, text: str, symbol: str) -> DataFrame:
-    """(_key, _rows): keys whose distinct rows differ; only hashes are moved."""
-    hashed = records.select(F.col(key).cast("string").alias("_key"), F.xxhash64(F.col(symbol), F.col(text)).alias("_h")).distinct()
-    return hashed.groupBy("_key").agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    return _scored(occurrences, statistics.filter(F.col("df") <= most), key, records.select(F.count_distinct(key)).first()[0])

@@ -41,6 +41,9 @@ def test_scores(chunks):
     # a key whose rows differ counts once
     more = [{"node_id": "x", "chunk_text": "t1 " * 5}, {"node_id": "x", "chunk_text": "t1 b"}, {"node_id": "y", "chunk_text": "t1"}, {"node_id": "z", "chunk_text": "t1"}]
     assert [(r["node_id"], r["term"], r["df"]) for r in distinctive.rare_terms(chunks(more)).collect()] == [("x", "t1", 3)]
+    # a null key counts for nothing
+    none = [{"node_id": "a", "chunk_text": "foo foo"}, {"node_id": None, "chunk_text": "foo foo foo foo foo foo"}]
+    assert [(r["node_id"], r["df"], r["cf"]) for r in distinctive.scores(chunks(none)).collect()] == [("a", 1, 2)]
 
 
 def shingles(text, n):
