@@ -10,7 +10,7 @@ How words end lines is counted over all documents, separately for prose and for
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +29,8 @@ LINE_SHARE, PROSE_SHARE, LINE_SHARE_AT_LIMIT = 0.08, 0.5, 0.15
 
 #: A last word that ends this share of all texts without punctuation is a custom, as of chats.
 CUSTOM_SHARE = 0.005
+#: Words whose reading a worker keeps; beyond it the memory is emptied, which changes no result.
+MEMORY = 400_000
 #: Stands for all pools, or all units.
 ALL = "\x02"
 
@@ -54,43 +56,64 @@ def _pool(line: str, single: bool) -> str:
     return "prose"
 
 
-def _word(word: str, before: str) -> str:
-    """A word as it is counted: lower case, numbers alike and with the word before them."""
-    w = _digits.sub("9", word.lower()).strip("\"'“”«»([{*_")
-    return f"{before} {w}" if w == "9" else w
+_read: dict[str, tuple[str, str, str | None]] = {}
 
 
-def _units(line: str) -> Iterator[tuple[str, str]]:
-    """The countable units of a line, each with how it ends: '' inside, 's' sentence, 'l' line, 'm' marker."""
-    words = line.split()
-    before = ""
-    for at, word in enumerate(words):
-        last = at == len(words) - 1
+def _reading(word: str) -> tuple[str, str, str | None]:
+    """How a word ends (inside a line, at its end), and its form, or None where it is Chinese or Japanese."""
+    known = _read.get(word)
+    if known is None:
         body = word.rstrip(",;:!?.。！？，；：、…\"'“”»)]}")
         tail = word[len(body):]
         if "…" in tail or "..." in tail:
-            end = "m"
+            ends = ("m", "m")
         elif any(c in TERMINAL for c in tail):
-            end = "s"
-        elif last and not tail.strip("\"'“”»)]}"):
-            end = "l"
-        else:
-            end = ""
-        if _cjk.search(body):
-            parts = re.split("[，；：、。！？]", body)
-            for number, part in enumerate(parts):
-                closing = end if number == len(parts) - 1 else "s"
-                for size in (2, 3):
-                    for i in range(len(part) - size + 1):
-                        yield part[i : i + size], closing if i + size == len(part) else ""
-            before = body[-1:]
+            ends = ("s", "s")
         else:
-            unit = _word(body, before)
-            if not unit:
-                continue
-            yield unit, end
-            yield f"{before}\t{unit}", end
-            before = unit.rpartition(" ")[2]
+            ends = ("", "" if tail.strip("\"'“”»)]}") else "l")
+        form = None if _cjk.search(body) else _digits.sub("9", body.lower()).strip("\"'“”»([{*_")
+        if len(_read) > MEMORY:
+            _read.clear()
+        known = _read[word] = (*ends, form)
+    return known
+
+
+def _cjk_units(word: str, end: str) -> Iterator[tuple[str, str]]:
+    """Pieces of two and three characters of a word without spaces, each with how it ends."""
+    parts = re.split("[，；：、。！？]", word.rstrip(",;:!?.。！？，；：、…\"'“”»)]}"))
+    for number, part in enumerate(parts):
+        closing = end if number == len(parts) - 1 else "s"
+        for size in (2, 3):
+            for i in range(len(part) - size + 1):
+                yield part[i : i + size], closing if i + size == len(part) else ""
+
+
+def _units_of(word: str, end: str, form: str | None, before: str) -> Iterator[tuple[str, str]]:
+    """A word's countable units, each with how it ends; numbers stand with the word before them."""
+    if form is None:
+        yield from _cjk_units(word, end)
+    elif form:
+        unit = f"{before} 9" if form == "9" else form
+        yield unit, end
+        yield f"{before}\t{unit}", end
+
+
+def _kept(word: str, form: str | None, before: str) -> str:
+    """What stands before the next word's units."""
+    return word.rstrip(",;:!?.。！？，；：、…\"'“”»)]}")[-1:] if form is None else form or before
+
+
+def _units(line: str) -> Iterator[tuple[str, str]]:
+    """The countable units of a line, each with how it ends: '' inside, 's' sentence, 'l' line, 'm' marker.
+
+    A unit counts alone and with the one before.
+    """
+    words = line.split()
+    before = ""
+    for at, word in enumerate(words):
+        inner, final, form = _reading(word)
+        yield from _units_of(word, final if at == len(words) - 1 else inner, form, before)
+        before = _kept(word, form, before)
 
 
 def _outside(lines: list[str]) -> tuple[list[str], bool]:
@@ -104,30 +127,56 @@ def _outside(lines: list[str]) -> tuple[list[str], bool]:
     return outside, fence
 
 
-def count_ends(text: str, counts: dict) -> None:
-    """Add a text's units to counts[pool, unit] = [occurrences, line ends, sentence ends, marker ends, text ends].
-
-    The units that end the text itself count apart, as they are what is judged; references count whole.
-    """
-    lines = text.rstrip().split("\n")
-    outside, _ = _outside(lines)
-    for at, line in enumerate(outside):
-        if _reference.match(line):
-            prefix = line.split()[0].lower()
-            for form in (_shape(line), f"\x01{prefix}"):
-                counts["line", form][0] += 1
-        pool = _pool(line, len(lines) == 1)
-        last = at == len(outside) - 1 and line is lines[-1]
-        for unit, end in _units(line):
-            if last and end == "l":
-                if "\t" not in unit:
-                    counts[ALL, unit][4] += 1
-                    counts[ALL, ALL][4] += 1
-                continue
-            row = counts[pool, unit]
-            row[0] += 1
-            if end:
-                row["lsm".index(end) + 1] += 1
+class Ends:
+    """Counts of units by pool: how often each occurs, and how often it ends a line, a sentence, a marker or a text."""
+
+    def __init__(self) -> None:
+        self.n = {pool: Counter() for pool in ("line", "prose", ALL)}
+        self.ends = {(pool, end): Counter() for pool in self.n for end in "lsm"}
+        self.finals: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        """Add a text's units. Those that end the text itself count apart, as they are what is judged; references count whole."""
+        lines = text.rstrip().split("\n")
+        outside, _ = _outside(lines)
+        for at, line in enumerate(outside):
+            if _reference.match(line):
+                self.n["line"].update((_shape(line), f"\x01{line.split()[0].lower()}"))
+            pool = _pool(line, len(lines) == 1)
+            last = at == len(outside) - 1 and line is lines[-1]
+            words = line.split()
+            inside: list[str] = []
+            before = ""
+            for word in words[:-1]:  # as _units, without its steps for each unit
+                end, _, form = _reading(word)
+                if form is None or end:
+                    for unit, closing in _units_of(word, end, form, before):
+                        inside.append(unit)
+                        if closing:
+                            self.ends[pool, closing][unit] += 1
+                elif form:
+                    unit = f"{before} 9" if form == "9" else form
+                    inside += (unit, f"{before}\t{unit}")
+                before = _kept(word, form, before)
+            _, end, form = _reading(words[-1])
+            for unit, closing in _units_of(words[-1], end, form, before):
+                if last and closing == "l":
+                    if "\t" not in unit:
+                        self.finals.update((unit, ALL))
+                    continue
+                inside.append(unit)
+                if closing:
+                    self.ends[pool, closing][unit] += 1
+            self.n[pool].update(inside)
+
+    def rows(self) -> Iterator[tuple]:
+        """(pool, unit, n, lines, sentences, markers, finals)."""
+        for pool, counts in self.n.items():
+            ends = [self.ends[pool, e] for e in "lsm"]
+            for unit, n in counts.items():
+                yield (pool, unit, n, *(e[unit] if unit in e else 0 for e in ends), 0)
+        for unit, n in self.finals.items():
+            yield ALL, unit, 0, 0, 0, 0, n
 
 
 def ending(text: str) -> tuple[str, str, str, str]:
@@ -192,14 +241,13 @@ def end_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pool", "unit", *_COUNTS]
         for batch in batches:
-            counts: dict = defaultdict(lambda: [0, 0, 0, 0, 0])
+            counts = Ends()
             for t in batch.column(0).to_pylist():
                 if t:
-                    count_ends(t, counts)
-            keys, rows = list(counts), list(counts.values())
-            columns = [[k[0] for k in keys], [k[1] for k in keys], *([r[i] for r in rows] for i in range(5))]
+                    counts.add(t)
+            rows = list(counts.rows())
             types = [pa.string(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names)
 
     partial = documents.select(F.col(text).cast("string")).mapInArrow(
         count, "pool string, unit string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
