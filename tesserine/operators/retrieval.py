@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserine.functions.sizes import meet
 from tesserine.functions.text import SLOTS, expand, searchable, tokens
 from tesserine.session import write_table
 
@@ -26,8 +27,8 @@ HINT_BONUS = 0.05
 EXACT, PREFIX, PART = 1.0, 0.85, 0.7
 RERANK = {"fused": 0.6, "lexical": 0.35, "symbol": 0.2, "length_most": 0.2, "length_unit": 2000.0}
 
-#: Queries that meet the nodes in one pass; more are taken in further passes.
-QUERY_BLOCK = 20_000
+#: Queries of a block, and nodes of a part, that meet in one task; nodes that are scored at once.
+QUERY_BLOCK, NODE_PART, STEP = 20_000, 50_000, 512
 ROUTES = ("dense", "sparse", "symbol", "graph")
 
 
@@ -95,26 +96,34 @@ def sparse(nodes: DataFrame, queries: DataFrame, top_k: int = 8, inverted: DataF
     return top(found.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0"), "sparse", top_k)
 
 
-def _blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[list]:
-    """The stated queries in blocks of bounded size, by id."""
-    columns = ["query_id", "text", "module_scope", "language", "symbol_hint"]
-    rows = queries.select(*columns, expand(tokens(F.col("text"))).alias("words")).orderBy("query_id")
-    blocks: list[list] = [[]]
-    for row in rows.toLocalIterator():
-        if len(blocks[-1]) == block:
-            blocks.append([])
-        blocks[-1].append(row)
-    return blocks
+def _coded(rows: DataFrame) -> DataFrame:
+    """The rows with the counts of their words' slots, as bytes, in place of the words."""
+    kept = [c for c in rows.columns if c != "words"]
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for words in batch.column("words").to_pylist():
+                counts = np.zeros(SLOTS, np.float32)
+                for w in words:
+                    slot = slots.get(w)
+                    if slot is None:
+                        slot = slots[w] = hashlib.sha1(w.encode()).digest()[0]
+                    counts[slot] += 1
+                out.append(counts.tobytes())
+            if len(slots) > 500_000:
+                slots.clear()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "counts"])
 
-def _slots(words: list[str], memory: dict[str, int]) -> np.ndarray:
-    counts = np.zeros(SLOTS, np.int64)
-    for w in words:
-        slot = memory.get(w)
-        if slot is None:
-            slot = memory[w] = hashlib.sha1(w.encode()).digest()[0]
-        counts[slot] += 1
-    return counts
+    shape = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c != "words")
+    return rows.mapInArrow(code, f"{shape}, counts binary")
+
+
+def _counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a table's rows, and their lengths."""
+    matrix = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.float32).reshape(-1, SLOTS).astype(np.float64)
+    return matrix, np.sqrt((matrix**2).sum(1))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -127,64 +136,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def dense(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> DataFrame:
     """Hits by the cosine of hashed word counts; queries are expanded; nodes without a common word stay, with score 0.
 
-    Each batch of nodes meets a block of queries as one matrix product and keeps top_k of each query, so what is
-    moved is top_k rows for a query and batch.
+    Each part of the nodes meets a block of queries as matrix products and keeps top_k of each query, so what is
+    moved then is top_k rows for a query and part.
     """
-    rows = node_tokens(nodes).join(nodes.select("node_id", "symbol"), "node_id") if "symbol" not in nodes.columns else nodes.select(
-        "node_id", "module", "language", "symbol", tokens(searchable(*map(F.col, ("module", "file_path", "symbol", "chunk_text")))).alias("words")
-    )
-
-    def score_block(asked: list):
-        memory: dict[str, int] = {}
-        matrix = np.array([_slots(r["words"], memory) for r in asked], np.float64).reshape(-1, SLOTS)
-        norms = np.sqrt((matrix**2).sum(1))
-        ids = np.array([r["query_id"] for r in asked], np.int64)
-        scopes = [(r["module_scope"] or "").lower() for r in asked]
-        languages = [(r["language"] or "").lower() for r in asked]
-        hints = [(r["symbol_hint"] or "").lower() for r in asked]
-        by_value = [{v: np.array([i for i, x in enumerate(xs) if x == v]) for v in set(xs)} for xs in (scopes, languages, hints)]
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slots: dict[str, int] = {}
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    order = np.argsort(np.array(batch.column("node_id").to_pylist(), object), kind="stable")
-                    batch = batch.take(pa.array(order))
-                    counts = np.array([_slots(w, slots) for w in batch.column("words").to_pylist()], np.float64)
-                    lengths = np.sqrt((counts**2).sum(1))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        scores = (matrix @ counts.T) / (norms[:, None] * lengths)
-                    scores[~np.isfinite(scores)] = 0.0
-                    scores = np.round(scores, 9)
-                    for values, groups, kind in zip(
-                        (batch.column(c).to_pylist() for c in ("module", "language", "symbol")), by_value, ("scope", "language", "hint"), strict=True
-                    ):
-                        lowered = [(v or "").lower() for v in values]
-                        for value, members in groups.items():
-                            if not value:
-                                continue
-                            if kind == "hint":
-                                scores[np.ix_(members, [i for i, v in enumerate(lowered) if value in v])] += HINT_BONUS
-                            else:
-                                out = [i for i, v in enumerate(lowered) if not (value in v if kind == "scope" else value == v)]
-                                scores[np.ix_(members, out)] = -np.inf
-                    best = np.argsort(-scores, 1, kind="stable")[:, :top_k]
-                    values = np.take_along_axis(scores, best, 1)
-                    keep = np.isfinite(values)
-                    names = batch.column("node_id").take(pa.array(best[keep]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, keep.sum(1))), names, pa.array(np.round(values[keep], 9))], ["query_id", "node_id", "score"]
-                    )
-                    if len(slots) > 500_000:
-                        slots.clear()
-
-        return score
-
-    parts = [rows.mapInArrow(score_block(b), "query_id bigint, node_id string, score double") for b in _blocks(queries) if b]
-    if not parts:
-        parts = [queries.select("query_id", F.lit("").alias("node_id"), F.lit(0.0).alias("score")).limit(0)]
-    return top(_union(parts), "dense", top_k)
+    words = tokens(searchable(*map(F.col, ("module", "file_path", "symbol", "chunk_text"))))
+    rows = _coded(nodes.select("node_id", F.lower("module").alias("module"), F.lower("language").alias("language"), F.lower("symbol").alias("symbol"), words.alias("words")))
+    wanted = [F.lower(F.coalesce(c, F.lit(""))).alias(to) for c, to in (("module_scope", "scope"), ("language", "wanted"), ("symbol_hint", "hint"))]
+    asked = _coded(queries.select("query_id", *wanted, expand(tokens(F.col("text"))).alias("words")))
+
+    def score(held: pa.Table, asking: pa.Table) -> pa.Table:
+        held = held.take(pa.array(np.argsort(np.array(held.column("node_id").to_pylist(), object), kind="stable")))
+        matrix, norms = _counts(asking)
+        by_value = []
+        for c in ("scope", "wanted", "hint"):
+            values = asking.column(c).to_pylist()
+            by_value.append({v: np.array([i for i, x in enumerate(values) if x == v]) for v in set(values) if v})
+        best = np.full((len(matrix), 0), -np.inf)
+        at = np.zeros((len(matrix), 0), np.int64)
+        for first in range(0, len(held), STEP):
+            step = held.slice(first, STEP)
+            counts, lengths = _counts(step)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (matrix @ counts.T) / (norms[:, None] * lengths)
+            scores[~np.isfinite(scores)] = 0.0
+            scores = np.round(scores, 9)
+            for column, groups, kind in zip(("module", "language", "symbol"), by_value, ("scope", "wanted", "hint"), strict=True):
+                values = [v or "" for v in step.column(column).to_pylist()]
+                for value, members in groups.items():
+                    if kind == "hint":
+                        scores[np.ix_(members, [i for i, v in enumerate(values) if value in v])] += HINT_BONUS
+                    else:
+                        scores[np.ix_(members, [i for i, v in enumerate(values) if not (value in v if kind == "scope" else value == v)])] = -np.inf
+            both = np.concatenate([best, scores], 1)
+            places = np.concatenate([at, np.broadcast_to(np.arange(first, first + len(step)), scores.shape)], 1)
+            order = np.argsort(-both, 1, kind="stable")[:, :top_k]  # earlier ones, with smaller ids, first
+            best, at = np.take_along_axis(both, order, 1), np.take_along_axis(places, order, 1)
+        keep = np.isfinite(best)
+        ids = np.repeat(asking.column("query_id").to_numpy(), keep.sum(1))
+        return pa.table([pa.array(ids, pa.int64()), held.column("node_id").take(pa.array(at[keep])), pa.array(np.round(best[keep], 9))], ["query_id", "node_id", "score"])
+
+    found = meet(rows, "node_id", asked, "query_id", score, "query_id bigint, node_id string, score double", NODE_PART, QUERY_BLOCK)
+    return top(found, "dense", top_k)
 
 
 def symbol_hint(query_text: Column, hint: Column) -> Column:
@@ -198,30 +190,20 @@ def symbol(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> DataFrame:
     """Hits whose symbol equals, begins with or holds the hint. An automaton of a block of hints reads each symbol once."""
     asked = queries.withColumn("_hint", symbol_hint(F.col("text"), F.col("symbol_hint"))).filter("_hint <> ''")
     names = nodes.filter("symbol IS NOT NULL").select(F.lower("symbol").alias("_symbol")).distinct()
-    hints = [r["_hint"] for r in asked.select("_hint").distinct().orderBy("_hint").toLocalIterator()]
-
-    def matcher(block: list[str]):
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for h in block:
-                automaton.add_word(h, h)
-            automaton.make_automaton()
-            for batch in batches:
-                found = [(n, h) for n in batch.column(0).to_pylist() for h in {h for _, h in automaton.iter(n)}]
-                scores = [EXACT if n == h else PREFIX if n.startswith(h) else PART for n, h in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in found], pa.string()), pa.array([h for _, h in found], pa.string()), pa.array(scores, pa.float64())],
-                    ["_symbol", "_hint", "score"],
-                )
-
-        return match
-
-    parts = [names.mapInArrow(matcher(hints[i : i + QUERY_BLOCK]), "_symbol string, _hint string, score double") for i in range(0, len(hints), QUERY_BLOCK)]
-    if not parts:
-        parts = [names.select("_symbol", F.col("_symbol").alias("_hint"), F.lit(0.0).alias("score")).limit(0)]
+
+    def match(held: pa.Table, asking: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for h in asking.column("_asked").to_pylist():
+            automaton.add_word(h, h)
+        automaton.make_automaton()
+        found = [(n, h) for n in held.column("_symbol").to_pylist() for h in {h for _, h in automaton.iter(n)}] if len(asking) else []
+        scores = [EXACT if n == h else PREFIX if n.startswith(h) else PART for n, h in found]
+        return pa.table([pa.array([n for n, _ in found], pa.string()), pa.array([h for _, h in found], pa.string()), pa.array(scores, pa.float64())], ["_symbol", "_hint", "score"])
+
+    matched = meet(names, "_symbol", asked.select(F.col("_hint").alias("_asked")).distinct(), "_asked", match, "_symbol string, _hint string, score double", 4 * NODE_PART, QUERY_BLOCK)
     wanted = asked.select("query_id", "module_scope", F.col("language").alias("_wanted"), "_hint")
     held = nodes.select("node_id", "module", "language", F.lower("symbol").alias("_symbol"))
-    scored = _union(parts).join(wanted, "_hint").join(held, "_symbol").filter(allowed(F.col("module"), F.col("language"), F.col("module_scope"), F.col("_wanted")))
+    scored = matched.join(wanted, "_hint").join(held, "_symbol").filter(allowed(F.col("module"), F.col("language"), F.col("module_scope"), F.col("_wanted")))
     return top(scored.select("query_id", "node_id", "score"), "symbol", top_k)
 
 

@@ -1,7 +1,7 @@
 """Nearest vectors, exact and through a scalar quantiser with exact reranking; the order of block reads.
 
-The queries are a stated set: each batch of vectors meets a block of them as one matrix product and keeps the
-best of each query, so what is moved is k rows for a query and batch.
+The queries are a stated set: each part of the vectors meets a block of them and keeps the best of each query, so what is
+moved then is k rows for a query and part.
 """
 
 from __future__ import annotations
@@ -15,24 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that meet the vectors in one pass.
-QUERY_BLOCK = 10_000
-#: Vectors of a batch that are measured at once.
-STEP = 2048
-
+from tesserine.functions.sizes import meet
 
-def _queries(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (ids, vectors) of queries (qid, query)."""
-    blocks, ids, vectors = [], [], []
-    for row in queries.orderBy("qid").toLocalIterator():
-        ids.append(row["qid"])
-        vectors.append(row["query"])
-        if len(ids) == QUERY_BLOCK:
-            blocks.append((np.array(ids, np.int64), np.array(vectors, np.float32)))
-            ids, vectors = [], []
-    if ids:
-        blocks.append((np.array(ids, np.int64), np.array(vectors, np.float32)))
-    return blocks
+#: Queries of a block, and vectors of a part, that meet in one task.
+QUERY_BLOCK, PART = 10_000, 200_000
+#: Vectors that are measured at once.
+STEP = 2048
 
 
 def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -52,43 +40,34 @@ def _ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
 def _candidates(vectors: DataFrame, queries: DataFrame, keep: int, codec: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 6) -> DataFrame:
     """(qid, id, coarse, distance): of each batch the best `keep` of each query, by the distance to what the codec
     gives back, or without a codec by the exact distance."""
-    schema = "qid bigint, id bigint, coarse double, distance double"
-
-    def measure(block: tuple[np.ndarray, np.ndarray]):
-        ids, asked = block
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, STEP):
-                    batch = whole.slice(at, STEP)
-                    named = batch.column(0).to_numpy()
-                    flat = np.asarray(batch.column(1).flatten(), np.float32)
-                    if len(flat) != len(named) * asked.shape[1]:
-                        raise ValueError("vectors and queries must have one length")
-                    points = flat.reshape(-1, asked.shape[1])
-                    order = np.argsort(named, kind="stable")
-                    named, points = named[order], points[order]
-                    exact = _distances(asked, points)
-                    coarse = exact if codec is None else _distances(asked, decode(encode(points, *codec, bits), *codec))
-                    best = np.argsort(coarse, 1, kind="stable")[:, :keep]
-                    columns = [
-                        pa.array(np.repeat(ids, best.shape[1])),
-                        pa.array(named[best].ravel()),
-                        pa.array(np.take_along_axis(coarse, best, 1).ravel()),
-                        pa.array(np.take_along_axis(exact, best, 1).ravel()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "coarse", "distance"])
-
-        return run
-
-    rows = vectors.select(F.col("id").cast("bigint"), F.col("vector").cast("array<float>")).filter("id IS NOT NULL AND vector IS NOT NULL")
-    parts = [rows.mapInArrow(measure(b), schema) for b in _queries(queries)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+
+    def measure(held: pa.Table, asking: pa.Table) -> pa.Table:
+        names = ["qid", "id", "coarse", "distance"]
+        if not len(held) or not len(asking):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        ids = asking.column("qid").to_numpy()
+        flat = np.asarray(asking.column("query").combine_chunks().flatten(), np.float32)
+        asked = flat.reshape(len(ids), -1)
+        held = held.take(pa.array(np.argsort(held.column("id").to_numpy(), kind="stable")))
+        best = np.full((3, len(ids), 0), np.inf)  # coarse, exact, place
+        for first in range(0, len(held), STEP):
+            step = held.slice(first, STEP)
+            points = np.asarray(step.column("vector").combine_chunks().flatten(), np.float32)
+            if len(points) != len(step) * asked.shape[1]:
+                raise ValueError("vectors and queries must have one length")
+            points = points.reshape(-1, asked.shape[1])
+            exact = _distances(asked, points)
+            coarse = exact if codec is None else _distances(asked, decode(encode(points, *codec, bits), *codec))
+            places = np.broadcast_to(np.arange(first, first + len(step), dtype=float), exact.shape)
+            both = np.concatenate([best, np.stack([coarse, exact, places])], 2)
+            order = np.argsort(both[0], 1, kind="stable")[:, :keep]  # earlier ones, with smaller ids, first
+            best = np.stack([np.take_along_axis(x, order, 1) for x in both])
+        found = held.column("id").take(pa.array(best[2].ravel().astype(np.int64)))
+        return pa.table([pa.array(np.repeat(ids, best.shape[2])), found, pa.array(best[0].ravel()), pa.array(best[1].ravel())], names)
+
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("query").cast("array<float>").alias("query")).filter("query IS NOT NULL")
+    return meet(rows, "id", asked, "qid", measure, "qid bigint, id bigint, coarse double, distance double", PART, QUERY_BLOCK)
 
 
 def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
