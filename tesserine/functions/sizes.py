@@ -25,15 +25,20 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", most:
     return big.join(small, on, how)
 
 
-def meet(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, part: int, block: int) -> DataFrame:
+def meet(
+    rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, part: int, block: int,
+    counted: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """run(rows, queries) of each part of the rows with each block of a stated set of queries, as tasks of their own.
 
     Parts have about `part` rows, or fewer where that would leave workers idle, blocks at most about `block` queries. Rows move
-    once for each block, queries once for each part; nothing goes through the driver.
+    once for each block, queries once for each part; nothing goes through the driver. counted: tables of as many rows as
+    the two that are cheaper to count.
     """
-    n, workers = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    many, few = counted or (rows, queries)
+    n, workers = many.count(), rows.sparkSession.sparkContext.defaultParallelism
     parts = max(1, math.ceil(n / part), min(2 * workers, math.ceil(16 * n / part)))
-    blocks = max(1, math.ceil(queries.count() / block))
+    blocks = max(1, math.ceil(few.count() / block))
     left = rows.withColumn("_part", F.pmod(F.xxhash64(row_key), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("_at_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int"))
     right = right.withColumn("_at_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))

@@ -175,7 +175,7 @@ def dense(nodes: DataFrame, queries: DataFrame, top_k: int = 8) -> DataFrame:
         ids = np.repeat(asking.column("query_id").to_numpy(), keep.sum(1))
         return pa.table([pa.array(ids, pa.int64()), held.column("node_id").take(pa.array(at[keep])), pa.array(np.round(best[keep], 9))], ["query_id", "node_id", "score"])
 
-    found = meet(rows, "node_id", asked, "query_id", score, "query_id bigint, node_id string, score double", NODE_PART, QUERY_BLOCK)
+    found = meet(rows, "node_id", asked, "query_id", score, "query_id bigint, node_id string, score double", NODE_PART, QUERY_BLOCK, (nodes, queries))
     return top(found, "dense", top_k)
 
 
