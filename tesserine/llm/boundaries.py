@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tesserine.functions.sizes import join_checked
 from tesserine.session import write_table
 
-#: Characters of a range, and what it sees beyond its last line.
+#: Bytes of a range, and what it sees beyond its last line.
 RANGE, HALO = 262_144, 16_384
 #: Ranges that are cut at once, so that a giant text isn't counted through for each of them.
 CUT = 64
@@ -253,31 +253,54 @@ def _opens(line: str) -> bool:
     return bool(brace) and ";" not in body
 
 
-def _cut(rows: DataFrame, size: int, halo: int) -> DataFrame:
-    """(.., start, own, _text): texts in ranges of about so many characters, from a line's start to a line's start, with a halo.
+def _ranges(rows: DataFrame, halo: int) -> DataFrame:
+    """(.., start, own, last, slice): each row's text, as bytes, in ranges with halos; short texts are one range.
 
-    Rows have start, the offset of _text in its whole text, and own, how many characters of it are theirs. A range
-    in which no line begins is none.
+    rows have a number _row of their own. A range begins with the first line that begins in so many bytes, and ends where the next
+    one begins, however far that is; start and own count bytes. A long text is cut in two steps, as each cut copies
+    what it cuts from.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("own") / F.lit(size))).cast("int")
-    exploded = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_parts", parts)
-    border = F.expr(f"CASE WHEN _part = 0 THEN 0 ELSE locate('\\n', _text, _part * {size}) END")
-    after = F.expr(f"CASE WHEN _part = _parts - 1 THEN 0 ELSE locate('\\n', _text, (_part + 1) * {size}) END")
-    whole = F.col("own")
-    begins = F.when(F.col("_part") == 0, 0).when(border == 0, whole).otherwise(F.least(border, whole))
-    ends = F.when(after == 0, whole).otherwise(F.least(after, whole))
-    placed = exploded.withColumn("_begin", begins).withColumn("_own", ends - F.col("_begin")).filter("_own > 0 OR _parts = 1")
-    text = F.col("_text").substr(F.col("_begin") + 1, F.col("_own") + F.lit(halo))
-    kept = [c for c in rows.columns if c not in ("start", "own", "_text")]
-    return placed.select(*kept, (F.col("start") + F.col("_begin")).alias("start"), F.col("_own").alias("own"), text.alias("_text"))
+    kept = [c for c in rows.columns if c != "_text"]
+    raw = rows.withColumn("_raw", F.col("_text").cast("binary")).drop("_text").withColumn("_size", F.octet_length("_raw"))
+    short = raw.filter(F.col("_size") <= RANGE).select(*kept, F.lit(0).alias("start"), F.col("_size").alias("own"), F.lit(True).alias("last"), F.col("_raw").alias("slice"))
+    long = raw.filter(F.col("_size") > RANGE)
+    block = CUT * RANGE
 
+    def numbered(size, step: int):
+        return F.explode(F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int")))
 
-def _ranges(rows: DataFrame, halo: int) -> DataFrame:
-    """(.., start, own, last, slice): each row's text in ranges with halos; short texts are one range."""
-    whole = rows.withColumn("start", F.lit(0)).withColumn("own", F.length("_text")).withColumn("_size", F.length("_text"))
-    cut = _cut(_cut(whole, CUT * RANGE, halo), RANGE, halo)
-    last = F.col("start") + F.col("own") == F.col("_size")
-    return cut.withColumn("last", last).withColumnRenamed("_text", "slice").drop("_size")
+    def line_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the first line begins in each part, if one does before the text's end."""
+        for batch in batches:
+            at = []
+            for part, size, own in zip(*(batch.column(c).to_pylist() for c in ("_part", "_size", "_own")), strict=True):
+                newline = own.find(b"\n")
+                first = 0 if part == 0 else None if newline < 0 else part * RANGE + newline + 1
+                at.append(None if first is not None and first >= size else first)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_size"), pa.array(at, pa.int32())], ["_row", "_size", "at"])
+
+    blocks = long.select("_row", "_size", "_raw", numbered(F.col("_size"), block).alias("_b"))
+    blocks = blocks.select("_row", "_size", "_b", F.col("_raw").substr(F.col("_b") * block + 1, F.lit(block)).alias("_raw"))
+    parts = blocks.select("_row", "_size", "_b", "_raw", numbered(F.octet_length("_raw"), RANGE).alias("_j"))
+    parts = parts.select("_row", "_size", (F.col("_b") * CUT + F.col("_j")).alias("_part"), F.col("_raw").substr(F.col("_j") * RANGE + 1, F.lit(RANGE)).alias("_own"))
+    starts = parts.mapInArrow(line_starts, "_row bigint, _size int, at int").filter("at IS NOT NULL")
+    following = F.lead("at").over(W.partitionBy("_row").orderBy("at"))
+    spans = starts.withColumn("_next", following).select("_row", "at", (F.coalesce("_next", "_size") - F.col("at")).alias("own"), F.col("_next").isNull().alias("last"))
+    grouped = spans.groupBy("_row", F.floor(F.col("at") / block).cast("int").alias("_b")).agg(
+        F.collect_list(F.struct("at", "own", "last")).alias("_spans"), F.max(F.col("at") + F.col("own")).alias("_to")  # at most CUT ranges
+    )
+    held = long.join(grouped, "_row").select(
+        *kept, "_b", "_spans", F.col("_raw").substr(F.col("_b") * block + 1, F.col("_to") - F.col("_b") * block + halo).alias("_raw")
+    )
+    each = held.select(*kept, "_b", "_raw", F.explode("_spans").alias("_s"))
+    slices = F.col("_raw").substr(F.col("_s.at") - F.col("_b") * block + 1, F.col("_s.own") + halo)
+    return short.unionByName(each.select(*kept, F.col("_s.at").alias("start"), F.col("_s.own").alias("own"), F.col("_s.last").alias("last"), slices.alias("slice")))
+
+
+def _decoded(raw: bytes, own: int) -> tuple[str, int]:
+    """A range's text, and how many of its characters are its own; the halo may end within a character."""
+    head = raw[:own].decode("utf-8", "replace")
+    return head + raw[own:].decode("utf-8", "ignore"), len(head)
 
 
 def _tables(followed: bool):
@@ -288,7 +311,7 @@ def _tables(followed: bool):
             counts, tables = [], []
             for path, language, start, size, last, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 family = language_of(path, language)
-                own = text[:size]
+                own = text[:size].decode("utf-8", "replace")
                 counts.append(own.count("\n"))
                 known = states(family)
                 if last and not start and not followed:
@@ -359,6 +382,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, told = [], []
         for n, (path, language, first, start, size, last, text, state, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
             family = language_of(path, language)
+            text, size = _decoded(text, size)
             lexed = lex(text, family, states(family)[state])
             lines = text.split("\n")
             own = text.count("\n", 0, size) + (1 if last else 0)
@@ -441,7 +465,8 @@ def _boundaries(chunks: DataFrame, oversized: DataFrame) -> DataFrame:
     held = join_checked(rows, led.select("_key", "_path", "_first", "_limit"), ["_key", "_path", "_first"])
     # without what the next row of the file holds again
     ahead = F.expr(r"concat(substring_index(_text, '\n', _limit), '\n')")
-    leading = held.dropDuplicates(["_key", "_path", "_first"]).withColumn("_text", ahead).drop("_limit").withColumn("_row", F.lit(0).cast("bigint"))
+    once = held.dropDuplicates(["_key", "_path", "_first"]).withColumn("_text", ahead).drop("_limit")
+    leading = write_table(once.withColumn("_row", F.xxhash64("_key", "_path", "_first")), "leading")
     shape = "_row bigint, _key string, _path string, _first int, start int, lines bigint, table array<int>"
     carried = _ranges(leading, HALO).mapInArrow(_tables(True), shape)
     own = _ranges(big, HALO)
@@ -598,7 +623,7 @@ def _line_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         lengths = []
         for size, last, text in zip(*(batch.column(c).to_pylist() for c in ("own", "last", "slice")), strict=True):
-            own = [len(x) for x in text[:size].split("\n")]
+            own = [len(x) for x in text[:size].decode("utf-8", "replace").split("\n")]
             lengths.append(own if last else own[:-1])
         yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("start"), pa.array(lengths, pa.list_(pa.int32()))], ["_row", "start", "lengths"])
 
@@ -609,28 +634,32 @@ def _planned(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of the texts whose ranges and cuts come sorted by text and line, a range before its cuts."""
         row, planner, number, known = None, Planner(limit, overlap), 0, 0
-        starts: list[int] = []
+        starts, bytes_at, offset = [], [], 0  # of the ranges: in characters and in bytes; and the next one's
         out: list[tuple] = []
 
         def settle(upto: int | None) -> None:
             nonlocal number
             for p in planner.plan(upto):
                 at = bisect.bisect_right(starts, p.at) - 1
-                out.append((row, starts[at], number, p.start, p.end, p.at - starts[at], p.size, p.symbol))
+                out.append((row, bytes_at[at], number, p.start, p.end, p.at - starts[at], p.size, p.symbol))
                 number += 1
-            del starts[: max(0, bisect.bisect_right(starts, planner.offset) - 1)]
+            gone = max(0, bisect.bisect_right(starts, planner.offset) - 1)
+            del starts[:gone], bytes_at[:gone]
 
         for batch in batches:
             for r, line, start, lengths, name in zip(*(batch.column(c).to_pylist() for c in ("_row", "line", "start", "lengths", "name")), strict=True):
                 if r != row:
                     settle(None)
-                    row, planner, number, known = r, Planner(limit, overlap), 0, 0
+                    row, planner, number, known, offset = r, Planner(limit, overlap), 0, 0, 0
                     starts.clear()
+                    bytes_at.clear()
                 if lengths is None:
                     planner.add_cut(line, name)
                     continue
                 settle(known)
-                starts.append(start)
+                starts.append(offset)
+                bytes_at.append(start)
+                offset += sum(lengths) + len(lengths)
                 planner.add_lines(lengths)
                 known += len(lengths)
             yield pa.RecordBatch.from_pylist([dict(zip(names, o, strict=True)) for o in out], _PLAN)
@@ -656,13 +685,13 @@ def pieces(chunks: DataFrame, limit: int = 8000, overlap: int = 10) -> DataFrame
     """
     big = _oversized(chunks, limit)
     cuts = _boundaries(chunks, big).join(big.select("_row", "_first"), "_row").select("_row", (F.col("line_no") - F.col("_first")).alias("line"), "name")
-    ranges = _ranges(big.select("_row", "_text"), max(HALO, limit))
+    ranges = _ranges(big.select("_row", "_text"), max(HALO, 4 * limit))  # a piece's bytes
     lengths = write_table(ranges.mapInArrow(_line_lengths, "_row bigint, start int, lengths array<int>"), "line-lengths")
     placed = _placed(lengths.withColumn("lines", F.size("lengths"))).select("_row", F.col("before").alias("line"), "start", "lengths", F.lit(None).cast("string").alias("name"))
     both = placed.unionByName(cuts.select("_row", "line", F.lit(None).cast("int").alias("start"), F.lit(None).cast("array<int>").alias("lengths"), "name"))
     ordered = both.repartition("_row").sortWithinPartitions("_row", "line", F.col("lengths").isNull())
     plan = ordered.mapInArrow(_planned(limit, overlap), "_row bigint, start int, piece int, first int, end int, at int, size int, name string")
-    text = F.col("slice").substr(F.col("at") + 1, F.col("size"))
+    text = F.col("slice").cast("string").substr(F.col("at") + 1, F.col("size"))
     return (
         plan.join(ranges.select("_row", "start", "slice"), ["_row", "start"])
         .join(big.select("_row", "_key", "_first", "_symbol"), "_row")
