@@ -20,17 +20,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(squared_distance(a, b)).cast("float").cast("double")).otherwise(F.lit(FAR))
 
 
-def transformed(matrix: Column, vector: Column) -> Column:
-    """A matrix (rows of arrays) times a vector; a row of another length is an error."""
-
-    def row_times(row: Column) -> Column:
-        products = F.zip_with(row, vector, lambda x, y: (x * y).cast("float"))
-        product = F.aggregate(products, F.lit(0.0).cast("float"), lambda total, x: (total + x).cast("float"))
-        return F.when(F.size(row) == F.size(vector), product).otherwise(F.raise_error(F.lit("dimensions differ")).cast("float"))
-
-    return F.transform(matrix, row_times)
-
-
 def encoded(vector: Column, low: Column, scale: Column, levels: int) -> Column:
     """Codes of a vector: (x - low) * scale, clamped to 0..levels and rounded half away from zero."""
     shifted = F.zip_with(vector, low, lambda x, lo: (x - lo).cast("float"))

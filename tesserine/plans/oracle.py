@@ -353,7 +353,7 @@ SELECT id, block_id::BIGINT AS block_id, pos::BIGINT AS pos, (pos // 16)::BIGINT
 """
 ORACLE["io_merged_ops"] = """
 SELECT count_if(gap IS NULL OR gap > 1)::BIGINT AS ops FROM (
-  SELECT block_id - lag(block_id) OVER (ORDER BY block_id) AS gap FROM (SELECT DISTINCT vec_id // 4 AS block_id FROM embeddings WHERE label < 3))
+  SELECT block_id - lag(block_id) OVER (ORDER BY block_id) AS gap FROM (SELECT DISTINCT entry_id // 4 AS block_id FROM search_requests WHERE entry_id >= 0))
 """
 ORACLE["percentile_floor_index"] = """
 WITH sorted AS (

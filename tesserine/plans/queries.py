@@ -322,8 +322,8 @@ def io_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def io_merged_ops(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of blocks of the vectors whose label is below 3."""
-    rows = table(spark, folder, "embeddings").filter("label < 3").select(F.col("vec_id").alias("id"))
+    """Runs of blocks that reading the entries of all requests takes."""
+    rows = table(spark, folder, "search_requests").filter("entry_id >= 0").select(F.col("entry_id").alias("id"))
     return vectors.merged_reads(vectors.block_ids(rows, 4))
 
 

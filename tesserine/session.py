@@ -63,6 +63,7 @@ def write_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written(spark).append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -70,6 +71,23 @@ def write_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_tesserine_written"):
+        context._tesserine_written = []
+    return context._tesserine_written
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that write_table wrote in this session, once no result that reads them is needed; gives how many."""
+    paths = _written(spark)
+    for path in paths:
+        drop_path(spark, path)
+    n = len(paths)
+    paths.clear()
+    return n
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path that new_path gave."""
     jvm = spark.sparkContext._jvm

@@ -7,7 +7,7 @@ import pytest
 
 from tesserine.operators import snapshots
 from tesserine.plans.oracle import ORACLE
-from tesserine.session import new_path
+from tesserine.session import new_path, release, write_table
 from tesserine.sources.store import SnapshotStore
 
 MANIFEST = "version string, module string, file_path string, digest string, loaded_at timestamp_ntz, extra string"
@@ -128,3 +128,9 @@ def test_store(spark):
     assert loaded.version == "v1" and loaded.nodes.count() == 1 and loaded.manifest.count() == 1
     with pytest.raises(KeyError):
         store.load("v2")
+
+
+def test_release_deletes_written_tables(spark):
+    release(spark)
+    kept = write_table(spark.range(3), "kept")
+    assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
