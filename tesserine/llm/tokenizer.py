@@ -9,6 +9,7 @@ Ids equal ranks; the unknown piece that sentencepiece demands gets the id after
 from __future__ import annotations
 
 import base64
+import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -16,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where the vocabulary files lie; a parameter of every operator here.
+#: Where the vocabulary lies, on every worker, or as a URI of a file system that all reach; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pattern that splits text before the merges.
@@ -58,8 +60,11 @@ def _field(number: int, value: int | float | bytes) -> bytes:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    """The tokens of a rank file, at a local path or a URI, with their ranks."""
+    files, place = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    with files.open_input_stream(place) as stream:
+        lines = stream.read().splitlines()
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 def model_bytes(path: str) -> bytes:
