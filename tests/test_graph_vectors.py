@@ -40,6 +40,15 @@ def test_visit_order_is_first_in_first_out(spark):
     assert found == {r: brute(adjacent, e, b) for r, e, b in asked if brute(adjacent, e, b)}
 
 
+def test_visits_end_at_the_budget_and_skip_unknown_ids(spark):
+    nodes = spark.createDataFrame([(0, [9, 2, None, 1, 2]), (1, [3]), (2, [3, 0, 4]), (3, []), (4, None)], "id bigint, neighbors array<bigint>")
+    asked = [(1, 0, 3), (2, 0, 99), (3, 9, 5), (4, None, 5), (5, 2, 0), (6, 3, 5), (7, 2, 1)]
+    requests = spark.createDataFrame(asked, "request_id bigint, entry_id bigint, max_visit int")
+    found = visits(graph.visit_order(nodes, requests))
+    assert found == {1: [0, 2, 1], 2: [0, 2, 1, 3, 4], 6: [3], 7: [2]}
+    assert graph.visit_order(nodes.limit(0), requests).count() == 0 and graph.visit_order(nodes, requests.limit(0)).count() == 0
+
+
 def test_search_filters_after_the_visits(spark):
     nodes = spark.createDataFrame([(0, [0.0, 0.0], [1, 2]), (1, [1.0, 0.0], []), (2, [0.0, 2.0], []), (3, None, [])], "id bigint, embedding array<float>, neighbors array<bigint>")
     asked = spark.createDataFrame([(9, [0.0, 0.0], 2, 0, 10)], "request_id bigint, query array<float>, top_k int, entry_id bigint, max_visit int")
@@ -92,6 +101,17 @@ def test_exact_and_quantised(spark, points):
         vectors.fit_codec(rows, 8)
 
 
+def test_vectors_in_parts_and_blocks(spark, points, monkeypatch):
+    rows, asked = frame(spark, points), frame(spark, points[:11], "qid bigint, query array<float>")
+    found = lambda: sorted(map(tuple, vectors.exact_nearest(rows, asked, 4).collect()))
+    whole = found()
+    for name, value in (("QUERY_BLOCK", 2), ("PART", 40), ("STEP", 16)):
+        monkeypatch.setattr(vectors, name, value)
+    assert found() == whole and len(whole) == 44
+    gaps = ((points[:11, None].astype(float) - points[None]) ** 2).sum(2)
+    assert {(q, i) for q, i, _, _ in whole} == {(q, int(i)) for q in range(11) for i in np.argsort(gaps[q], kind="stable")[:4]}
+
+
 def test_timed_evaluation(spark, points):
     found = vectors.timed_evaluation(frame(spark, points), frame(spark, points[:2], "qid bigint, query array<float>"), 5)
     assert found["recall"] > 0.9 and found["exact_p95_ms"] > 0 and found["ratio"] > 0

@@ -1,7 +1,5 @@
 """Routes, fusion and reranking: hand-made values, null handling, and the SQL of the oracle on the smallest data."""
 
-
-
 import duckdb
 import pytest
 
@@ -53,6 +51,16 @@ def test_symbol_scores(spark, nodes):
     assert hits(retrieval.symbol(nodes, ask(spark, text="nothing"))) == []
 
 
+def test_parts_and_blocks_change_nothing(spark, monkeypatch):
+    nodes = retrieval.distinct_nodes(spark.read.parquet(f"{FOLDER}/chunks.parquet")).cache()
+    queries = retrieval.distinct_queries(spark.read.parquet(f"{FOLDER}/queries.parquet")).cache()
+    found = lambda: [sorted(map(tuple, route(nodes, queries, 3).collect())) for route in (retrieval.dense, retrieval.symbol)]
+    whole = found()
+    for name, value in (("QUERY_BLOCK", 3), ("NODE_PART", 10), ("STEP", 7)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert found() == whole and all(whole)
+
+
 def test_graph_passes_what_the_scope_leaves_out(spark, nodes):
     found = hits(retrieval.graph(nodes, ask(spark, symbol_hint="loadindex", language="go")))
     assert found == [("b", 1.0, 1)] or found == [("b", 0.5, 1)]
