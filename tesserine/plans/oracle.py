@@ -484,7 +484,7 @@ SELECT file AS node_id, ordinal::INT AS ordinal, name, line::INT AS line FROM na
 """
 
 _DOCUMENT_FILES = """
-SELECT source || '/' || doc_id || ['.py', '.cpp', '.ts', '.md'][doc_id % 4 + 1] AS file, doc_id,
+SELECT source || '/' || doc_id || ['.py', '.cpp', '.ts', '.md'][doc_id % 4 + 1] AS file, coalesce(lang, '') AS lang,
   ['python', 'cpp', 'typescript', 'markdown'][doc_id % 4 + 1] AS language, text AS content FROM documents WHERE text IS NOT NULL
 """
 _CHUNKED = rf"""
@@ -505,8 +505,11 @@ ranked AS (
       CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE least(abs(line - start_line), abs(line - end_line)) END, ordinal) AS r
   FROM cut c LEFT JOIN names USING (file))
 """
-_LATER = f"""
-later AS (SELECT file, doc_id, language, CASE WHEN doc_id % 10 = 0 THEN content || chr(10) || 'def changed_later(x):' || chr(10) ELSE content END AS content FROM whole WHERE doc_id % 7 <> 0)
+_LATER = """
+later AS (
+  SELECT file, language, CASE lang WHEN 'fr' THEN content || chr(10) || 'def changed_later(x):' || chr(10) ELSE content END AS content FROM whole WHERE lang <> 'de'
+  UNION ALL
+  SELECT 'copies/' || file, language, content FROM whole WHERE lang = 'es')
 """
 
 ORACLE["best_symbol"] = f"""
@@ -523,7 +526,7 @@ SELECT file AS file_path, start_line::INT AS start_line, end_line::INT AS end_li
 
 ORACLE["index_counters"] = f"""
 WITH whole AS ({_DOCUMENT_FILES}), {_LATER},
-first AS (SELECT * FROM whole WHERE doc_id % 2 = 0),
+first AS (SELECT * FROM whole),
 files AS (SELECT 'v1' || file AS file, language, content FROM first UNION ALL SELECT 'v2' || file, language, content FROM later),
 {_CHUNKED},
 nodes AS (SELECT file[:2] AS version, count(*) AS nodes FROM ranked WHERE r = 1 GROUP BY 1),

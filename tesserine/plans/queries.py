@@ -208,7 +208,7 @@ def _code_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of several languages."""
     suffixes = F.array(*map(F.lit, (".py", ".cpp", ".ts", ".md")))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.element_at(suffixes, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
-    return table(spark, folder, "documents").filter("text IS NOT NULL").select(path.alias("file_path"), F.col("text").alias("content"))
+    return table(spark, folder, "documents").filter("text IS NOT NULL").select(path.alias("file_path"), F.col("text").alias("content"), "lang")
 
 
 def best_symbol(spark: SparkSession, folder: str) -> DataFrame:
@@ -445,12 +445,13 @@ def scan_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _two_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as files with digests, and the same after one in ten was changed, one in seven deleted, and half were new."""
+    """All documents as files with digests; and the same after the German ones were deleted, the French changed, the Spanish copied."""
     files = _code_files(spark, folder).withColumn("digest", F.sha1("content"))
-    number = F.regexp_extract("file_path", r"/(\d+)\.", 1).cast("bigint")
-    changed = F.when(number % 10 == 0, F.concat("content", F.lit("\ndef changed_later(x):\n"))).otherwise(F.col("content"))
-    later = files.filter(number % 7 != 0).withColumn("content", changed).withColumn("digest", F.sha1("content"))
-    return files.filter(number % 2 == 0), later
+    lang = F.coalesce("lang", F.lit(""))
+    later = files.filter(lang != "de").withColumn("content", F.when(lang == "fr", F.concat("content", F.lit("\ndef changed_later(x):\n"))).otherwise(F.col("content")))
+    copies = files.filter(lang == "es").withColumn("file_path", F.concat(F.lit("copies/"), "file_path"))
+    later = later.unionByName(copies).withColumn("digest", F.sha1("content"))
+    return files.drop("lang"), later.drop("lang")
 
 
 def _rebuilt(spark: SparkSession, folder: str) -> manager.IndexManager:
