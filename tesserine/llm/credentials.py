@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import secrets
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,20 +46,32 @@ KEYWORDS = (
 )
 
 _issued = re.compile(r"(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9])" % "|".join(re.escape(p) + f for p, f in FORMATS.items()))
-_web_token = re.compile(r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_url = re.compile(r"[a-z][a-z0-9+.-]*://([^\s:/@\"'`]*):([^\s/@\"'`]+)@[\w.-]+", re.I)
+# The patterns below read a line in time in proportion to its length: repeats that can't give way are possessive, and a run
+# of characters in which one start fails is not tried again from its other starts.
+_web_token = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_web_tokens = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?<![A-Za-z0-9_])(?=eyJ))(%s)" % _web_token.pattern)
+_address = re.compile(r"://[^\s:/@\"'`]*+:([^\s/@\"'`]++)@[\w.-]++")
+_scheme_letters, _scheme_marks = (frozenset(c for c in map(chr, range(0x2200)) if re.match(x, c, re.I)) for x in ("[a-z]", "[0-9+.-]"))
 _scheme = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9+/=_.-]{8,})")
 _user_option = re.compile(r"(?:\s-u|--user)[ =]([\w.-]+):(\S+)")
 _in_words = re.compile(
-    r"\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential|login)\b[\"'`]?(?:\s+is)?\s*[:=]?\s+(?:[\w.@-]+\s*/\s*)?([^\s,;\"'`|]{8,})", re.I
+    r"\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential|login)\b[\"'`]?(?:\s++is)?(?:\s*+[:=])?\s++(?:[\w.@-]++\s*+/\s*+)?([^\s,;\"'`|]{8,})", re.I
 )
-_literal = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
-_joint = re.compile(r"\s*[+\\]?\s*$")
+_quote = re.compile("[\"'`]")
+_inside = {'"': re.compile(r'(?:[^"\\\n]++|\\.)*+'), "'": re.compile(r"(?:[^'\\\n]++|\\.)*+"), "`": re.compile(r"[^`\n]*+")}
+_joint = re.compile(r"\s*+(?:[+\\]\s*+)?$")
 _named = re.compile(
     r"([A-Za-z_][\w.-]*)[\"'\])]*(?:\[\d*\])?\s*(?::(?!:)\s*[&'\w<>\[\]:. ]+?)?\s*(?::=|=>|==?|:|,|\()\s*(?:[\w:]*\()?\s*$"
 )
-_call = re.compile(r"(?:login|logon|signin|connect|dial|auth\w*|credentials?)\w*\(\s*(?:[\w.]+\s*,\s*)*[\"'][\w.@-]+[\"']\s*,\s*$", re.I)
-_pair = re.compile(r"(?:^|[\s;&?\"'`(|-])([A-Za-z_][\w.-]*)\s*[=:]\s*(?!//)((?:(?!&\w+=)[^\s;\"'`|]){6,})")
+# What can stand before a value for _named, and for a call by user and password; both read backwards.
+_named_back = re.compile(r"\s*+(?:\([\w:]*+\s*+)?(?:=:|>=|==?|[:,(])[&'\w<>\[\]:.\s]*+[\"'\])]*+[\w.-]*+")
+_named_back_plain = re.compile(r"\s*+(?:=:|>=|==?|[:,(])[&'\w<>\[\]:.\s]*+[\"'\])]*+[\w.-]*+")
+_call_back = re.compile(r"\s*+,\s*+[\"'][\w.@-]++[\"']([\w.,\s]*+)\((\w*+)")
+_call_name = re.compile(r"login|logon|signin|connect|dial|auth|credential", re.I)
+_arguments = re.compile(r"\s*+(?:[\w.]++\s*+,\s*+)*+")
+_run = re.compile(r"[\w.-]++")
+_pair_name = re.compile(r"(?:^|(?<=[\s;&?\"'`(|-]))[A-Za-z_]")
+_pair_value = re.compile(r"\s*+[=:]\s*+(?!//)((?:(?!&\w++=)[^\s;\"'`|]){6,}+)")
 _secret_name = re.compile(r"pass(?:word|wd|phrase|code|wort)?s?$|pwd$|(?:^|_)pw$|secret|token|api_?key|credential|bearer|cookie|(?:access|auth|private|signing|licen[cs]e|encryption|client|service|master|session|account|shared|deploy|host|tls|ssh|root|admin)_?key$")
 _password_name = re.compile(r"pass|pwd|(?:^|_)pw$")
 _harmless_name = re.compile(r"hash|digest|sha\d|checksum|fingerprint|integrity|etag|public|pub(?:_|$)|_id$|uuid|(?:^|_)(?:kind|type|name|param|url|uri|path|file|field|header|len|length|count|ttl|expiry)$")
@@ -71,7 +84,7 @@ _placeholder = re.compile(
     re.I,
 )
 _uuid = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
-_words_only = re.compile(r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_.\- ]?(?:[A-Z]?[a-z]+|[A-Z]+))*$")
+_words_only = re.compile(r"^[A-Za-z]++(?:[_.\- ][A-Za-z]++)*+$")
 
 
 class Span(NamedTuple):
@@ -95,7 +108,7 @@ def plausible(value: str, password: bool) -> bool:
             return False
         if digits and letters or marks and letters:
             return True
-        return len(value) >= 8 and letters and not re.fullmatch(r"[a-z_.-]+|[A-Z_.-]+|(?:[A-Z]?[a-z]{3,}[_.-]?)+", value)
+        return len(value) >= 8 and letters and not re.fullmatch(r"[a-z_.-]+|[A-Z_.-]+|(?:[A-Z]?+[a-z]{3,}+[_.-]?+)++", value)
     return len(value) >= 16 and letters and digits and len(set(value)) >= 8 and re.fullmatch(r"[A-Za-z0-9+/=_.~-]+", value) is not None
 
 
@@ -137,16 +150,62 @@ def _basic(value: str) -> bool:
     return bool(colon and user and text.isprintable() and plausible(password, True))
 
 
-def _literals(line: str) -> Iterator[tuple[str, str, list[Span]]]:
-    """(text before, value, spans) of each string of a line; strings joined by +, by a line's backslash or by standing together are one."""
-    group: list[re.Match] = []
-    for match in [*_literal.finditer(line), None]:
-        if group and (match is None or not _joint.match(line[group[-1].end() : match.start()]) or line[group[-1].end() : match.start()] == ""):
-            spans = [Span(*next(m.span(i) for i in (1, 2, 3) if m.group(i) is not None)) for m in group]
-            yield line[: group[0].start()], "".join(line[s:e] for s, e in spans), spans
+def _strings(line: str) -> Iterator[Span]:
+    """The insides of a line's strings."""
+    at, unclosed = 0, dict.fromkeys(_inside, 0)
+    while opening := _quote.search(line, at):
+        mark, at = opening.group(), opening.end()
+        if at <= unclosed[mark]:  # within a string that no such mark closes, they are all escaped
+            continue
+        end = _inside[mark].match(line, at).end()
+        if line[end : end + 1] == mark:
+            yield Span(at, end)
+            at = end + 1
+        else:
+            unclosed[mark] = end
+
+
+def _literals(line: str) -> Iterator[tuple[int, str, list[Span]]]:
+    """(start, value, spans) of each string of a line; strings joined by +, by a line's backslash or by standing together are one."""
+    group: list[Span] = []
+    for span in [*_strings(line), None]:
+        if group and (span is None or not _joint.match(between := line[group[-1].end + 1 : span.start - 1]) or between == ""):
+            yield group[0].start - 1, "".join(line[s:e] for s, e in group), group
             group = []
-        if match is not None:
-            group.append(match)
+        if span is not None:
+            group.append(span)
+
+
+def _urls(line: str) -> Iterator[Span]:
+    """The passwords of the addresses in a line."""
+    read_to = 0
+    for match in _address.finditer(line):
+        at = match.start() - 1
+        while at >= read_to and line[at] in _scheme_marks:
+            at -= 1
+        if at >= read_to and line[at] in _scheme_letters:
+            yield Span(*match.span(1))
+            read_to = match.end()
+
+
+def _pairs(line: str) -> Iterator[tuple[Span, Span]]:
+    """Names and values that = or : joins."""
+    at = 0
+    while run := _run.search(line, at):
+        at = run.end()
+        value = _pair_value.match(line, at)
+        if value and (name := _pair_name.search(line, run.start(), at)):
+            yield Span(name.start(), at), Span(*value.span(1))
+            at = value.end()
+
+
+def _before(line: str, back: str, start: int) -> tuple[re.Match | None, bool]:
+    """The name that a value at start is given to, and whether it is a call's password; back: the line backwards."""
+    at = len(line) - start
+    far = max((m.end() for p in (_named_back, _named_back_plain) if (m := p.match(back, at))), default=0)
+    named = _named.search(line, len(line) - far, start) if far else None
+    call = _call_back.match(back, at)
+    return named, bool(call and _call_name.search(call.group(2)[::-1]) and _arguments.fullmatch(call.group(1)[::-1]))
 
 
 def _plain(name: str) -> str:
@@ -159,8 +218,10 @@ def _plain(name: str) -> str:
 def _full(line: str, start: int, name: str) -> str:
     """A name that ends in key with the word before it, where the two stand apart as in prose."""
     if name.lower() == "key":
-        words = re.search(r"([A-Za-z]+)[ -]$", line[:start])
-        return f"{words.group(1)}_{name}" if words else name
+        end = at = start - 1 - line.endswith("\n", 0, start)
+        while at > 0 and line[at - 1].isascii() and line[at - 1].isalpha():
+            at -= 1
+        return f"{line[at:end]}_{name}" if 0 <= at < end and line[end] in " -" else name
     return name
 
 
@@ -175,15 +236,15 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
     loose: the line is prose, markup or a comment, where values may stand without quotes.
     """
     found: list[list[Span]] = []
-    for match in _web_token.finditer(line):
-        if _valid_web_token(match.group()):
-            found.append([Span(*match.span())])
+    for match in _web_tokens.finditer(line):
+        if _valid_web_token(match.group(1)):
+            found.append([Span(*match.span(1))])
     for match in _issued.finditer(line):
         if _valid_token(match.group()):
             found.append([Span(*match.span())])
-    for match in _url.finditer(line):
-        if plausible(match.group(2), True):
-            found.append([Span(*match.span(2))])
+    for span in _urls(line):
+        if plausible(line[span.start : span.end], True):
+            found.append([span])
     for match in _scheme.finditer(line):
         good = _basic(match.group(2)) if match.group(1) == "Basic" else plausible(match.group(2), False)
         if good:
@@ -191,28 +252,30 @@ def line_spans(line: str, loose: bool) -> list[list[Span]]:
     for match in _user_option.finditer(line):
         if plausible(match.group(2), True):
             found.append([Span(*match.span(2))])
-    inner = []
-    for before, value, spans in _literals(line):
+    inner: list[Span] = []
+    back = line[::-1]
+    for start, value, spans in _literals(line):
         if len(spans) > 1 and (_web_token.fullmatch(value) and _valid_web_token(value) or _issued.fullmatch(value) and _valid_token(value)):
             found.append(spans)
             continue
-        if _call.search(before):
+        named, call = _before(line, back, start)
+        if call:
             if plausible(value, True):
                 found.append(spans)
             continue
-        named = _named.search(before)
-        name = _full(before, named.start(1), named.group(1)) if named else ""
+        name = _full(line, named.start(1), named.group(1)) if named else ""
         if named and _secret(name):
             if plausible(value, bool(_password_name.search(_plain(name)))):
                 found.append(spans)
         inner.extend(spans)
-    for match in _pair.finditer(line):
-        quoted = any(s <= match.start(2) and match.end(2) <= e for s, e in inner)
-        name = _full(line, match.start(1), match.group(1))
+    for left, right in _pairs(line):
+        holder = bisect_right(inner, right.start, key=lambda x: x.start) - 1
+        quoted = holder >= 0 and right.end <= inner[holder].end
+        name = _full(line, left.start, line[left.start : left.end])
         if (quoted or loose) and _secret(name):
             password = bool(_password_name.search(_plain(name)))
-            if plausible(match.group(2), password):
-                found.append([Span(*match.span(2))])
+            if plausible(line[right.start : right.end], password):
+                found.append([right])
     if loose:
         for match in _in_words.finditer(line):
             value = match.group(1)
@@ -237,8 +300,9 @@ def _block_spans(text: str) -> list[Span]:
     return spans
 
 
-_goes_on = re.compile(r"[\"'`]\s*[+\\]?\s*$")
-_goes_in = re.compile(r"\n\s*\+?\s*[\"'`]")
+_goes_on = re.compile(r"[\"'`]\s*+([+\\]\s*+)?$")
+_goes_in = re.compile(r"\n\s*+(?:\+\s*+)?[\"'`]")
+_apart = {True: re.compile(r"[^ \t\r\n\\]"), False: re.compile(r"[^ \t\r\n+\\]")}
 _comment = re.compile(r"^\s*(?:#|//|/?\*|--|<!--|;|>|[-*+] |\|)|(?:\s#|//)\s")
 
 
@@ -268,12 +332,13 @@ def find_spans(text: str, markup: bool) -> list[list[Span]]:
         stop = text.find("\n", end)
         stop = len(text) if stop < 0 else stop
         part = start  # a string that goes on in the next line is read with it
-        while _goes_on.search(text, part, stop) and _goes_in.match(text, stop):
-            after = text.find("\n", stop + 1)
-            after = len(text) if after < 0 else after
-            if text[stop:after].strip(" \t\r\n+\\"):
-                part = stop
-            stop = after
+        while (on := _goes_on.search(text, part, stop)) and (into := _goes_in.match(text, stop)):
+            part = text.rfind("\n", stop, into.end())  # blank lines between the two are read at once
+            ended = _apart[bool(on.group(1))].search(text, stop, part)
+            stop = text.find("\n", ended.start() if ended else into.end())
+            stop = len(text) if stop < 0 else stop
+            if ended:
+                break
         read_to = stop
         line = text[start:stop]
         loose = markup or bool(_comment.search(line))
@@ -281,7 +346,8 @@ def find_spans(text: str, markup: bool) -> list[list[Span]]:
             values.append([Span(s + start, e + start) for s, e in spans])
     kept: list[list[Span]] = []
     for spans in sorted(values, key=lambda v: (v[0].start, -v[-1].end)):
-        if any(b.start <= spans[0].start < b.end and spans[0] != b for b in blocks):
+        holder = bisect_right(blocks, spans[0].start, key=lambda b: b.start) - 1
+        if holder >= 0 and spans[0].start < blocks[holder].end and spans[0] != blocks[holder]:
             continue
         if not kept or spans[0].start >= kept[-1][-1].end:
             kept.append(spans)

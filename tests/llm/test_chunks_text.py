@@ -2,6 +2,7 @@
 
 import random
 import re
+import signal
 from itertools import combinations
 
 import duckdb
@@ -355,6 +356,27 @@ def test_credentials_in_many_parts(chunks, joint):
     assert [query[s.start : s.end] for (s,) in credentials.find_spans(query, False)] == ["Quiet#Fal1"]
 
 
+LONG = [
+    ("# key retrieve_documents_from_the_index_with_all_the_filters(", 0), ("{" + '"token":"abc1",' * 8_000 + '"password":"Quiet#Fal1"}', 1), ("key " + "a1" * 60_000, 0),
+    ('# password = "' + "abcdefgh" * 500 + '/"', 1), ("key -" + "eyJ-" * 30_000, 0), ("key = " + '"\\' * 60_000, 0), ('key = "a"' + " " * 100_000 + "b", 0), ('key = "a"' + "\n" * 100_000 + '"b"', 0),
+    ("auth" * 5_000 + '("b", "Quiet#Fal1")', 1), ("key " + "ab-" * 40_000, 0), ("key=bcdefg9h&" * 10_000, 0),
+]
+
+
+@pytest.mark.parametrize("text,found", LONG, ids=range(len(LONG)))
+def test_time_follows_length(text, found):
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(8)
+    try:
+        assert len(credentials.find_spans(text, False)) == found
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_credential_rows(chunks):
     text = "\n\n".join(line for line, _ in SECRETS[8:10])
     rows = [{"node_id": "n", "chunk_text": text, "start_line": 10}] * 2 + [{"node_id": "m", "chunk_text": None}, {"node_id": "e", "chunk_text": ""}]
