@@ -92,3 +92,12 @@ def test_cut_texts(spark):
     shares = {r["source"]: r for r in truncation.cut_shares(table).collect()}
     assert shares["limited"]["share"] == 1.0 and shares[None]["texts"] == 1
     assert truncation.truncated(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("texts", [2, 60])
+def test_parts_of_words_before_a_marker_are_no_custom(spark, texts):
+    cut = [f"Report {'x' * i} says that the table moved twice. Nobody could say why the ta{'…' if i % 2 else '...'}" for i in range(texts)]
+    whole = [f"Report {'y' * 3 * i} lists lexers, tables, and so on..." for i in range(60)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(cut + whole)], "doc_id long, text string, source string")
+    found = {r["_key"] for r in truncation.truncated(table).collect() if r["cut"]}
+    assert found == set(range(texts))
