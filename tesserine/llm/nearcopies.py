@@ -15,7 +15,7 @@ pair is made once.
 from __future__ import annotations
 
 import math
-import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,23 +39,46 @@ COMPARED = 262_144
 #: Probability that the sketches of a pair at just the least similarity share fewer values than are asked for.
 LOSS = 1e-5
 
-_word = re.compile(r"[A-Za-z0-9_]+")
+#: Words whose hashes a worker remembers at most, and bytes of the longest.
+REMEMBERED, LONGEST = 131_072, 64
+
+#: Bytes of words, in lower case; all others, also those of other letters in UTF-8, become blanks.
+_lowered = bytes(ord(chr(c).lower()) if chr(c) in string.ascii_letters + string.digits + "_" else 32 for c in range(256))
+
+
+class _Words(dict):
+    """Hashes of words, remembered from text to text."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_words = _Words()
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's runs of `words` consecutive words."""
-    found = _word.findall(text.lower()) if text else []
+    lower = (text if text.isascii() else text.lower()) if text else ""  # lower() makes ASCII of some other letters
+    found = lower.encode("utf-8", "surrogatepass").translate(_lowered).split()
     if len(found) < words:
         return np.empty(0, np.uint64)
-    memory: dict[str, int] = {}
-    ids = np.fromiter((memory[w] if w in memory else memory.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in found), np.uint64, len(found))
+    ids = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
     mixed = np.zeros(len(ids) - words + 1, np.uint64)
     for i in range(words):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - words + 1 + i]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += ids[i : len(ids) - words + 1 + i]
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    mixed.sort()
+    first = np.ones(len(mixed), bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=first[1:])
+    return mixed[first]
 
 
 def sketches(records: DataFrame, words: int = 5, keep: int = SKETCH) -> DataFrame:
@@ -108,7 +131,7 @@ def overlaps(classes: DataFrame, similarity: float) -> DataFrame:
     """
     values = classes.select("rep", F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("_n")).filter("_n > 1")
-    held = values.join(counts, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_held"))  # at most a sketch
+    held = values.join(counts, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("_n", "value"))).alias("_held"))  # at most a sketch
     sizes = classes.select("rep", "size", F.size("sketch").alias("kept"))
     rare = F.filter("_held", lambda x: x["_n"] <= COMMON)
     common = F.filter("_held", lambda x: x["_n"] > COMMON)
@@ -139,10 +162,15 @@ def _needed(kept: Column, similarity: float) -> Column:
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the union's sketch holds enough values of both; a union smaller than a sketch is known whole."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return both >= F.when(F.size(union) < SKETCH, F.ceil(F.lit(similarity) * F.size(union) - 1e-9)).otherwise(F.lit(sure_overlap(similarity)))
+    """Whether the union's sketch holds enough values of both; a union smaller than a sketch is known whole.
+
+    Both are sorted, so a value's place in the union follows from its places in them and among those that both hold.
+    """
+    both, least = F.array_intersect(a, b), sure_overlap(similarity)
+    union = F.size(a) + F.size(b) - F.size(both)
+    last = F.get(both, F.lit(least - 1))
+    held = F.coalesce(F.array_position(a, last) + F.array_position(b, last) - least <= SKETCH, F.lit(False))
+    return F.when(union < SKETCH, F.size(both) >= F.ceil(F.lit(similarity) * union - 1e-9)).otherwise(held)
 
 
 def _common_overlaps(lists: DataFrame, similarity: float) -> DataFrame:

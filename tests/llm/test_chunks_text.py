@@ -1,5 +1,6 @@
 """Distinctive terms, near copies, provenance, boundaries and credentials, against brute force and hand-made cases."""
 
+import math
 import random
 import re
 import signal
@@ -7,6 +8,7 @@ from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tesserine.llm import boundaries, credentials, distinctive, nearcopies, provenance
 from tesserine.llm.oracle import ORACLE
@@ -73,6 +75,45 @@ def made_copies():
     return [*rows, rows[0], {"node_id": "null"}, {"node_id": "empty", "chunk_text": ""}, {"node_id": "short", "chunk_text": "a b"}]
 
 
+def test_a_word_is_hashed_once_for_many_texts(monkeypatch):
+    hashed, digest = [], nearcopies.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(nearcopies.xxhash, "xxh3_64_intdigest", lambda word: hashed.append(word) or digest(word))
+    text = " ".join(f"once{i}" for i in range(300))
+    found = nearcopies.shingle_hashes(text, 3).tolist()
+    assert nearcopies.shingle_hashes(f"({text.upper()})", 3).tolist() == found and len(found) == 298
+    assert len(hashed) == 300
+    monkeypatch.setattr(nearcopies, "REMEMBERED", 10)  # what is remembered is bounded, and forgetting changes nothing
+    for _ in range(2):
+        assert nearcopies.shingle_hashes("new " + text + " x" * 3 + "y" * 100, 3).tolist() and nearcopies.shingle_hashes(text, 3).tolist() == found
+    nearcopies.shingle_hashes(" ".join(f"more{i}" for i in range(50)), 3)
+    assert len(nearcopies._words) <= 10
+
+
+def test_words_of_odd_texts():
+    # a Kelvin sign and a dotted capital I become ASCII in lower case, other letters part words
+    odd = "\u212aey \u0130x stra\xdfe \xc9a\x00b_9\x1cc\u3000D\ud83d\ude00e F\xa0g"
+    plain = " ".join(re.findall(r"[a-z0-9_]+", odd.lower()))
+    assert plain == "key i x stra e a b_9 c d e f g"
+    assert nearcopies.shingle_hashes(odd, 2).tolist() == nearcopies.shingle_hashes(plain, 2).tolist() != []
+    assert [len(nearcopies.shingle_hashes(t, 3)) for t in (None, "", "a b", "a b c", "a b c a b c")] == [0, 0, 0, 1, 3]
+
+
+def test_sketches_of_a_union(spark):
+    random.seed(3)
+    rows, wanted = [], []
+    for i in range(400):
+        union = random.sample(range(-(10**6), 10**6), random.choice([1, 5, 20, 31, 32, 33, 45, 90]))
+        shared, only = random.random(), [random.random() for _ in union]
+        a, b = (sorted(x for x, r in zip(union, only, strict=True) if r < shared or (r * 1000 % 1 < 0.5) == side) for side in (True, False))
+        a, b = a[:32], b[:32]
+        both = set(sorted({*a, *b})[:32]) & {*a} & {*b}
+        rows.append((i, a, b))
+        wanted.append([len(both) >= (math.ceil(s * len({*a, *b}) - 1e-9) if len({*a, *b}) < 32 else nearcopies.sure_overlap(s)) for s in (0.2, 0.6, 1.0)])
+    pairs = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    found = pairs.select("i", F.array(*[nearcopies._alike(F.col("a"), F.col("b"), s) for s in (0.2, 0.6, 1.0)]).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in found] == wanted and all({True, False} == {w[k] for w in wanted} for k in range(3))
+
+
 @pytest.mark.parametrize("common,block", [(64, 1024), (1, 1024), (1, 2)])
 def test_near_copies_against_brute_force(chunks, monkeypatch, common, block):
     monkeypatch.setattr(nearcopies, "COMMON", common)  # 1: every shared value is common
