@@ -39,6 +39,20 @@ def test_sparse_and_filters(spark, nodes):
     assert {h[0] for h in hits(retrieval.sparse(nodes, ask(spark, module_scope="", language="")))} == {"a", "b"}
 
 
+def test_sparse_ranks_the_best_of_each_part_only(spark, chunks, monkeypatch):
+    nodes = chunks([{"node_id": f"n{i:03}", "module": None if i % 3 else "Core", "chunk_text": "beta " * (1 + i % 5)} for i in range(400)])
+    queries = spark.createDataFrame([(i, "beta zzz", "core" if i % 2 else None, None, None, 2) for i in range(20)], QUERY)
+    ranked, top = [], retrieval.top
+    monkeypatch.setattr(retrieval, "top", lambda scored, *rest: ranked.append(scored.count()) or top(scored, *rest))
+    whole = sorted(map(tuple, retrieval.sparse(nodes, queries, 3).collect()))
+    assert ranked[0] <= 20 * 3 * 2 * spark.sparkContext.defaultParallelism  # all pairs are 5,340
+    by_query = {q: [r[2] for r in whole if r[0] == q] for q in (0, 1)}
+    assert [len({r[0] for r in whole}), len(whole)] == [20, 60] and all(int(n[1:]) % 3 == 0 for n in by_query[1])
+    for name, value in (("QUERY_BLOCK", 1), ("NODE_PART", 50)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.sparse(nodes, queries, 3).collect())) == whole
+
+
 def test_dense_keeps_nodes_without_common_words(spark, nodes):
     found = hits(retrieval.dense(nodes, ask(spark, text="zzz")))
     assert [h[0] for h in found] == ["a", "b", "c"] and found[2][1] == 0.0
