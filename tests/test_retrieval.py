@@ -53,6 +53,16 @@ def test_sparse_ranks_the_best_of_each_part_only(spark, chunks, monkeypatch):
     assert sorted(map(tuple, retrieval.sparse(nodes, queries, 3).collect())) == whole
 
 
+def test_nodes_stay_where_they_are_read(spark, nodes):
+    counted = retrieval.counted_words(nodes)
+    assert retrieval.counted_words(counted) is counted and "chunk_text" not in counted.columns
+    held = {r["node_id"]: (dict(zip(r["words"].split(), r["times"], strict=True)), r["dl"]) for r in counted.collect()}
+    assert held["a"] == ({"core": 2, "py": 1, "loadindex": 1, "alpha": 1, "beta": 1}, 6) and held["c"] == ({}, 0)
+    asked = retrieval.distinct_queries(ask(spark))
+    assert "CoGroup" not in retrieval.dense(nodes, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert hits(retrieval.sparse(counted, asked)) == hits(retrieval.sparse(nodes, asked))
+
+
 def test_dense_keeps_nodes_without_common_words(spark, nodes):
     found = hits(retrieval.dense(nodes, ask(spark, text="zzz")))
     assert [h[0] for h in found] == ["a", "b", "c"] and found[2][1] == 0.0
